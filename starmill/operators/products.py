@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from starmill.sources.lake import Lake
 
@@ -42,14 +42,10 @@ class Products:
         try:
             self.use_gold()
             self._publish(name, kind, self.lake.spark.sql(sql))
-        except AnalysisException as problem:
+            rows = self.frame(name).count()
+        except PySparkException as problem:
             return {**status, "error": str(problem).splitlines()[0]}
-        return {
-            **status,
-            "status": "built",
-            "target": f"products.{name}",
-            "row_count": self.frame(name).count(),
-        }
+        return {**status, "status": "built", "target": f"products.{name}", "row_count": rows}
 
     def _publish(self, name: str, kind: str, df: DataFrame) -> None:
         if kind == "TABLE":

@@ -106,3 +106,11 @@ def decision_from_text(column: str) -> Column:
     """Older rows carry the decision only in words."""
     said_no = F.coalesce(F.lower(F.col(column)).contains("rejected"), F.lit(False))
     return F.when(said_no, F.lit("rejected")).otherwise(F.lit("approved"))
+
+
+def run_status(steps: DataFrame, run: Sequence[str], step_failed: Column) -> DataFrame:
+    """Status of each run from its steps: one failed step fails the run."""
+    bad = F.coalesce(F.sum(F.when(step_failed, 1).otherwise(0)), F.lit(0)).alias("failed")
+    counted = steps.groupBy(*run).agg(F.count(F.lit(1)).alias("scripts"), bad)
+    status = F.when(F.col("failed") > 0, F.lit("failed")).otherwise(F.lit("succeeded"))
+    return counted.withColumn("run_status", status)
