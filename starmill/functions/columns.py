@@ -46,9 +46,13 @@ def flag_from_text(column: str, mapping: Mapping[str, bool] = YES_NO) -> Column:
     return F.when(F.col(column).isin(yes), True).when(F.col(column).isin(no), False)
 
 
-def blank(column: str) -> Column:
-    """NULL or empty text: what the profile counts as missing."""
-    return F.col(column).isNull() | (F.col(column).cast("string") == "")
+def blank(field: T.StructField) -> Column:
+    """NULL or empty text: what the profile counts as missing. Only text can be empty, so other
+    types are not turned into text to find out."""
+    missing = F.col(field.name).isNull()
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return missing | (F.col(field.name).cast("string") == "")
+    return missing
 
 
 def is_numeric(data_type: T.DataType) -> bool:

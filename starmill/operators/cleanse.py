@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starmill.functions.columns import YES_NO, flag_from_text
+from starmill.functions.columns import YES_NO, blank, flag_from_text
 
 
 def with_load_columns(
@@ -39,9 +39,7 @@ def trim_text(df: DataFrame) -> DataFrame:
 def empty_columns(df: DataFrame) -> list[str]:
     """Columns without a single value (NULL or blank text everywhere), from one aggregate.
     An empty frame proves nothing, so it has none."""
-    filled = [
-        F.max(F.col(c).isNotNull() & (F.col(c).cast("string") != "")).alias(c) for c in df.columns
-    ]
+    filled = [F.max(~blank(f)).alias(f.name) for f in df.schema.fields]
     row = df.agg(F.count(F.lit(1)).alias("_n"), *filled).first()
     return [c for c in df.columns if row["_n"] and not row[c]]
 

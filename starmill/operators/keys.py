@@ -30,12 +30,10 @@ def surrogate_key(
 
     ``order_by`` should be unique; add tie-breakers where it is not.
     """
-    spark = df.sparkSession
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        df.repartitionByRange(partitions, *order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_pos", F.monotonically_increasing_id())
+    # without a number AQE merges small neighbouring ranges, which keeps their order
+    ranges = df.repartitionByRange(*([partitions] if partitions else []), *order_by)
+    ordered = ranges.sortWithinPartitions(*order_by).withColumn(
+        "_pos", F.monotonically_increasing_id()
     )
     stored = materialize(ordered, "keyed")
     part = F.shiftright("_pos", _POSITION_BITS).cast("int")

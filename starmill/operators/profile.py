@@ -32,7 +32,7 @@ def column_statistics(df: DataFrame, table: str) -> DataFrame:
     so that wide integers and decimals stay exact."""
     aggregates = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(df.schema.fields):
-        aggregates.append(F.coalesce(F.sum(blank(f.name).cast("long")), F.lit(0)).alias(f"_null{i}"))
+        aggregates.append(F.coalesce(F.sum(blank(f).cast("long")), F.lit(0)).alias(f"_null{i}"))
         if is_numeric(f.dataType):
             c = F.col(f.name)
             aggregates += [
@@ -131,6 +131,25 @@ def candidate_keys(profile: DataFrame, suffix: str = ID_SUFFIX) -> DataFrame:
     ).select("table", "column")
 
 
+def identifier_keys(df: DataFrame, table: str, suffix: str = ID_SUFFIX) -> DataFrame:
+    """``candidate_keys`` straight from the table, reading nothing but the identifier columns:
+    each is grouped once, and the groups give rows, missing and distinct values together."""
+    fields = [f for f in df.schema.fields if f.name.lower().endswith(suffix)]
+    branches = []
+    for f in fields:
+        groups = df.groupBy(f.name).agg(F.count(F.lit(1)).alias("_n"))
+        found = groups.agg(
+            F.sum("_n").alias("row_count"),
+            F.sum(F.when(blank(f), F.col("_n")).otherwise(0)).alias("null_count"),
+            F.count(f.name).alias("distinct_count"),
+        )
+        names = (F.lit(table).alias("table"), F.lit(f.name).alias("column"))
+        branches.append(found.select(*names, "row_count", "null_count", "distinct_count"))
+    if not branches:
+        return df.sparkSession.createDataFrame([], "table string, column string")
+    return candidate_keys(_stack(branches), suffix)
+
+
 def duplicate_key_count(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row ``rows, distinct_keys, duplicates``; NULLs are values here. The rows are grouped
     once (partially in the map tasks) and the groups counted."""

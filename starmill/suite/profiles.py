@@ -105,8 +105,8 @@ def _value_counts_oracle(columns: dict[str, str], top: int) -> str:
             FROM {source} GROUP BY ALL HAVING (SELECT count(DISTINCT {c}) FROM {source}) <= 25"""
         for c, source in columns.items()
     )
-    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)
-               AS rank FROM ({stacked})) WHERE rank <= {top}"""
+    return f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)
+               AS INTEGER) AS rank FROM ({stacked})) WHERE rank <= {top}"""
 
 
 _TEXT_COLUMNS = {c: sql("{orders_text}") for c, n in COLUMNS["orders_text"].items() if not n}
@@ -143,14 +143,22 @@ def _keys_oracle() -> str:
 
 @query("profile_candidate_keys", _keys_oracle())
 def profile_candidate_keys(spark, sf):
-    frames = []
-    for name in RELATED:
-        df = load(spark, sf, name)
-        ids = [c for c in df.columns if c.endswith(P.ID_SUFFIX)]
-        frames.append(P.candidate_keys(P.profile_table(df.select(*ids), name)))
+    frames = [P.identifier_keys(load(spark, sf, name), name) for name in RELATED]
     return functools.reduce(DataFrame.unionByName, frames)
 
 
+@query(
+    "profile_key_columns",
+    """SELECT 'orders' AS "table", 'o_orderkey' AS "column" FROM orders
+       HAVING count(*) = count(DISTINCT o_orderkey) AND count(*) = count(o_orderkey)
+       UNION ALL SELECT 'orders', 'o_custkey' FROM orders
+       HAVING count(*) = count(DISTINCT o_custkey) AND count(*) = count(o_custkey)""",
+)
+def profile_key_columns(spark, sf):
+    """The same rule on a profile that is already there, with another name suffix."""
+    return P.candidate_keys(P.profile_table(load(spark, sf, "orders"), "orders"), "key")
+
+
 @query(
     "duplicate_key_count",
     """SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_keys,

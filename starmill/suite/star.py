@@ -55,12 +55,14 @@ def dim_channel(spark, sf) -> DataFrame:
 
 
 def fact_orders(sales: DataFrame, customers: DataFrame, channels: DataFrame) -> DataFrame:
+    # numbered before the joins: they keep every row, and the ranges are then found on the scan
+    numbered = surrogate_key(sales, ["order_id"], "order_sk")
     resolved = asof_join(
-        sales, customers, "customer_id", "created_ts", "customer_id", "customer_sk"
+        numbered, customers, "customer_id", "created_ts", "customer_id", "customer_sk"
     )
     resolved = lookup_join(resolved, channels, ["channel", "channel_group"], channels.count())
     price, cost = money("total_price"), money("total_cost")
-    return surrogate_key(resolved, ["order_id"], "order_sk").select(
+    return resolved.select(
         "order_sk", "order_id", "customer_sk", "channel_sk",
         date_key("created_ts").alias("date_created_sk"),
         date_key("confirmed_ts").alias("date_confirmed_sk"),
@@ -81,13 +83,14 @@ LINE_ORDER = ["order_id", "line_number", "part_id", "created_ts", "quantity", "p
 
 
 def fact_lines(lines: DataFrame, suppliers: DataFrame, parts: DataFrame) -> DataFrame:
+    numbered = surrogate_key(lines, LINE_ORDER, "line_sk")
     supplier_keys = suppliers.select("supplier_id", "supplier_sk")
-    resolved = lookup_join(lines, supplier_keys, ["supplier_id"], supplier_keys.count())
+    resolved = lookup_join(numbered, supplier_keys, ["supplier_id"], supplier_keys.count())
     resolved = asof_join(resolved, parts, "part_id", "created_ts", "part_id", "part_sk")
     rate = money("price_fx_rate", 4)
     price_eur = F.round(money("price") * rate, 2)
     cost_eur = F.round(money("cost"), 2)
-    return surrogate_key(resolved, LINE_ORDER, "line_sk").select(
+    return resolved.select(
         "line_sk", "order_id", "line_number", "supplier_sk", "part_sk", "line_type", "status",
         (F.col("status") == "Cancelled").alias("is_cancelled"),
         date_key("created_ts").alias("date_created_sk"),

@@ -123,7 +123,7 @@ def delete_by_key(spark, sf):
 
 @query(
     "layer_counts",
-    """SELECT 'raw' AS layer, 0 AS tables, 0 AS rows
+    """SELECT 'raw' AS layer, CAST(0 AS BIGINT) AS tables, CAST(0 AS BIGINT) AS rows
        UNION ALL SELECT 'bronze', 3, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)
                                    + (SELECT count(*) FROM orders)
        UNION ALL SELECT 'silver', 1, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F')
