@@ -44,7 +44,7 @@ class Products:
             self._publish(name, kind, self.lake.spark.sql(sql))
             rows = self.frame(name).count()
         except PySparkException as problem:
-            return {**status, "error": str(problem).splitlines()[0]}
+            return {**status, "error": str(problem).strip().splitlines()[0]}
         return {**status, "status": "built", "target": f"products.{name}", "row_count": rows}
 
     def _publish(self, name: str, kind: str, df: DataFrame) -> None:
