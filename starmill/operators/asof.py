@@ -13,6 +13,7 @@ doubled (versions of one key do not overlap). Two exact strategies:
 from __future__ import annotations
 
 import functools
+import json
 import operator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,15 +21,18 @@ from pyspark.sql import functions as F
 
 from starmill.operators.lookup import (
     SALT_FROM_ROWS,
-    hot_key_hashes,
+    Skew,
+    complete,
     key_hash,
+    measure_skew,
+    repeat_per_part,
     saltable,
     spread,
+    with_part,
 )
 
 DEEP = 1000  # versions of one key beyond which comparing each event with each of them is too much
-SLICES = 32
-SUBSLICES = 8
+MAX_SLICES = 64  # time slices of one hot key; finer splitting is by row
 
 
 def asof_join(
@@ -54,17 +58,17 @@ def asof_join(
         strategy = "merge" if (size["deepest"] or 0) > DEEP else "range"
     if strategy == "merge":
         return _merge(events, narrow, event_key, event_ts, sk)
-    hot = []
+    skew = Skew()
     if (size["rows"] or 0) >= salt_from and saltable(events, narrow, [event_key]):
-        hot = hot_key_hashes(events, [event_key])
-    return _range(events, narrow, event_key, event_ts, sk, hot)
+        skew = measure_skew(events, [event_key])
+    return _range(events, narrow, event_key, event_ts, sk, skew)
 
 
-def _range(events, versions, key, ts, sk, hot) -> DataFrame:
+def _range(events, versions, key, ts, sk, skew) -> DataFrame:
     names = events.columns
     on = [key]
-    if hot:
-        events, versions = spread(events, versions, [key], hot)
+    if skew:
+        events, versions = spread(events, versions, [key], skew)
         on.append("_salt")
     right = versions.select(*[F.col(c).alias(f"_v_{c}") for c in versions.columns])
     condition = [events[c] == right[f"_v_{c}"] for c in on]
@@ -74,19 +78,36 @@ def _range(events, versions, key, ts, sk, hot) -> DataFrame:
     return joined.select(*names, F.col(f"_v_{sk}").alias(sk))
 
 
-def _time_slice(cuts: dict[int, list], hashed: Column, time: Column, time_type) -> Column:
-    """Number of cuts at or before ``time`` for hot keys, 0 for all others."""
-    result = F.lit(0)
-    for item, points in cuts.items():
-        reached = [(F.lit(p).cast(time_type) <= time).cast("int") for p in points]
-        if reached:
-            result = F.when(hashed == item, functools.reduce(operator.add, reached)).otherwise(result)
-    return result
-
-
-def _merge(events, versions, key, ts, sk, hot=None) -> DataFrame:
-    usable = F.col(key).isNotNull() & F.col(ts).isNotNull()
-    time_type = events.schema[ts].dataType
+def _cuts(times: DataFrame, skew: Skew) -> dict[int, list[str]]:
+    """Per hot key, times that part its rows into slices of about equal size (at most
+    MAX_SLICES; the key list is bounded, so this is too)."""
+    quantiles = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
+    hashed = key_hash(["_k"])
+    points = (
+        times.where(hashed.isin(list(skew.splits)))
+        .groupBy(hashed.alias("h"))
+        .agg(F.percentile_approx("_t", quantiles, 1000).cast("array<string>").alias("points"))
+    )
+    cuts = {}
+    for row in points.collect():
+        step = max(1, MAX_SLICES // skew.splits[row["h"]])
+        cuts[row["h"]] = sorted(set(row["points"][step - 1 :: step]))
+    return cuts
+
+
+def _slice_of(cuts: dict[int, list[str]], time_type: str) -> Column:
+    """How many of its key's cuts lie at or before the row's time; 0 for all but hot keys."""
+    if not cuts:
+        return F.lit(0)
+    text = json.dumps({str(h): points for h, points in cuts.items()})
+    table = F.from_json(F.lit(text), "map<string,array<string>>")
+    own = F.try_element_at(table, key_hash(["_k"]).cast("string")).cast(f"array<{time_type}>")
+    return F.coalesce(F.size(F.filter(own, lambda cut: cut <= F.col("_t"))), F.lit(0))
+
+
+def _merge(events, versions, key, ts, sk) -> DataFrame:
+    usable = complete([key, ts])
+    time_type = events.schema[ts].dataType.simpleString()
     version = F.struct(F.col("eff_start_ts").alias("start"), F.col("eff_end_ts").alias("end"), sk)
     left = events.where(usable).select(
         F.col(key).alias("_k"),
@@ -100,30 +121,30 @@ def _merge(events, versions, key, ts, sk, hot=None) -> DataFrame:
         F.lit(0).alias("_kind"),
         version.alias("_version"),
     )
-    if hot is None:
-        hot = sorted({*hot_key_hashes(left, ["_k"]), *hot_key_hashes(right, ["_k"])})
-    cuts: dict[int, list] = {}
+    by_events, by_versions = measure_skew(left, ["_k"]), measure_skew(right, ["_k"])
+    hot = {
+        h: max(by_events.splits.get(h, 1), by_versions.splits.get(h, 1))
+        for h in {**by_events.splits, **by_versions.splits}
+    }
+    cuts: dict[int, list[str]] = {}
     if hot:
-        quantiles = F.percentile_approx("_t", [i / SLICES for i in range(1, SLICES)], 1000)
-        times = left.select("_k", "_t").unionByName(right.select("_k", "_t"))
-        rows = times.where(key_hash(["_k"]).isin(hot)).groupBy(key_hash(["_k"]).alias("h")).agg(
-            quantiles.alias("points")
-        )
-        cuts = {r["h"]: sorted(set(r["points"])) for r in rows.collect()}  # <= 2/HOT_SHARE rows
-    is_hot = key_hash(["_k"]).isin(hot) if hot else F.lit(False)
-    slice_of = _time_slice(cuts, key_hash(["_k"]), F.col("_t"), time_type)
-    left = left.withColumns(
-        {
-            "_slice": slice_of,
-            "_sub": F.when(is_hot, F.pmod(F.xxhash64("_event"), F.lit(SUBSLICES)).cast("int"))
-            .otherwise(0),
-        }
-    )
+        cuts = _cuts(left.select("_k", "_t").unionByName(right.select("_k", "_t")), Skew(hot))
+    # beyond its time slices a hot key is split by row, its versions repeated for each part
+    slices = {h: len(points) + 1 for h, points in cuts.items()}
+    by_row = Skew({h: -(-n // slices.get(h, 1)) for h, n in by_events.splits.items()})
+    by_row = Skew({h: n for h, n in by_row.splits.items() if n > 1})
+    slice_of = _slice_of(cuts, time_type)
     right = right.withColumn("_slice", slice_of)
-    if hot:
-        right = right.unionByName(_in_force_at_slice_start(right.where(is_hot)))
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SUBSLICES - 1))).otherwise(F.array(F.lit(0)))
-    right = right.withColumn("_sub", F.explode(copies))
+    if cuts:
+        right = right.unionByName(
+            _in_force_at_slice_start(right.where(key_hash(["_k"]).isin(list(cuts))))
+        )
+    if by_row:
+        left = with_part(left, by_row.parts(["_k"]), "_sub")
+        right = repeat_per_part(right, by_row.parts(["_k"]), "_sub")
+    else:
+        left, right = left.withColumn("_sub", F.lit(0)), right.withColumn("_sub", F.lit(0))
+    left = left.withColumn("_slice", slice_of)
 
     so_far = Window.partitionBy("_k", "_slice", "_sub").orderBy("_t", "_kind")
     together = left.unionByName(right, allowMissingColumns=True).withColumn(
@@ -143,8 +164,10 @@ def _in_force_at_slice_start(hot_versions: DataFrame) -> DataFrame:
     hot keys x slices rows; versions are pre-aggregated per slice before anything moves."""
     newest = F.max_by(F.struct("_t", "_kind", "_version"), "_t").alias("_newest")
     per_slice = hot_versions.groupBy("_k", "_slice").agg(newest)
-    later = per_slice.select(
-        "_k", F.explode(F.sequence(F.col("_slice") + 1, F.lit(SLICES))).alias("_slice"), "_newest"
-    ).where(F.col("_slice") <= SLICES - 1)
+    later = per_slice.where(F.col("_slice") < MAX_SLICES - 1).select(
+        "_k",
+        F.explode(F.sequence(F.col("_slice") + 1, F.lit(MAX_SLICES - 1))).alias("_slice"),
+        "_newest",
+    )
     carried = later.groupBy("_k", "_slice").agg(F.max_by("_newest", "_newest._t").alias("_newest"))
     return carried.select("_k", "_newest._t", "_newest._kind", "_newest._version", "_slice")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starmill.functions.columns import YES_NO, blank, flag_from_text
+from starmill.operators.lookup import complete
 
 
 def with_load_columns(
@@ -68,13 +67,13 @@ def newest_per_key(
     applies the ``= 1`` limit inside each map task too (WindowGroupLimit), so a key with a third
     of all rows sends one row per task through the shuffle.
     """
-    key_missing = functools.reduce(operator.or_, [F.col(c).isNull() for c in key])
+    keyed = complete(key)
     tie_order = [F.col(t) if isinstance(t, str) else t for t in ties] or [F.xxhash64(*df.columns)]
     order = [F.col(c).desc() for c in newest_first] + [t.asc() for t in tie_order]
     newest = (
-        df.where(~key_missing)
+        df.where(keyed)
         .withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
         .where("_rank = 1")
         .drop("_rank")
     )
-    return newest.unionByName(df.where(key_missing))
+    return newest.unionByName(df.where(~keyed))

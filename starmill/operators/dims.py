@@ -45,7 +45,7 @@ def calendar_of(df: DataFrame, column: str) -> DataFrame:
 
 def combination_dim(df: DataFrame, columns: Sequence[str], sk: str) -> DataFrame:
     """One numbered row per distinct combination (partially deduplicated before the shuffle)."""
-    return surrogate_key(df.select(*columns).distinct(), list(columns), sk).select(sk, *columns)
+    return surrogate_key(df.select(*columns).distinct(), list(columns), sk, unique=True).select(sk, *columns)
 
 
 def type1_dim(df: DataFrame, key: str, sk: str, columns: Mapping[str, Column | str]) -> DataFrame:
@@ -53,4 +53,4 @@ def type1_dim(df: DataFrame, key: str, sk: str, columns: Mapping[str, Column | s
     projected = df.select(
         *[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
     )
-    return surrogate_key(projected, [key], sk).select(sk, *columns)
+    return surrogate_key(projected, [key], sk, unique=True).select(sk, *columns)

@@ -55,7 +55,7 @@ def first_history(
 ) -> DataFrame:
     """Every row becomes an open version; keys are numbered in business-key order."""
     hashed = df.withColumn("row_hash", change_hash(tracked))
-    return _open_versions(surrogate_key(hashed, [key], sk), F.lit(FIRST_START), load_ts)
+    return _open_versions(surrogate_key(hashed, [key], sk, unique=True), F.lit(FIRST_START), load_ts)
 
 
 def next_history(
@@ -84,7 +84,7 @@ def next_history(
     )
     last = history.agg(F.max(sk)).first()[0] or 0
     opened = _open_versions(
-        surrogate_key(changed, [key], sk, after=last), F.col(load_ts), load_ts
+        surrogate_key(changed, [key], sk, after=last, unique=True), F.col(load_ts), load_ts
     )
     ended = opened.select(key, F.col("eff_start_ts").alias("_ended"))
     current = current.join(ended, key, "left")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from starmill.operators.lookup import has_abundant
 from starmill.sources.workdir import materialize
 
 _POSITION_BITS = 33  # layout of monotonically_increasing_id(): partition << 33 | position
@@ -25,14 +26,22 @@ def surrogate_key(
     name: str,
     after: int = 0,
     partitions: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Add ``name`` = ``after`` + 1, 2, 3 ... in the order of ``order_by`` (NULLs first).
 
-    ``order_by`` should be unique; add tie-breakers where it is not.
+    Rows equal in ``order_by`` are numbered in arbitrary order, so it should hold tie-breakers.
+    Range bounds cannot part equal rows: unless the caller knows the order to be ``unique``, a
+    sketch looks for an abundant one, and if there is one the rows are stored first and their
+    place in the files becomes the last range column.
     """
+    tie: list[str] = []
+    if not unique and has_abundant(df, F.xxhash64(*order_by)):
+        df = materialize(df, "ties").withColumn("_tie", F.monotonically_increasing_id())
+        tie = ["_tie"]
     # without a number AQE merges small neighbouring ranges, which keeps their order
-    ranges = df.repartitionByRange(*([partitions] if partitions else []), *order_by)
-    ordered = ranges.sortWithinPartitions(*order_by).withColumn(
+    ranges = df.repartitionByRange(*([partitions] if partitions else []), *order_by, *tie)
+    ordered = ranges.drop(*tie).sortWithinPartitions(*order_by).withColumn(
         "_pos", F.monotonically_increasing_id()
     )
     stored = materialize(ordered, "keyed")

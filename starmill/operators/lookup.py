@@ -4,55 +4,125 @@ Order of preference:
 
 1. the lookup side is stored, so its file size is known and Spark broadcasts it only below
    ``spark.sql.autoBroadcastJoinThreshold``; the wide side is then never shuffled;
-2. otherwise both sides shuffle on the key, and keys that hold a large share of the wide side are
-   spread over several partitions: their rows get a salt, their lookup row is repeated per salt.
+2. otherwise both sides shuffle on the key. A key (or NULL) that holds a large share of the wide
+   side is split: its rows get a salt, its lookup row is repeated once per salt value. A key gets
+   salts in proportion to its share, so all keys together add at most about two lookup rows per
+   shuffle partition.
 
-The hot-key list comes from a fixed-size sketch, so it is bounded whatever the data looks like,
-and it only steers where rows go, never which rows match.
+The hot keys come from a fixed-size sketch, so their list is bounded whatever the data looks like;
+it only steers where rows go, never which rows match.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOT_SHARE = 1 / 64  # a key with this share of the rows is spread
-SKETCH_ITEMS = 8192  # sketch size; its error is a small fraction of HOT_SHARE
-SPLITS = 32
-SALT_FROM_ROWS = 1_000_000  # smaller lookup sides are broadcast by size anyway
+from starmill.sources.workdir import materialize
+
+HOT_SHARE = 1 / 256  # a key with this share of the rows is split
+SKETCH_ITEMS = 8192  # the sketch's error is a small fraction of HOT_SHARE
+SALT_FROM_ROWS = 100_000  # a smaller lookup side is normally broadcast, by its size
 
 _UNSALTABLE = (T.FloatType, T.DoubleType)
 
 
+@dataclass(frozen=True)
+class Skew:
+    """Into how many parts each hot key (by hash) and the NULL keys are split."""
+
+    splits: dict[int, int] = field(default_factory=dict)
+    null_splits: int = 1
+
+    def __bool__(self) -> bool:
+        return bool(self.splits) or self.null_splits > 1
+
+    def parts(self, on: Sequence[str]) -> Column:
+        """Number of parts of the row's key; 1 for all but the hot ones."""
+        found = F.lit(None).cast("int")
+        if self.splits:
+            pairs = [F.lit(v) for pair in self.splits.items() for v in pair]
+            found = F.try_element_at(F.create_map(*pairs), key_hash(on))
+        return F.when(~complete(on), self.null_splits).otherwise(F.coalesce(found, F.lit(1)))
+
+
 def key_hash(columns: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
-def hot_key_hashes(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of the rows (at most ``1/share`` of them,
-    plus sketch error). One narrow scan; the result row has a fixed size."""
-    keyed = df.select(*on).dropna(how="any").select(key_hash(on).alias("h"))
-    top = int(1 / share) * 2
-    row = keyed.agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {top}, {SKETCH_ITEMS})").alias("k")
+def complete(columns: Sequence[str]) -> Column:
+    """No NULL among the columns."""
+    result = F.lit(True)
+    for c in columns:
+        result = result & F.col(c).isNotNull()
+    return result
+
+
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(
+        *[F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    )
+
+
+def _frequent(df: DataFrame, value: Column, share: float, keep: Column | None = None) -> tuple:
+    """``(rows, rows with keep false, {value: rows} for frequent values)``: one aggregate whose
+    result has a fixed size."""
+    keep = F.lit(True) if keep is None else keep
+    top = f"approx_top_k(v, {int(2 / share)}, {SKETCH_ITEMS}) FILTER (WHERE keep)"
+    row = df.select(value.alias("v"), keep.alias("keep")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(~F.col("keep")).alias("skipped"),
+        F.expr(top).alias("top"),
     ).first()
-    return [item["item"] for item in (row["k"] or []) if item["count"] >= row["n"] * share]
+    items = {i["item"]: i["count"] for i in row["top"] or [] if i["count"] >= row["n"] * share}
+    return row["n"], row["skipped"], items
+
+
+def measure_skew(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Skew:
+    """One narrow scan of the key columns."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, nulls, hot = _frequent(df, key_hash(on), share, complete(on))
+
+    def parts(count: int) -> int:
+        return max(2, math.ceil(2 * tasks * count / rows))
+
+    null_splits = parts(nulls) if rows and nulls >= rows * share else 1
+    return Skew({item: parts(count) for item, count in hot.items()}, null_splits)
+
+
+def has_abundant(df: DataFrame, value: Column) -> bool:
+    """Does one value hold a large share of the rows?"""
+    return bool(_frequent(df, value, HOT_SHARE)[2])
+
+
+def with_part(df: DataFrame, parts: Column, name: str) -> DataFrame:
+    """Number the rows 0 .. ``parts``-1. The number is a hash of the row, so a retried task gives
+    the same one. Where identical rows abound a hash cannot part them: the rows are then stored
+    and numbered by their place in the files, which a retry does not change either."""
+    if has_abundant(df.where(parts > 1), row_hash(df)):
+        df = materialize(df, "spread")
+        source = F.monotonically_increasing_id()
+    else:
+        source = row_hash(df)
+    part = F.when(parts > 1, F.pmod(source, parts.cast("long"))).otherwise(F.lit(0).cast("long"))
+    return df.withColumn(name, part.cast("int"))
+
+
+def repeat_per_part(df: DataFrame, parts: Column, name: str) -> DataFrame:
+    numbers = F.when(parts > 1, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))
+    return df.withColumn(name, F.explode(numbers))
 
 
 def spread(
-    left: DataFrame, right: DataFrame, on: Sequence[str], hot: Sequence[int], salt: str = "_salt"
+    left: DataFrame, right: DataFrame, on: Sequence[str], skew: Skew, salt: str = "_salt"
 ) -> tuple[DataFrame, DataFrame]:
-    """Add ``salt`` to both sides: spread hot rows on the left, repeat hot rows on the right."""
-    is_hot = key_hash(on).isin(list(hot))
-    left = left.withColumn(
-        salt,
-        F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(SPLITS)).cast("int")).otherwise(0),
-    )
-    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    return left, right.withColumn(salt, F.explode(copies))
+    """Add ``salt`` to both sides: split hot rows on the left, repeat hot rows on the right."""
+    parts = skew.parts(on)
+    return with_part(left, parts, salt), repeat_per_part(right.where(complete(on)), parts, salt)
 
 
 def saltable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> bool:
@@ -78,9 +148,9 @@ def lookup_join(
     on = list(on)
     added = [c for c in right.columns if c not in on]
     if right_rows >= salt_from and saltable(left, right, on):
-        hot = hot_key_hashes(left, on)
-        if hot:
-            salted_left, salted_right = spread(left, right, on, hot)
+        skew = measure_skew(left, on)
+        if skew:
+            salted_left, salted_right = spread(left, right, on, skew)
             joined = salted_left.join(salted_right, [*on, "_salt"], "left")
             return joined.select(*left.columns, *added)
     return left.join(right, on, "left").select(*left.columns, *added)

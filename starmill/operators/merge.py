@@ -9,19 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starmill.operators.contracts import repeated_keys
+from starmill.operators.lookup import complete
 
 
 def upsert(
     target: DataFrame | None, source: DataFrame, key: Sequence[str], check: bool = True
 ) -> DataFrame:
     """Rows of ``source`` replace those of ``target`` with the same key; others are added. A NULL
-    in the key matches nothing. With ``check`` a repeated source key raises, as MERGE does."""
+    in the key matches nothing, so such rows stay out of the join (and out of its one task for
+    NULLs). With ``check`` a repeated source key raises, as MERGE does."""
     if check and not repeated_keys(source, key).isEmpty():
         raise ValueError(f"source rows repeat a key of {list(key)}")
     if target is None:
         return source
-    kept = target.join(source.select(*key), list(key), "left_anti").select(*target.columns)
-    return kept.unionByName(source.select(*target.columns))
+    keyed = target.where(complete(key))
+    kept = keyed.join(source.select(*key), list(key), "left_anti").select(*target.columns)
+    return kept.unionByName(target.where(~complete(key))).unionByName(source.select(*target.columns))
 
 
 def delete_where_equal(df: DataFrame, **equals: Any) -> DataFrame:

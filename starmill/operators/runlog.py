@@ -8,6 +8,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starmill.operators.lookup import lookup_join
+from starmill.sources.workdir import materialize
+
 # The log tables' columns.
 RUN_HISTORY = (
     "run_id string, run_date date, run_timestamp timestamp, pipeline_status string, "
@@ -69,8 +72,8 @@ def latest_set(log: DataFrame, fingerprint: str, ts: str) -> DataFrame:
 def exists_for(keys: DataFrame, log: DataFrame, on: Sequence[str], **equals: Any) -> DataFrame:
     """``keys`` plus ``found``: whether the log holds a matching row. The log is reduced to
     distinct keys before the join, so a chatty key is one row."""
-    hits = log.where(_equals(equals)).select(*on).distinct().withColumn("found", F.lit(True))
-    joined = keys.join(hits, list(on), "left")
+    hits = materialize(log.where(_equals(equals)).select(*on).distinct(), "hits")
+    joined = lookup_join(keys, hits.withColumn("found", F.lit(True)), on, hits.count())
     return joined.select(*keys.columns, F.coalesce("found", F.lit(False)).alias("found"))
 
 

@@ -56,7 +56,7 @@ def dim_channel(spark, sf) -> DataFrame:
 
 def fact_orders(sales: DataFrame, customers: DataFrame, channels: DataFrame) -> DataFrame:
     # numbered before the joins: they keep every row, and the ranges are then found on the scan
-    numbered = surrogate_key(sales, ["order_id"], "order_sk")
+    numbered = surrogate_key(sales, ["order_id"], "order_sk", unique=True)
     resolved = asof_join(
         numbered, customers, "customer_id", "created_ts", "customer_id", "customer_sk"
     )

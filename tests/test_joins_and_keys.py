@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from starmill.operators import asof
 from starmill.operators.asof import asof_join
 from starmill.operators.keys import surrogate_key
-from starmill.operators.lookup import hot_key_hashes, lookup_join
+from starmill.operators.lookup import lookup_join, measure_skew, spread
 
 
 @pytest.fixture
@@ -22,19 +22,35 @@ def skewed(spark):
 
 
 def test_hot_keys_are_found_and_few(skewed):
-    hot = hot_key_hashes(skewed, ["k"])
-    assert hot == [r[0] for r in skewed.where("k = 7").select(F.xxhash64("k")).distinct().collect()]
-    assert hot_key_hashes(skewed.where("k <> 7"), ["k"]) == []
-    assert hot_key_hashes(skewed.where("false"), ["k"]) == []
-
-
-def test_salted_lookup_equals_plain_join(spark, skewed):
+    skew = measure_skew(skewed, ["k"])
+    (seven,) = skewed.where("k = 7").select(F.xxhash64("k")).distinct().collect()
+    assert skew.splits == {seven[0]: 6} and skew.null_splits == 1  # a third of 8 tasks, doubled
+    assert not measure_skew(skewed.where("k <> 7"), ["k"])
+    assert not measure_skew(skewed.where("false"), ["k"])
+    nulls = skewed.withColumn("k", F.expr("nullif(k, 7)"))
+    assert measure_skew(nulls, ["k"]).null_splits == 6
+
+
+def partitions_of(salted, where):
+    """Join partitions that hold the rows of ``where``."""
+    spread_out = salted.where(where).select("k", "_salt").repartition(64, "k", "_salt")
+    return spread_out.select(F.spark_partition_id()).distinct().count()
+
+
+@pytest.mark.parametrize("hot", ["7", "NULL"])
+@pytest.mark.parametrize("copies", [False, True])
+def test_salted_lookup_equals_plain_join(spark, skewed, hot, copies):
+    left = skewed.withColumn("k", F.expr(f"CASE WHEN k = 7 THEN {hot} ELSE k END").cast("long"))
+    if copies:  # the hot rows are identical
+        left = left.withColumn("v", F.expr("CASE WHEN v % 3 = 0 THEN 0 ELSE v END"))
     right = spark.range(400).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    expected = rows(skewed.join(right, "k", "left").select("k", "v", "w"))
-    salted = lookup_join(skewed, right, ["k"], 400, salt_from=1)
+    expected = rows(left.join(right, "k", "left").select("k", "v", "w"))
+    salted = lookup_join(left, right, ["k"], 400, salt_from=1)
     assert "_salt" in plan(salted)
     assert rows(salted) == expected
-    assert rows(lookup_join(skewed, right, ["k"], 400)) == expected
+    assert rows(lookup_join(left, right, ["k"], 400)) == expected
+    split, _ = spread(left, right, ["k"], measure_skew(left, ["k"]))
+    assert partitions_of(split, F.col("k").eqNullSafe(F.expr(hot).cast("long"))) > 2
 
 
 def test_lookup_keeps_null_keys_and_column_order(spark):
@@ -55,6 +71,16 @@ def test_surrogate_keys_equal_row_number_without_one_partition(spark):
     )
 
 
+def test_surrogate_keys_part_abundant_ties(spark):
+    df = spark.range(3000).select(F.expr("CASE WHEN id % 3 = 0 THEN 5 ELSE id END").alias("k"))
+    numbered = surrogate_key(df, ["k"], "sk", partitions=8)
+    ranked = df.withColumn("sk", F.row_number().over(Window.orderBy("k")))
+    assert rows(numbered) == rows(ranked)
+    files = numbered.where("k = 5").select(F.input_file_name()).distinct().count()
+    assert files > 2
+    assert "_tie" not in numbered.columns
+
+
 def test_surrogate_keys_nulls_first_and_empty(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "k string")
     assert rows(surrogate_key(df, ["k"], "sk")) == [("a", 2), ("b", 3), (None, 1)]
