@@ -96,13 +96,24 @@ def _cuts(times: DataFrame, skew: Skew) -> dict[int, list[str]]:
 
 
 def _slice_of(cuts: dict[int, list[str]], time_type: str) -> Column:
-    """How many of its key's cuts lie at or before the row's time; 0 for all but hot keys."""
+    """How many of its key's cuts lie at or before the row's time (binary search over a constant
+    array); 0 for all but hot keys."""
     if not cuts:
         return F.lit(0)
-    text = json.dumps({str(h): points for h, points in cuts.items()})
-    table = F.from_json(F.lit(text), "map<string,array<string>>")
-    own = F.try_element_at(table, key_hash(["_k"]).cast("string")).cast(f"array<{time_type}>")
-    return F.coalesce(F.size(F.filter(own, lambda cut: cut <= F.col("_t"))), F.lit(0))
+    pairs = []
+    for hashed, points in cuts.items():
+        array = F.from_json(F.lit(json.dumps(points)), "array<string>")
+        pairs += [F.lit(hashed), array.cast(f"array<{time_type}>")]
+    own = F.try_element_at(F.create_map(*pairs), key_hash(["_k"]))
+    strides = []
+    while not strides or strides[-1] * 2 <= max(len(p) for p in cuts.values()):
+        strides.append(strides[-1] * 2 if strides else 1)
+    found = F.aggregate(
+        F.array(*[F.lit(n) for n in reversed(strides)]),
+        F.lit(0),
+        lambda at, n: at + F.when(F.get(own, at + n - 1) <= F.col("_t"), n).otherwise(0),
+    )
+    return F.when(key_hash(["_k"]).isin(list(cuts)), found).otherwise(F.lit(0))
 
 
 def _merge(events, versions, key, ts, sk) -> DataFrame:

@@ -16,16 +16,23 @@ _local_folders: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh one only for a local session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/") + "/starmill"
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    """This application's folder below ``spark.checkpoint.dir``; a temporary folder stands in
+    only for a local session that names none."""
     app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="starmill-")
-    return _local_folders[app]
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = _local_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="starmill-")
+        _local_folders[app] = folder
+    return f"{folder.rstrip('/')}/starmill-{app}"
+
+
+def drop_work_tables(spark: SparkSession) -> None:
+    """Delete this application's intermediates. For the end of a load: frames that still read
+    them cannot be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh_path(spark: SparkSession, label: str = "t") -> str:
