@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from starmill.operators import profile as P
 from starmill.operators import reconcile as R
 from starmill.operators import relations as rel
+from starmill.plans.profiling import profile_sources as profile_report
 from starmill.suite.fixtures import load, sql
 from starmill.suite.registry import query
 
-TABLES = ("customer", "orders", "lineitem", "part", "supplier", "nation", "region", "events")
 RELATED = ("customers", "order_headers", "order_lines", "parts", "suppliers", "nations", "regions")
 KEYS = {
     "customers": ["customer_id"],
@@ -236,19 +236,31 @@ def fk_orphans(spark, sf):
     return rel.orphan_count(dirty, "customer_id", load(spark, sf, "customers"), "customer_id")
 
 
-@query(
-    "profile_sources",
-    " UNION ALL ".join(
+def _sources_oracle() -> str:
+    parents = {"customers": 1, "order_headers": 1, "order_lines": 3, "parts": 0, "suppliers": 1, "nations": 1,
+               "regions": 0}  # relationships by construction of the test tables
+    return sql(" UNION ALL ".join(
         f"""SELECT '{t}' AS "table", count(*) AS row_count,
-            CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS column_count FROM {t}"""
-        for t in TABLES
-    ),
-)
+                   (SELECT count(*) FROM (DESCRIBE SELECT * FROM {{{t}}})) AS column_count,
+                   {f"CASE WHEN count(*) = count(DISTINCT {KEYS[t][0]}) THEN '{KEYS[t][0]}' END" if t in KEYS else "''"}
+                       AS keys,
+                   CAST({parents[t]} AS BIGINT) AS parents FROM {{{t}}}"""
+        for t in RELATED
+    ))
+
+
+@query("profile_sources", _sources_oracle())
 def profile_sources(spark, sf):
-    stats = [P.column_statistics(load(spark, sf, t), t) for t in TABLES]
-    return functools.reduce(DataFrame.unionByName, stats).select(
-        "table", "row_count", "column_count"
-    ).distinct()
+    """The whole report over seven related tables, one line per table."""
+    report = profile_report({name: load(spark, sf, name) for name in RELATED})
+    lines = [
+        (t, p["row_count"], p["column_count"], ",".join(report["candidate_unique_keys"][t]),
+         sum(r["table"] == t for r in report["referential_integrity"]))
+        for t, p in report["tables"].items()
+    ]
+    return spark.createDataFrame(
+        lines, "table string, row_count long, column_count long, keys string, parents long"
+    )
 
 
 # ---------------------------------------------------------------- contract fitted to the profile
