@@ -5,6 +5,7 @@ from starmill.suite import (  # noqa: F401  (importing registers the queries)
     contracts,
     gold,
     history,
+    loads,
     logs,
     products,
     profiles,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from starmill.operators import cleanse as K
 from starmill.plans.load import promote
-from starmill.suite.contracts import CONTRACT, FLAGGED, _ANY
+from starmill.suite.contracts import _ANY, _REASONS, CONTRACT, FLAGGED
 from starmill.suite.fixtures import load, sql
 from starmill.suite.registry import query
 
@@ -51,10 +51,6 @@ def clean_yn_bool(spark, sf):
     return K.text_flags_to_boolean(df, ["is_rush", "absent"])
 
 
-_NEWEST = """SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER
-    (PARTITION BY {key} ORDER BY {order}) AS r FROM {source}) WHERE r = 1"""
-
-
 @query(
     "dedupe_latest",
     sql("""SELECT order_id, customer_id, status, price, _ingestion_ts FROM
@@ -79,7 +75,7 @@ def dedupe_latest_composite(spark, sf):
 
 
 # orders: deduplicated first, so its unique rule cannot fail any more
-_SILVER = FLAGGED.replace("{orders_dirty}", """(SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER
+SILVER_FLAGGED = FLAGGED.replace("{orders_dirty}", """(SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER
     (PARTITION BY order_id) AS r FROM {orders_dirty}) WHERE r = 1)""")
 
 
@@ -96,12 +92,20 @@ def _promotion(spark, sf):
     sql(f"""SELECT order_id, customer_id, trim(status) AS status, price, priority, order_ts, cancelled_ts, note,
                    TIMESTAMP '2002-01-01' AS _ingestion_ts, 'b1' AS _batch_id, 'raw' AS _source_layer,
                    TIMESTAMP '2002-01-01' AS _silver_load_ts
-            FROM ({_SILVER}) WHERE NOT {_ANY}"""),
+            FROM ({SILVER_FLAGGED}) WHERE NOT {_ANY}"""),
 )
 def silver_promote(spark, sf):
     return _promotion(spark, sf).clean
 
 
+@query(
+    "silver_quarantine",
+    sql(f"SELECT order_id, customer_id, {_REASONS} AS _quarantine_reasons FROM ({SILVER_FLAGGED}) WHERE {_ANY}"),
+)
+def silver_quarantine(spark, sf):
+    return _promotion(spark, sf).quarantined.select("order_id", "customer_id", "_quarantine_reasons")
+
+
 @query(
     "layer_audit",
     sql(f"""SELECT 'orders' AS "table", (SELECT count(*) FROM {{orders_dirty}}) AS row_count_raw,
@@ -109,7 +113,7 @@ def silver_promote(spark, sf):
                    count(*) AS row_count_in, count(*) FILTER (NOT {_ANY}) AS row_count_promoted,
                    count(*) FILTER ({_ANY}) AS row_count_quarantined,
                    count(*) FILTER (b_null) > 0 OR count(*) FILTER (b_parent) > 0.01 * count(*) AS promotion_blocked
-            FROM ({_SILVER})"""),
+            FROM ({SILVER_FLAGGED})"""),
 )
 def layer_audit(spark, sf):
     return _promotion(spark, sf).audit()

@@ -44,8 +44,7 @@ _REASONS = """concat_ws(';', CASE WHEN b_null THEN 'not_null' END, CASE WHEN b_u
     CASE WHEN b_priority THEN 'regex_priority' END,
     CASE WHEN b_after THEN 'consistency_cancelled_after_order' END,
     CASE WHEN b_final THEN 'consistency_cancelled_is_final' END,
-    CASE WHEN b_parent THEN 'ri_customer_id_customers' END, CASE WHEN b_note THEN 'not_null_when_note' END)"""
-_REASONS = _REASONS.replace("ri_customer_id_customers", "ri_customer_id")
+    CASE WHEN b_parent THEN 'ri_customer_id' END, CASE WHEN b_note THEN 'not_null_when_note' END)"""
 _ANY = "(b_null OR b_unique OR b_status OR b_price OR b_priority OR b_after OR b_final OR b_parent OR b_note)"
 
 

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
-    return local_session(4, memory="4g", **{"spark.checkpoint.dir": folder})
+    return local_session(8, memory="4g", **{"spark.checkpoint.dir": folder})
 
 
 @pytest.fixture

@@ -140,6 +140,18 @@ def test_asof_with_a_hot_key_against_brute_force(spark, strategy, hot_versions):
     assert ("_salt" if strategy == "range" else "_slice") in text
 
 
+@pytest.mark.parametrize("strategy", ["range", "merge"])
+def test_asof_with_identical_events_and_null_keys(spark, strategy):
+    versions, listed = versions_of(spark, {7: list(range(0, 2000, 7)), 8: [3]})
+    day = T0 + timedelta(days=500)
+    events = [(0, 7, day)] * 300 + [(1, None, day)] * 300 + [
+        (2 + i, 7 + i % 3, T0 + timedelta(days=i)) for i in range(300)
+    ]
+    df = spark.createDataFrame(events, "id int, key int, ts timestamp")
+    got = asof_join(df, versions, "key", "ts", "key", "sk", strategy, salt_from=1)
+    assert rows(got) == brute(events, listed)
+
+
 def test_deep_history_chooses_merge(spark, monkeypatch):
     monkeypatch.setattr(asof, "DEEP", 5)
     versions, listed = versions_of(spark, {1: list(range(10)), 2: [0]})

@@ -8,7 +8,8 @@ from check_oracle import compare, connect
 
 # Each of these stores a whole star first; one of them is enough here (check_oracle.py runs all).
 SLOW = {"gold_row_counts", "build_product", "list_products", "product_customer_360",
-        "product_profitability", "product_margin_by_month", "product_cancellation_risk"}
+        "product_profitability", "product_margin_by_month", "product_cancellation_risk",
+        "product_supplier_scorecard", "profile_sources", "load_layers", "dim_scd2_customer"}
 
 
 @pytest.fixture(scope="module")
