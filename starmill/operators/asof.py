@@ -19,6 +19,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starmill.functions.columns import is_numeric
 from starmill.operators.lookup import (
     SALT_FROM_ROWS,
     Skew,
@@ -116,18 +117,28 @@ def _slice_of(cuts: dict[int, list[str]], time_type: str) -> Column:
     return F.when(key_hash(["_k"]).isin(list(cuts)), found).otherwise(F.lit(0))
 
 
+def _common_type(left: DataFrame, right: DataFrame, column: str) -> str:
+    """The type both columns can be sorted in: their own, or the wider of two numbers."""
+    a, b = left.schema[column].dataType, right.schema[column].dataType
+    if a != b and not (is_numeric(a) and is_numeric(b)):
+        raise TypeError(f"cannot merge {column} as {a.simpleString()} with {b.simpleString()}")
+    both = left.select(column).union(right.select(column))
+    return both.schema[column].dataType.simpleString()
+
+
 def _merge(events, versions, key, ts, sk) -> DataFrame:
     usable = complete([key, ts])
+    key_type = _common_type(events, versions, key)
     time_type = events.schema[ts].dataType.simpleString()
     version = F.struct(F.col("eff_start_ts").alias("start"), F.col("eff_end_ts").alias("end"), sk)
     left = events.where(usable).select(
-        F.col(key).alias("_k"),
+        F.col(key).cast(key_type).alias("_k"),
         F.col(ts).alias("_t"),
         F.lit(1).alias("_kind"),
         F.struct(*events.columns).alias("_event"),
     )
     right = versions.dropna(subset=[key]).select(
-        F.col(key).cast(events.schema[key].dataType).alias("_k"),
+        F.col(key).cast(key_type).alias("_k"),
         F.col("eff_start_ts").cast(time_type).alias("_t"),
         F.lit(0).alias("_kind"),
         version.alias("_version"),

@@ -13,30 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starmill.functions.columns import change_hash
+from starmill.operators import contracts
 from starmill.operators.keys import surrogate_key
+from starmill.operators.lookup import complete
+from starmill.sources.lake import Lake
+from starmill.sources.workdir import materialize
 
 FIRST_START = "1900-01-01 00:00:00"
 
 
 def split_business_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``: a history needs exactly one incoming row per non-NULL key."""
-    from starmill.operators.contracts import REASONS, Check, clean_rows, flag_rows, quarantined_rows
-    from starmill.operators.contracts import repeated_keys
-    from starmill.sources.workdir import materialize
-
-    missing = Check("not_null", "_fail_not_null", "hard", 0.0, fails=F.col(key).isNull())
-    repeated = Check(
+    missing = contracts.Check("not_null", "_fail_not_null", "hard", 0.0, fails=~complete([key]))
+    repeated = contracts.Check(
         f"unique[{key}]",
         f"_fail_unique_{key}",
         "hard",
         0.0,
-        bad_keys=materialize(repeated_keys(df, [key]), "dup"),
+        bad_keys=materialize(contracts.repeated_keys(df, [key]), "dup"),
         on=(key,),
     )
     checks = [missing, repeated]
-    flagged = flag_rows(df, checks)
-    assert REASONS not in df.columns
-    return clean_rows(flagged, checks), quarantined_rows(flagged, checks)
+    flagged = contracts.flag_rows(df, checks)
+    return contracts.clean_rows(flagged, checks), contracts.quarantined_rows(flagged, checks)
 
 
 def _open_versions(df: DataFrame, start: Column, load_ts: str) -> DataFrame:
@@ -97,3 +96,12 @@ def next_history(
         {"eff_end_ts": F.col("_ended"), "is_current": F.col("_ended").isNull()}
     ).select(*history.columns)
     return past.unionByName(current).unionByName(opened, allowMissingColumns=True)
+
+
+def history_after(
+    lake: Lake, table: str, incoming: DataFrame, key: str, tracked: Sequence[str], sk: str
+) -> DataFrame:
+    """The stored gold history with the batch applied, or the first one if there is none."""
+    if lake.exists("gold", table):
+        return next_history(lake.read("gold", table), incoming, key, tracked, sk)
+    return first_history(incoming, key, tracked, sk)

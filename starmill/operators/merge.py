@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from starmill.operators.contracts import repeated_keys
 from starmill.operators.lookup import complete
+from starmill.sources.lake import Lake
 
 
 def upsert(
@@ -33,3 +34,14 @@ def delete_where_equal(df: DataFrame, **equals: Any) -> DataFrame:
     for column, value in equals.items():
         hit = hit & F.col(column).eqNullSafe(F.lit(value))
     return df.where(~hit)
+
+
+def upsert_table(lake: Lake, df: DataFrame, layer: str, table: str, key: Sequence[str]) -> str:
+    """``upsert`` into a stored table (created if absent) as its next load."""
+    stored = lake.read(layer, table) if lake.exists(layer, table) else None
+    return lake.overwrite(upsert(stored, df, key), layer, table)
+
+
+def delete_from_table(lake: Lake, layer: str, table: str, **equals: Any) -> str:
+    """``delete_where_equal`` on a stored table; without arguments all rows go."""
+    return lake.overwrite(delete_where_equal(lake.read(layer, table), **equals), layer, table)

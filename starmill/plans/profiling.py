@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from starmill.functions.fingerprints import schema_fingerprint
 from starmill.operators import profile as P
-from starmill.operators.merge import upsert
+from starmill.operators.merge import upsert_table
 from starmill.operators.relations import discover_foreign_keys
 from starmill.sources.files import discover_sources, load_csv
 from starmill.sources.lake import Lake
@@ -115,5 +115,5 @@ def profile_once(
     report = profile_sources(tables, exact)
     text = json.dumps(report, default=str)
     row = lake.spark.createDataFrame([(fingerprint, snapshot, text, at)], CACHE_SCHEMA)
-    lake.overwrite(upsert(stored, row, ["fingerprint", "snapshot"]), "gold", CACHE)
+    upsert_table(lake, row, "gold", CACHE, ["fingerprint", "snapshot"])
     return json.loads(text)

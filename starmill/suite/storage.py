@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmill.operators.merge import delete_where_equal, upsert
+from starmill.operators.merge import delete_from_table, upsert
 from starmill.sources.files import discover_sources, load_csv, write_csv
 from starmill.sources.lake import Lake
 from starmill.sources.workdir import fresh_path
@@ -116,8 +116,7 @@ def merge_upsert_composite(spark, sf):
 def delete_by_key(spark, sf):
     lake = Lake(spark, fresh_path(spark, "lake"))
     lake.append(load(spark, sf, "run_log").select("run_id", "fingerprint", "status"), "gold", "runs")
-    rest = delete_where_equal(lake.read("gold", "runs"), fingerprint="7")
-    lake.overwrite(rest, "gold", "runs")
+    delete_from_table(lake, "gold", "runs", fingerprint="7")
     return lake.read("gold", "runs")
 
 

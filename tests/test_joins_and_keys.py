@@ -165,3 +165,15 @@ def test_asof_on_an_empty_dimension(spark):
     versions, _ = versions_of(spark, {1: [0]})
     df = spark.createDataFrame([(0, 1, T0)], "id int, key int, ts timestamp")
     assert rows(asof_join(df, versions.where("false"), "key", "ts", "key", "sk")) == [(0, 1, T0, None)]
+
+
+def test_asof_keys_of_different_types(spark):
+    versions, listed = versions_of(spark, {1: [0]})
+    wide = versions.withColumn("key", F.col("key").cast("long") + 2**40).unionByName(
+        versions.withColumn("key", F.col("key").cast("long"))
+    )
+    df = spark.createDataFrame([(0, 1, T0)], "id int, key int, ts timestamp")
+    for strategy in ("range", "merge"):
+        assert rows(asof_join(df, wide, "key", "ts", "key", "sk", strategy)) == [(0, 1, T0, 1)]
+    with pytest.raises(TypeError):
+        asof_join(df, versions.withColumn("key", F.lit("a")), "key", "ts", "key", "sk", "merge")

@@ -2,7 +2,7 @@ import pytest
 from conftest import rows
 
 from starmill.operators import runlog as L
-from starmill.operators.merge import delete_where_equal, upsert
+from starmill.operators.merge import delete_from_table, delete_where_equal, upsert, upsert_table
 from starmill.operators.products import Products
 from starmill.sources import files
 from pyspark.sql import functions as F
@@ -67,6 +67,17 @@ def test_delete(spark):
     assert delete_where_equal(df).count() == 0
 
 
+def test_stored_tables_can_be_upserted_and_emptied(spark, lake):
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    upsert_table(lake, first, "gold", "cache", ["k"])
+    upsert_table(lake, spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string"), "gold", "cache", ["k"])
+    assert rows(lake.read("gold", "cache")) == [(1, "a"), (2, "B"), (3, "c")]
+    delete_from_table(lake, "gold", "cache", k=2)
+    assert rows(lake.read("gold", "cache")) == [(1, "a"), (3, "c")]
+    delete_from_table(lake, "gold", "cache")
+    assert lake.read("gold", "cache").count() == 0 and lake.exists("gold", "cache")
+
+
 # ------------------------------------------------------------------ logs
 
 LOG = [("r1", "f1", "ok", 1), ("r2", "f1", "bad", 3), ("r3", "f2", "ok", 2), ("r4", "f1", "ok", 3)]
