@@ -237,15 +237,21 @@ def fk_orphans(spark, sf):
 
 
 def _sources_oracle() -> str:
-    parents = {"customers": 1, "order_headers": 1, "order_lines": 3, "parts": 0, "suppliers": 1, "nations": 1,
-               "regions": 0}  # relationships by construction of the test tables
+    ids = {"customers": ["customer_id", "nation_id"], "order_headers": ["order_id", "customer_id"],
+           "order_lines": ["order_id", "part_id", "supplier_id"], "parts": ["part_id"],
+           "suppliers": ["supplier_id", "nation_id"], "nations": ["nation_id", "region_id"],
+           "regions": ["region_id"]}
+
+    def keys(columns: list[str]) -> str:
+        return ", ".join(
+            f"CASE WHEN count(*) = count({c}) AND count(*) = count(DISTINCT {c}) THEN '{c}' END" for c in columns
+        )
+
     return sql(" UNION ALL ".join(
         f"""SELECT '{t}' AS "table", count(*) AS row_count,
                    (SELECT count(*) FROM (DESCRIBE SELECT * FROM {{{t}}})) AS column_count,
-                   {f"CASE WHEN count(*) = count(DISTINCT {KEYS[t][0]}) THEN '{KEYS[t][0]}' END" if t in KEYS else "''"}
-                       AS keys,
-                   CAST({parents[t]} AS BIGINT) AS parents FROM {{{t}}}"""
-        for t in RELATED
+                   concat_ws(',', {keys(columns)}) AS keys FROM {{{t}}}"""
+        for t, columns in ids.items()
     ))
 
 
@@ -254,12 +260,11 @@ def profile_sources(spark, sf):
     """The whole report over seven related tables, one line per table."""
     report = profile_report({name: load(spark, sf, name) for name in RELATED})
     lines = [
-        (t, p["row_count"], p["column_count"], ",".join(report["candidate_unique_keys"][t]),
-         sum(r["table"] == t for r in report["referential_integrity"]))
+        (t, p["row_count"], p["column_count"], ",".join(report["candidate_unique_keys"][t]))
         for t, p in report["tables"].items()
     ]
     return spark.createDataFrame(
-        lines, "table string, row_count long, column_count long, keys string, parents long"
+        lines, "table string, row_count long, column_count long, keys string"
     )
 
 
