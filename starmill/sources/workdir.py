@@ -7,6 +7,7 @@ when those sizes are below ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def work_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = _local_folders.setdefault(app, "") or tempfile.mkdtemp(prefix="starmill-")
         _local_folders[app] = folder
