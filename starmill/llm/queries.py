@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starmill.llm import (
     decontaminate,
+    html_extract,
     mixing,
     pii,
+    quality_model,
     quality_rules,
+    sentence_dedup,
     simhash,
+    url_filter,
+    warc,
 )
+from starmill.sources.workdir import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +27,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Verdict, host, path.
+URL_RULES = [
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.filter_urls(pages, URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_pages(spark, path)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = (table(spark, sf_dir, t) for t in ("documents", "benchmark"))
     return decontaminate.contamination(docs, items)
@@ -40,6 +67,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return quality_model.quality_scores(docs, labels)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return mixing.mixing_rates(docs, labels)
@@ -52,9 +92,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_url_filter,
+        op2_warc,
         op3_decontaminate,
         op4_pii,
         op5_quality_rules,
+        op6_html_extract,
+        op7_sentence_dedup,
+        op8_quality_model,
         op9_mixing,
         op10_simhash,
     )
@@ -96,4 +141,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES: dict[str, str] = {"op5_quality_rules": QUALITY_RULES}
+URL_FILTER = r"""
+WITH p AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), r AS (
+  SELECT *, '.' || host AS h FROM p
+), m AS (
+  SELECT page_id, host, path, CASE
+    WHEN ends_with(h, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN ends_with(h, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN ends_with(h, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN ends_with(h, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM r
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
+FROM m
+"""
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS t FROM pages
+), d AS (
+  SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS hex,
+    min(page_id) OVER (PARTITION BY sha1(t)) AS owner
+  FROM p
+), b AS (
+  SELECT *, list_aggregate(list_transform(range(0, 32), k -> substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT)
+      >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+  FROM d
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM b
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_url_filter": URL_FILTER,
+    "op2_warc": WARC,
+    "op5_quality_rules": QUALITY_RULES,
+}
