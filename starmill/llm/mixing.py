@@ -60,12 +60,12 @@ def with_features(docs: DataFrame, text: str, words: str, tokens: str, found: st
     raw = F.coalesce(F.col(text), F.lit(""))
     size = F.col(tokens).cast("double") + 1e-9
     letters = F.length(raw).cast("double") + 1e-9
-    marks = F.length(F.translate(raw, "#*$%&|<>", ""))
-    capitals = F.length(F.translate(raw, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    marks = F.regexp_count(raw, F.lit("[#*$%&|<>]"))
+    capitals = F.regexp_count(raw, F.lit("[A-Z]"))
     statistics = [
         ranges("words", F.col(tokens), [5, 20, 50, 100, 200, 400, 800, 1600]),
-        ranges("marks", (F.length(raw) - marks) / size, [0.01, 0.05, 0.2, 0.5, 1.0, 2.0]),
-        ranges("capitals", (F.length(raw) - capitals) / letters, [0.01, 0.02, 0.05, 0.1, 0.3]),
+        ranges("marks", marks / size, [0.01, 0.05, 0.2, 0.5, 1.0, 2.0]),
+        ranges("capitals", capitals / letters, [0.01, 0.02, 0.05, 0.1, 0.3]),
         ranges("length", letters / size, [4.0, 5.0, 6.0, 6.5, 7.0, 8.0, 9.0]),
         ranges("kinds", F.size(words) / size, [0.02, 0.1, 0.2, 0.35, 0.5, 0.6, 0.7, 0.8, 0.9]),
     ]
@@ -87,27 +87,28 @@ class Classifier:
     def __init__(self, bias: list[float], weights: dict[str, list[float]]):
         self.bias, self.weights = bias, weights
 
-    def posterior(self, features: Column) -> Column:
-        """Posterior per domain in steps of 1 / ``GRID``, an array that sums to 1."""
-        if not self.weights:
-            known = F.array(*[F.lit(b) for b in self.bias])
-        else:
-            names = F.array(*[F.lit(w) for w in self.weights])
-            pairs = [
-                x for w, v in self.weights.items()
-                for x in (F.lit(w), F.array(*[F.lit(y) for y in v]))
-            ]
-            table = F.create_map(*pairs)
-            present = F.array_intersect(features, names)
-            known = F.aggregate(
-                F.transform(present, lambda w: F.element_at(table, w)),
-                F.array(*[F.lit(b) for b in self.bias]),
-                lambda total, w: F.zip_with(total, w, lambda x, y: x + y),
+    def with_posterior(self, docs: DataFrame, features: Column, out: str) -> DataFrame:
+        """``docs`` with the posterior per domain in steps of 1 / ``GRID``, an array that sums to
+        1 (but for rounding). Each step is a column of its own, so that it is computed once."""
+        names = F.array(*[F.lit(w) for w in self.weights]).cast("array<string>")
+        docs = docs.withColumn(out, F.array_intersect(features, names))
+        sums = []
+        for k, bias in enumerate(self.bias):
+            if not self.weights:
+                sums.append(F.lit(bias))
+                continue
+            pairs = [x for w, v in self.weights.items() for x in (F.lit(w), F.lit(v[k]))]
+            weights = F.create_map(*pairs)
+            sums.append(
+                F.aggregate(out, F.lit(bias), lambda a, w, t=weights: a + F.element_at(t, w))
             )
-        top = F.array_max(known)
-        raised = F.transform(known, lambda x: F.exp(x - top))
-        total = F.aggregate(raised, F.lit(0.0), lambda x, y: x + y)
-        return F.transform(raised, lambda x: F.round(x / total * GRID) / GRID)
+        docs = docs.withColumn(out, F.array(*sums))
+        docs = docs.withColumn(
+            out, F.array(*[F.exp(F.col(out)[k] - F.array_max(out)) for k in range(len(sums))])
+        )
+        total = sum((F.col(out)[k] for k in range(1, len(sums))), F.col(out)[0])
+        parts = [F.round(F.col(out)[k] / total * GRID) / GRID for k in range(len(sums))]
+        return docs.withColumn(out, F.array(*parts))
 
 
 def learn(
@@ -235,7 +236,7 @@ def with_posterior(
     words, found = free_name(docs, "_words"), free_name(docs, "_found")
     out = with_features(docs, text, words, tokens, found)
     features = F.concat(F.col(words), F.col(found))
-    return out.withColumn(posterior, classifier.posterior(features)).drop(words, found)
+    return classifier.with_posterior(out, features, posterior).drop(words, found)
 
 
 def mixing_rates(
