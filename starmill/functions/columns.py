@@ -39,6 +39,18 @@ def money(column: Column | str, scale: int = 2) -> Column:
     return c.cast(T.DecimalType(18, scale))
 
 
+def amount(column: Column | str) -> Column:
+    """A sum of money before conversion. Times ``exchange_rate`` it fits 38 digits; a value too
+    large for it is NULL, so that one bad value does not end a load."""
+    c = F.col(column) if isinstance(column, str) else column
+    return c.try_cast(T.DecimalType(20, 4))
+
+
+def exchange_rate(column: Column | str) -> Column:
+    c = F.col(column) if isinstance(column, str) else column
+    return c.try_cast(T.DecimalType(17, 12))
+
+
 def flag_from_text(column: str, mapping: Mapping[str, bool] = YES_NO) -> Column:
     """Text flag to boolean; a value outside the mapping becomes NULL."""
     yes = [text for text, value in mapping.items() if value]
@@ -57,3 +69,30 @@ def blank(field: T.StructField) -> Column:
 
 def is_numeric(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)
+
+
+def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type in which values of both are compared: never narrower than either."""
+    if left == right:
+        return left
+    if is_numeric(left) and is_numeric(right):
+        if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+            return T.LongType()
+        if isinstance(left, T.FractionalType) and isinstance(right, T.FractionalType):
+            if not (isinstance(left, T.DecimalType) and isinstance(right, T.DecimalType)):
+                return T.DoubleType()
+            scale = max(left.scale, right.scale)
+            whole = max(left.precision - left.scale, right.precision - right.scale)
+            return T.DecimalType(min(38, whole + scale), scale)
+        other = left if isinstance(right, T.IntegralType) else right
+        if isinstance(other, T.DecimalType):
+            return T.DecimalType(min(38, max(19, other.precision - other.scale) + other.scale), other.scale)
+        return T.DoubleType()
+    times = {T.DateType(): 0, T.TimestampNTZType(): 1, T.TimestampType(): 2}
+    if left in times and right in times:
+        return max(left, right, key=times.get)
+    if isinstance(left, T.StringType):
+        return right
+    if isinstance(right, T.StringType):
+        return left
+    return T.StringType()

@@ -1,13 +1,19 @@
 """Point-in-time key resolution: which version of a dimension row was valid at the event?
 
 Left join semantics: an event without a valid version gets a NULL key, and no event is lost or
-doubled (versions of one key do not overlap). Two exact strategies:
+doubled. Of the versions that have started, only the last one (by start, then key) is considered,
+so where versions of one key overlap, the later start wins. Two exact strategies with the same
+answer, chosen by the depth of the history:
 
 ``range``  equi join on the key with both validity bounds as residual. Right while a key has few
            versions; hot event keys are spread (see ``lookup``).
 ``merge``  events and versions sorted together per key, the last version seen carried forward.
            Linear however many versions a key has. Hot keys are cut into time slices, each slice
            starting with the version in force at its start, so one key is many tasks.
+
+Before the choice both sides' times and keys are brought to one type, upwards: a DATE becomes the
+timestamp of its midnight, the narrower number the wider one. Text meets another type as that
+type; text that does not convert matches nothing.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ import operator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starmill.functions.columns import is_numeric
+from starmill.functions.columns import common_type
 from starmill.operators.lookup import (
     SALT_FROM_ROWS,
     Skew,
@@ -36,6 +43,33 @@ DEEP = 1000  # versions of one key beyond which comparing each event with each o
 MAX_SLICES = 64  # time slices of one hot key; finer splitting is by row
 
 
+def _as(column: str, kind: T.DataType, wanted: T.DataType) -> Column:
+    c = F.col(column)
+    return c if kind == wanted else c.try_cast(wanted)
+
+
+def _aligned(events, versions, event_key, event_ts, version_key, sk):
+    """Both sides with key ``_k`` and time ``_t`` (a version's start) in common types; versions
+    also with ``_end``. Versions without key or start are never valid."""
+    kinds = {c: events.schema[c].dataType for c in (event_key, event_ts)}
+    v = {c: versions.schema[c].dataType for c in (version_key, "eff_start_ts", "eff_end_ts")}
+    key = common_type(kinds[event_key], v[version_key])
+    time = common_type(v["eff_start_ts"], v["eff_end_ts"])
+    time = common_type(kinds[event_ts], time)
+    if isinstance(time, T.StringType):  # text on both sides
+        time = T.TimestampType()
+    left = events.withColumns(
+        {"_k": _as(event_key, kinds[event_key], key), "_t": _as(event_ts, kinds[event_ts], time)}
+    )
+    right = versions.select(
+        _as(version_key, v[version_key], key).alias("_k"),
+        _as("eff_start_ts", v["eff_start_ts"], time).alias("_t"),
+        _as("eff_end_ts", v["eff_end_ts"], time).alias("_end"),
+        F.col(sk).alias("_sk"),
+    ).dropna(subset=["_k", "_t"])
+    return left, right
+
+
 def asof_join(
     events: DataFrame,
     versions: DataFrame,
@@ -48,35 +82,36 @@ def asof_join(
 ) -> DataFrame:
     """``events`` plus column ``sk`` of the version valid at ``event_ts``. ``versions`` should be
     a stored frame: it is measured first (one narrow aggregate) to choose the strategy."""
-    narrow = versions.select(
-        F.col(version_key).alias(event_key), sk, "eff_start_ts", "eff_end_ts"
-    )
+    names = events.columns
+    left, right = _aligned(events, versions, event_key, event_ts, version_key, sk)
     size = (
-        narrow.groupBy(event_key).agg(F.count(F.lit(1)).alias("n"))
+        right.groupBy("_k").agg(F.count(F.lit(1)).alias("n"))
         .agg(F.max("n").alias("deepest"), F.sum("n").alias("rows")).first()
     )
     if strategy is None:
         strategy = "merge" if (size["deepest"] or 0) > DEEP else "range"
     if strategy == "merge":
-        return _merge(events, narrow, event_key, event_ts, sk)
+        return _merge(left, right, names, sk)
     skew = Skew()
-    if (size["rows"] or 0) >= salt_from and saltable(events, narrow, [event_key]):
-        skew = measure_skew(events, [event_key])
-    return _range(events, narrow, event_key, event_ts, sk, skew)
+    if (size["rows"] or 0) >= salt_from and saltable(left, right, ["_k"]):
+        skew = measure_skew(left, ["_k"])
+    return _range(left, right, names, sk, skew)
 
 
-def _range(events, versions, key, ts, sk, skew) -> DataFrame:
-    names = events.columns
-    on = [key]
+def _range(events, versions, names, sk, skew) -> DataFrame:
+    # few versions per key here: each ends where the next one starts, at the latest
+    following = F.lead("_t").over(Window.partitionBy("_k").orderBy("_t", "_sk"))
+    versions = versions.withColumn("_end", F.least("_end", following))
+    on = ["_k"]
     if skew:
-        events, versions = spread(events, versions, [key], skew)
+        events, versions = spread(events, versions, ["_k"], skew)
         on.append("_salt")
-    right = versions.select(*[F.col(c).alias(f"_v_{c}") for c in versions.columns])
-    condition = [events[c] == right[f"_v_{c}"] for c in on]
-    condition.append(right["_v_eff_start_ts"] <= events[ts])
-    condition.append(right["_v_eff_end_ts"].isNull() | (events[ts] < right["_v_eff_end_ts"]))
+    right = versions.select(*[F.col(c).alias(f"_v{c}") for c in versions.columns])
+    condition = [events[c] == right[f"_v{c}"] for c in on]
+    condition.append(right["_v_t"] <= events["_t"])
+    condition.append(right["_v_end"].isNull() | (events["_t"] < right["_v_end"]))
     joined = events.join(right, functools.reduce(operator.and_, condition), "left")
-    return joined.select(*names, F.col(f"_v_{sk}").alias(sk))
+    return joined.select(*names, F.col("_v_sk").alias(sk))
 
 
 def _cuts(times: DataFrame, skew: Skew) -> dict[int, list[str]]:
@@ -117,31 +152,14 @@ def _slice_of(cuts: dict[int, list[str]], time_type: str) -> Column:
     return F.when(key_hash(["_k"]).isin(list(cuts)), found).otherwise(F.lit(0))
 
 
-def _common_type(left: DataFrame, right: DataFrame, column: str) -> str:
-    """The type both columns can be sorted in: their own, or the wider of two numbers."""
-    a, b = left.schema[column].dataType, right.schema[column].dataType
-    if a != b and not (is_numeric(a) and is_numeric(b)):
-        raise TypeError(f"cannot merge {column} as {a.simpleString()} with {b.simpleString()}")
-    both = left.select(column).union(right.select(column))
-    return both.schema[column].dataType.simpleString()
-
-
-def _merge(events, versions, key, ts, sk) -> DataFrame:
-    usable = complete([key, ts])
-    key_type = _common_type(events, versions, key)
-    time_type = events.schema[ts].dataType.simpleString()
-    version = F.struct(F.col("eff_start_ts").alias("start"), F.col("eff_end_ts").alias("end"), sk)
+def _merge(events, versions, names, sk) -> DataFrame:
+    usable = complete(["_k", "_t"])
+    time_type = events.schema["_t"].dataType.simpleString()
     left = events.where(usable).select(
-        F.col(key).cast(key_type).alias("_k"),
-        F.col(ts).alias("_t"),
-        F.lit(1).alias("_kind"),
-        F.struct(*events.columns).alias("_event"),
+        "_k", "_t", F.lit(1).alias("_kind"), F.struct(*names).alias("_event")
     )
-    right = versions.dropna(subset=[key]).select(
-        F.col(key).cast(key_type).alias("_k"),
-        F.col("eff_start_ts").cast(time_type).alias("_t"),
-        F.lit(0).alias("_kind"),
-        version.alias("_version"),
+    right = versions.select(
+        "_k", "_t", F.lit(0).alias("_kind"), F.struct("_end", "_sk").alias("_version")
     )
     by_events, by_versions = measure_skew(left, ["_k"]), measure_skew(right, ["_k"])
     hot = {
@@ -168,28 +186,32 @@ def _merge(events, versions, key, ts, sk) -> DataFrame:
         left, right = left.withColumn("_sub", F.lit(0)), right.withColumn("_sub", F.lit(0))
     left = left.withColumn("_slice", slice_of)
 
-    so_far = Window.partitionBy("_k", "_slice", "_sub").orderBy("_t", "_kind")
+    order = ["_t", "_kind", F.col("_version._sk")]
+    so_far = Window.partitionBy("_k", "_slice", "_sub").orderBy(*order)
     together = left.unionByName(right, allowMissingColumns=True).withColumn(
         "_valid", F.last("_version", ignorenulls=True).over(
             so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
     )
-    end = F.col("_valid.end")
-    found = F.when(end.isNull() | (F.col("_t") < end), F.col(f"_valid.{sk}"))
+    end = F.col("_valid._end")
+    found = F.when(end.isNull() | (F.col("_t") < end), F.col("_valid._sk"))
     resolved = together.where("_kind = 1").select("_event.*", found.alias(sk))
-    rest = events.where(~usable).withColumn(sk, F.lit(None).cast(versions.schema[sk].dataType))
-    return resolved.unionByName(rest)
+    none = F.lit(None).cast(versions.schema["_sk"].dataType)
+    return resolved.unionByName(events.where(~usable).select(*names, none.alias(sk)))
 
 
 def _in_force_at_slice_start(hot_versions: DataFrame) -> DataFrame:
     """For each slice after a hot key's first, the newest version of the earlier slices. At most
     hot keys x slices rows; versions are pre-aggregated per slice before anything moves."""
-    newest = F.max_by(F.struct("_t", "_kind", "_version"), "_t").alias("_newest")
+    latest = F.struct("_t", F.col("_version._sk").alias("sk"))
+    newest = F.max_by(F.struct("_t", "_kind", "_version"), latest).alias("_newest")
     per_slice = hot_versions.groupBy("_k", "_slice").agg(newest)
     later = per_slice.where(F.col("_slice") < MAX_SLICES - 1).select(
         "_k",
         F.explode(F.sequence(F.col("_slice") + 1, F.lit(MAX_SLICES - 1))).alias("_slice"),
         "_newest",
     )
-    carried = later.groupBy("_k", "_slice").agg(F.max_by("_newest", "_newest._t").alias("_newest"))
+    carried = later.groupBy("_k", "_slice").agg(
+        F.max_by("_newest", F.struct("_newest._t", "_newest._version._sk")).alias("_newest")
+    )
     return carried.select("_k", "_newest._t", "_newest._kind", "_newest._version", "_slice")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starmill.functions.columns import YES_NO, blank, flag_from_text
-from starmill.operators.lookup import complete
+from starmill.operators.lookup import complete, row_hash
 
 
 def with_load_columns(
@@ -67,13 +67,13 @@ def newest_per_key(
     applies the ``= 1`` limit inside each map task too (WindowGroupLimit), so a key with a third
     of all rows sends one row per task through the shuffle.
     """
-    keyed = complete(key)
-    tie_order = [F.col(t) if isinstance(t, str) else t for t in ties] or [F.xxhash64(*df.columns)]
+    tie_order = [F.col(t) if isinstance(t, str) else t for t in ties] or [row_hash(df)]
     order = [F.col(c).desc() for c in newest_first] + [t.asc() for t in tie_order]
-    newest = (
-        df.where(keyed)
-        .withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    # a row without a key is a group of its own, so one scan serves both kinds
+    alone = F.when(~complete(key), F.monotonically_increasing_id())
+    return (
+        df.withColumn("_alone", alone)
+        .withColumn("_rank", F.row_number().over(Window.partitionBy(*key, "_alone").orderBy(*order)))
         .where("_rank = 1")
-        .drop("_rank")
+        .drop("_rank", "_alone")
     )
-    return newest.unionByName(df.where(~keyed))

@@ -13,23 +13,27 @@ NULL behaviour: ``not_null`` and ``referential_integrity`` fail on NULL (the lat
 from __future__ import annotations
 
 import functools
-import glob
 import operator
-import os
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starmill.functions.columns import is_numeric
 from starmill.operators.lookup import lookup_join
+from starmill.sources.files import MALFORMED, UNCONVERTED, list_names, read_text
 from starmill.sources.workdir import materialize
 
 REASONS = "_quarantine_reasons"
 FLAG = "_fail_"
+FAILED = "_failed_any"
+
+# Fixed value: how a blocking rule is named, with its rate and limit in percent.
+BLOCKED_BY = "%s failed %.2f%% (> allowed %.2f%%)"
+MISSING = "missing columns: "
 
 REPORT_SCHEMA = (
     "table string, rule string, severity string, max_fail_rate double, status string, "
@@ -40,7 +44,8 @@ REPORT_SCHEMA = (
 @dataclass(frozen=True)
 class Check:
     """One compiled rule. ``fails`` is a row condition; ``bad_keys`` holds failing key values,
-    to be matched on columns ``on``. A check with neither could not be evaluated."""
+    to be matched on columns ``on``; ``stale`` is an aggregate that judges the whole table. A check
+    with none of them could not be evaluated and is reported as skipped."""
 
     label: str
     flag: str
@@ -49,11 +54,16 @@ class Check:
     fails: Column | None = None
     bad_keys: DataFrame | None = None
     on: tuple[str, ...] = ()
+    stale: Column | None = None
 
     @property
-    def evaluated(self) -> bool:
+    def of_rows(self) -> bool:
         return self.fails is not None or self.bad_keys is not None
 
+    @property
+    def evaluated(self) -> bool:
+        return self.of_rows or self.stale is not None
+
     @property
     def reason(self) -> str:
         return self.flag.removeprefix(FLAG)
@@ -62,16 +72,17 @@ class Check:
 # ---------------------------------------------------------------- contract files
 
 
-def load_contract(path: str) -> dict[str, Any]:
+def load_contract(spark: SparkSession, path: str) -> dict[str, Any]:
     import yaml
 
-    with open(path) as handle:
-        return yaml.safe_load(handle)
+    return yaml.safe_load(read_text(spark, path))
 
 
-def load_contracts(folder: str) -> dict[str, dict[str, Any]]:
-    """``{table: contract}`` for each YAML in ``folder`` that names its table."""
-    loaded = (load_contract(p) for p in sorted(glob.glob(os.path.join(folder, "*.yaml"))))
+def load_contracts(spark: SparkSession, folder: str) -> dict[str, dict[str, Any]]:
+    """``{table: contract}`` for each YAML in ``folder`` that names its table; ``folder`` is in
+    any file system that Spark reads."""
+    names = [n for n in list_names(spark, folder) if n.endswith(".yaml")]
+    loaded = (load_contract(spark, f"{folder.rstrip('/')}/{n}") for n in names)
     return {c["table"]: c for c in loaded if isinstance(c, dict) and "table" in c}
 
 
@@ -140,7 +151,10 @@ def orphan_keys(df: DataFrame, column: str, parent: DataFrame, parent_column: st
 
 
 def compile_contract(
-    df: DataFrame, contract: Mapping[str, Any], parents: Mapping[str, DataFrame] | None = None
+    df: DataFrame,
+    contract: Mapping[str, Any],
+    parents: Mapping[str, DataFrame] | None = None,
+    as_of: str | None = None,
 ) -> list[Check]:
     """Checks in report order. Rules on columns that ``df`` lacks are left out, except that a
     referential rule whose parent table is not given is kept as *skipped*."""
@@ -149,7 +163,9 @@ def compile_contract(
         check
         for kind, compiler in _COMPILERS.items()
         for check in compiler(df, _rule(rules, kind), parents or {})
-    ] + list(_type_checks(df, contract.get("schema") or {}))
+    ] + list(_type_checks(df, contract.get("schema") or {})) + list(
+        _freshness_check(df, _rule(rules, "freshness"), as_of)
+    )
 
 
 def _rule(rules: Mapping[str, Any], kind: str) -> Mapping[str, Any]:
@@ -200,6 +216,8 @@ def _compile_allowed(df, rule, parents):
 
 def _compile_range(df, rule, parents):
     for c, bounds in rule.get("checks", {}).items():
+        if not {"min", "max"} <= set(bounds):
+            raise ValueError(f"rule range[{c}] needs both min and max")
         if c in df.columns and is_numeric(df.schema[c].dataType):
             fails = out_of_range(c, bounds["min"], bounds["max"])
             yield _check(rule, f"range[{c}]", f"range_{c}", fails=fails)
@@ -244,12 +262,32 @@ def _compile_conditional(df, rule, parents):
 
 
 def _type_checks(df, schema):
-    """Text columns must convert to the declared type (typed columns did so on load)."""
-    for c, type_name in (schema.get("types") or {}).items():
-        if c in df.columns and isinstance(df.schema[c].dataType, T.StringType):
-            if type_name != "string":
-                fails = not_convertible(c, type_name)
-                yield _check({"severity": "hard"}, f"type[{c}:{type_name}]", f"type_{c}", fails=fails)
+    """Text columns must convert to the declared type. Where the load has converted already, it
+    kept what did not convert, and malformed lines: these fail by that record."""
+    declared = schema.get("types") or {}
+    hard = {"severity": "hard"}
+    lost = UNCONVERTED in df.columns
+    for c in df.columns:
+        kind = df.schema[c].dataType
+        if c.startswith("_"):
+            continue  # load columns
+        if lost and not isinstance(kind, (T.StringType, T.MapType)):
+            name = declared.get(c, kind.simpleString())
+            fails = F.coalesce(F.map_contains_key(UNCONVERTED, c), F.lit(False))
+            yield _check(hard, f"type[{c}:{name}]", f"type_{c}", fails=fails)
+        if isinstance(kind, T.StringType) and declared.get(c, "string") != "string":
+            fails = not_convertible(c, declared[c])
+            yield _check(hard, f"type[{c}:{declared[c]}]", f"type_{c}", fails=fails)
+    if MALFORMED in df.columns:
+        yield _check({}, "malformed_record", "malformed_record", fails=F.col(MALFORMED).isNotNull())
+
+
+def _freshness_check(df, rule, as_of):
+    """The table's newest value must not be older than allowed; a check of the whole table."""
+    if rule:
+        known = as_of is not None and rule["column"] in df.columns
+        stale = stale_at(F.max(rule["column"]), rule["max_age_days"], as_of) if known else None
+        yield _check({**rule, "max_fail_rate": 0.0}, "freshness", "freshness", stale=stale)
 
 
 _COMPILERS = {
@@ -280,10 +318,10 @@ def flag_rows(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     for check in checks:
         if check.bad_keys is not None:
             keys = check.bad_keys.withColumn(check.flag, F.lit(True))
-            marked = lookup_join(marked, keys, check.on, check.bad_keys.count())
+            marked = lookup_join(marked, keys, check.on, check.bad_keys.count(), measured=df)
     flags = []
     for check in checks:
-        if not check.evaluated:
+        if not check.of_rows:
             continue
         parts = [check.fails] if check.fails is not None else []
         parts += [F.col(check.flag).isNotNull()] if check.bad_keys is not None else []
@@ -291,12 +329,12 @@ def flag_rows(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     return marked.select(*df.columns, *flags)
 
 
-def _evaluated(checks: Sequence[Check]) -> list[Check]:
-    return [c for c in checks if c.evaluated]
+def _of_rows(checks: Sequence[Check]) -> list[Check]:
+    return [c for c in checks if c.of_rows]
 
 
 def _any_failed(checks: Sequence[Check]) -> Column:
-    flags = [F.col(c.flag) for c in _evaluated(checks)]
+    flags = [F.col(c.flag) for c in _of_rows(checks)]
     return functools.reduce(operator.or_, flags) if flags else F.lit(False)
 
 
@@ -306,9 +344,9 @@ def clean_rows(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 def quarantined_rows(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Failed rows with the failed rules' names, in rule order, joined by ``;``."""
-    if not _evaluated(checks):
+    if not _of_rows(checks):
         return flagged.where(F.lit(False))
-    reasons = [F.when(F.col(c.flag), F.lit(c.reason)) for c in _evaluated(checks)]
+    reasons = [F.when(F.col(c.flag), F.lit(c.reason)) for c in _of_rows(checks)]
     return (
         flagged.where(_any_failed(checks))
         .withColumn(REASONS, F.concat_ws(";", *reasons))
@@ -317,10 +355,13 @@ def quarantined_rows(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
 
 
 def tally(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Total, rows failing anything, and rows failing each check: one aggregate, one row."""
+    """Total, rows failing anything, and rows failing each check: one aggregate, one row. For a
+    check of the whole table the count is 1 or 0; no value at all counts as failed."""
     counts = [
         F.coalesce(F.sum(F.col(c.flag).cast("long")), F.lit(0)).alias(c.flag)
-        for c in _evaluated(checks)
+        for c in _of_rows(checks)
+    ] + [
+        F.coalesce(c.stale, F.lit(True)).cast("long").alias(c.flag) for c in checks if c.stale is not None
     ]
     return flagged.agg(
         F.count(F.lit(1)).alias("_total"),
@@ -329,13 +370,23 @@ def tally(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
     )
 
 
+def _rate(check: Check) -> Column:
+    """Share of failing rows in a tallied row; 1 or 0 for a check of the whole table."""
+    if check.stale is not None:
+        return F.col(check.flag).cast("double")
+    if not check.evaluated:
+        return F.lit(0.0)
+    total = F.col("_total")
+    return F.when(total > 0, F.col(check.flag) / total).otherwise(F.lit(0.0))
+
+
 def report_rows(table: str, tallied: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One row per check, from the one-row tally; the exact rate decides ``blocked``."""
     total = F.col("_total")
     lines = []
     for c in checks:
         bad = F.col(c.flag) if c.evaluated else F.lit(0).cast("long")
-        rate = F.when(total > 0, bad / total).otherwise(F.lit(0.0))
+        rate = _rate(c)
         lines.append(
             F.struct(
                 F.lit(table).alias("table"),
@@ -354,27 +405,41 @@ def report_rows(table: str, tallied: DataFrame, checks: Sequence[Check]) -> Data
     return tallied.select(F.explode(F.array(*lines)).alias("r")).select("r.*")
 
 
+def stale_at(newest: Column, max_age_days: int, as_of: str) -> Column:
+    return F.datediff(F.lit(as_of).cast("date"), newest) > max_age_days
+
+
 def freshness(df: DataFrame, column: str, max_age_days: int, as_of: str) -> DataFrame:
-    """One row: newest value, its age in days at ``as_of``, and whether it is too old."""
+    """One row: newest value, its age in days at ``as_of``, and whether it is too old. Without
+    any value the age is NULL and the table counts as too old."""
+    stale = stale_at(F.col("newest"), max_age_days, as_of)
     return df.agg(F.max(column).alias("newest")).select(
         "newest",
         F.datediff(F.lit(as_of).cast("date"), F.col("newest")).alias("age_days"),
-        (F.datediff(F.lit(as_of).cast("date"), F.col("newest")) > max_age_days).alias("stale"),
+        F.coalesce(stale, F.lit(True)).alias("stale"),
     )
 
 
 class Validation:
     """A contract applied to a frame. Nothing runs until a result is asked for, apart from the
-    failing-key sets that decide how rows are marked."""
+    failing-key sets that decide how rows are marked. ``stored``: flag the rows once, into a table
+    that is partitioned by whether they failed; the halves and the tally then read that."""
 
-    def __init__(self, df, contract, parents=None, as_of: str | None = None):
+    def __init__(self, df, contract, parents=None, as_of: str | None = None, stored: bool = False):
         self.contract = contract
         self.table = contract["table"]
-        self.checks = compile_contract(df, contract, parents)
+        self.checks = compile_contract(df, contract, parents, as_of)
+        self.missing = missing_columns(df, contract)
         self.flagged = flag_rows(df, self.checks)
-        self.clean = clean_rows(self.flagged, self.checks)
-        self.quarantined = quarantined_rows(self.flagged, self.checks)
-        self._source, self._as_of = df, as_of
+        if stored and any(c.bad_keys is not None for c in self.checks):
+            failed = self.flagged.withColumn(FAILED, _any_failed(self.checks))
+            whole = materialize(failed, "flagged", [FAILED])
+            self.flagged = whole.drop(FAILED)
+            self.clean = clean_rows(whole.where(~F.col(FAILED)).drop(FAILED), self.checks)
+            self.quarantined = quarantined_rows(whole.where(FAILED).drop(FAILED), self.checks)
+        else:
+            self.clean = clean_rows(self.flagged, self.checks)
+            self.quarantined = quarantined_rows(self.flagged, self.checks)
 
     def rule_report(self) -> DataFrame:
         return report_rows(self.table, tally(self.flagged, self.checks), self.checks)
@@ -382,23 +447,14 @@ class Validation:
     def gate(self) -> DataFrame:
         """One row: counts and whether promotion is blocked, with the blocking rules named."""
         tallied = tally(self.flagged, self.checks)
-        rates = {
-            c.label: F.when(F.col("_total") > 0, F.col(c.flag) / F.col("_total")).otherwise(0.0)
-            for c in _evaluated(self.checks)
-        }
-        hard = [c for c in _evaluated(self.checks) if c.severity == "hard"]
-        over = [
-            F.when(
-                rates[c.label] > c.max_fail_rate,
-                F.format_string(
-                    "%s failed %.2f%% (> allowed %.2f%%)",
-                    F.lit(c.label),
-                    F.round(rates[c.label], 4) * 100,
+        over = [F.lit(MISSING + ", ".join(self.missing))] if self.missing else []
+        for c in self.checks:
+            if c.severity == "hard" and c.evaluated:
+                told = F.format_string(
+                    BLOCKED_BY, F.lit(c.label), F.round(_rate(c), 4) * 100,
                     F.lit(c.max_fail_rate * 100),
-                ),
-            )
-            for c in hard
-        ]
+                )
+                over.append(F.when(_rate(c) > c.max_fail_rate, told))
         reason = F.concat_ws("; ", *over) if over else F.lit("")
         return tallied.select(
             F.lit(self.table).alias("table"),
@@ -409,13 +465,6 @@ class Validation:
             reason.alias("blocking_reason"),
         )
 
-    def stale(self) -> dict[str, Any] | None:
-        rule = _rule(self.contract.get("rules") or {}, "freshness")
-        if not rule or self._as_of is None or rule["column"] not in self._source.columns:
-            return None
-        verdict = freshness(self._source, rule["column"], rule["max_age_days"], self._as_of).first()
-        return {"severity": rule.get("severity", "soft"), **verdict.asDict()}
-
     def report(self) -> dict[str, Any]:
         """The report as a dict; one aggregate over the flagged rows."""
         row = tally(self.flagged, self.checks).first()
@@ -423,7 +472,7 @@ class Validation:
         results = []
         for c in self.checks:
             bad = row[c.flag] if c.evaluated else 0
-            rate = bad / total if total else 0.0
+            rate = float(bad) if c.stale is not None else bad / total if total else 0.0
             results.append(
                 {
                     "rule": c.label,
@@ -435,32 +484,20 @@ class Validation:
                     "max_fail_rate": c.max_fail_rate,
                 }
             )
-        stale = self.stale()
-        if stale is not None:
-            results.append(
-                {
-                    "rule": "freshness",
-                    "severity": stale["severity"],
-                    "status": "checked",
-                    "bad_count": int(bool(stale["stale"])),
-                    "fail_rate": float(bool(stale["stale"])),
-                    "blocked": stale["severity"] == "hard" and bool(stale["stale"]),
-                    "max_fail_rate": 0.0,
-                }
-            )
-        blocking = [r for r in results if r["blocked"]]
+        reasons = [MISSING + ", ".join(self.missing)] if self.missing else []
+        reasons += [
+            BLOCKED_BY % (r["rule"], r["fail_rate"] * 100, r["max_fail_rate"] * 100)
+            for r in results
+            if r["blocked"]
+        ]
         return {
             "table": self.table,
             "row_count": total,
             "clean_count": total - row["_bad"],
             "quarantined_count": row["_bad"],
-            "missing_columns": missing_columns(self._source, self.contract),
-            "promotion_blocked": bool(blocking),
-            "blocking_reason": "; ".join(
-                f"{r['rule']} failed {r['fail_rate'] * 100:.2f}% "
-                f"(> allowed {r['max_fail_rate'] * 100:.2f}%)"
-                for r in blocking
-            ),
+            "missing_columns": self.missing,
+            "promotion_blocked": bool(reasons),
+            "blocking_reason": "; ".join(reasons),
             "rule_results": results,
         }
 

@@ -3,11 +3,14 @@
 A version is valid in ``[eff_start_ts, eff_end_ts)``; an open end is NULL. First-load versions
 start at a sentinel so that older facts still resolve. Each step returns the whole new history;
 store it before applying the next batch.
+
+Every step first sets aside incoming rows whose key is NULL or repeated in the batch: such a row
+would open a second current version. ``on_reject`` receives them; a key's history goes on unchanged.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,24 +23,36 @@ from starmill.sources.lake import Lake
 from starmill.sources.workdir import materialize
 
 FIRST_START = "1900-01-01 00:00:00"
+Rejects = Callable[[DataFrame], None]
 
 
-def split_business_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+def split_business_keys(
+    df: DataFrame, key: str, repeated: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``: a history needs exactly one incoming row per non-NULL key."""
+    if repeated is None:
+        repeated = materialize(contracts.repeated_keys(df, [key]), "dup")
     missing = contracts.Check("not_null", "_fail_not_null", "hard", 0.0, fails=~complete([key]))
-    repeated = contracts.Check(
-        f"unique[{key}]",
-        f"_fail_unique_{key}",
-        "hard",
-        0.0,
-        bad_keys=materialize(contracts.repeated_keys(df, [key]), "dup"),
-        on=(key,),
+    unique = contracts.Check(
+        f"unique[{key}]", f"_fail_unique_{key}", "hard", 0.0, bad_keys=repeated, on=(key,)
     )
-    checks = [missing, repeated]
+    checks = [missing, unique]
     flagged = contracts.flag_rows(df, checks)
     return contracts.clean_rows(flagged, checks), contracts.quarantined_rows(flagged, checks)
 
 
+def _accepted(df: DataFrame, key: str, on_reject: Rejects | None) -> DataFrame:
+    repeated = materialize(contracts.repeated_keys(df, [key]), "dup")
+    if repeated.isEmpty() and (
+        not df.schema[key].nullable or df.where(F.col(key).isNull()).isEmpty()
+    ):
+        return df
+    accepted, rejected = split_business_keys(df, key, repeated)
+    if on_reject is not None:
+        on_reject(rejected)
+    return accepted
+
+
 def _open_versions(df: DataFrame, start: Column, load_ts: str) -> DataFrame:
     ts_type = df.schema[load_ts].dataType
     return df.withColumns(
@@ -50,10 +65,15 @@ def _open_versions(df: DataFrame, start: Column, load_ts: str) -> DataFrame:
 
 
 def first_history(
-    df: DataFrame, key: str, tracked: Sequence[str], sk: str, load_ts: str = "_load_ts"
+    df: DataFrame,
+    key: str,
+    tracked: Sequence[str],
+    sk: str,
+    load_ts: str = "_load_ts",
+    on_reject: Rejects | None = None,
 ) -> DataFrame:
-    """Every row becomes an open version; keys are numbered in business-key order."""
-    hashed = df.withColumn("row_hash", change_hash(tracked))
+    """Every accepted row becomes an open version; keys are numbered in business-key order."""
+    hashed = _accepted(df, key, on_reject).withColumn("row_hash", change_hash(tracked))
     return _open_versions(surrogate_key(hashed, [key], sk, unique=True), F.lit(FIRST_START), load_ts)
 
 
@@ -65,6 +85,7 @@ def next_history(
     sk: str,
     load_ts: str = "_load_ts",
     close_missing_at: str | None = None,
+    on_reject: Rejects | None = None,
 ) -> DataFrame:
     """Apply one batch: changed keys get their current version closed at the row's ``load_ts``
     and a new one opened there; unseen keys are opened; everything else passes through, earlier
@@ -74,7 +95,8 @@ def next_history(
     Closed versions take no part in any join. New versions are numbered after the greatest key.
     """
     current, past = history.where("is_current"), history.where("NOT is_current")
-    hashed = incoming.withColumn("row_hash", change_hash(tracked))
+    accepted = _accepted(incoming, key, on_reject)
+    hashed = accepted.withColumn("row_hash", change_hash(tracked))
     known = current.select(key, F.col("row_hash").alias("_known"))
     changed = (
         hashed.join(known, key, "left")
@@ -88,7 +110,8 @@ def next_history(
     ended = opened.select(key, F.col("eff_start_ts").alias("_ended"))
     current = current.join(ended, key, "left")
     if close_missing_at is not None:
-        seen = incoming.select(key, F.lit(True).alias("_seen"))
+        # a key that is only among the rejected rows was seen all the same
+        seen = incoming.select(key).distinct().withColumn("_seen", F.lit(True))
         ts_type = history.schema["eff_start_ts"].dataType
         gone = F.when(F.col("_seen").isNull(), F.lit(close_missing_at).cast(ts_type))
         current = current.join(seen, key, "left").withColumn("_ended", F.coalesce("_ended", gone))
@@ -101,7 +124,13 @@ def next_history(
 def history_after(
     lake: Lake, table: str, incoming: DataFrame, key: str, tracked: Sequence[str], sk: str
 ) -> DataFrame:
-    """The stored gold history with the batch applied, or the first one if there is none."""
+    """The stored gold history with the batch applied, or the first one if there is none. Rows
+    set aside become the quarantine table ``<table>_keys``."""
+
+    def keep(rejected: DataFrame) -> None:
+        lake.overwrite(rejected, "quarantine", f"{table}_keys")
+
     if lake.exists("gold", table):
-        return next_history(lake.read("gold", table), incoming, key, tracked, sk)
-    return first_history(incoming, key, tracked, sk)
+        stored = lake.read("gold", table)
+        return next_history(stored, incoming, key, tracked, sk, on_reject=keep)
+    return first_history(incoming, key, tracked, sk, on_reject=keep)

@@ -140,15 +140,17 @@ def lookup_join(
     on: Sequence[str],
     right_rows: int,
     salt_from: int = SALT_FROM_ROWS,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on same-named columns, keeping ``left``'s column order.
 
-    ``right`` should be a stored frame of ``right_rows`` rows, unique on ``on``.
+    ``right`` should be a stored frame of ``right_rows`` rows, unique on ``on``. ``measured`` is a
+    cheaper frame with the same keys, such as ``left`` before earlier joins.
     """
     on = list(on)
     added = [c for c in right.columns if c not in on]
     if right_rows >= salt_from and saltable(left, right, on):
-        skew = measure_skew(left, on)
+        skew = measure_skew(left if measured is None else measured, on)
         if skew:
             salted_left, salted_right = spread(left, right, on, skew)
             joined = salted_left.join(salted_right, [*on, "_salt"], "left")

@@ -17,15 +17,17 @@ def upsert(
     target: DataFrame | None, source: DataFrame, key: Sequence[str], check: bool = True
 ) -> DataFrame:
     """Rows of ``source`` replace those of ``target`` with the same key; others are added. A NULL
-    in the key matches nothing, so such rows stay out of the join (and out of its one task for
-    NULLs). With ``check`` a repeated source key raises, as MERGE does."""
+    in the key matches nothing. With ``check`` a repeated source key raises, as MERGE does."""
     if check and not repeated_keys(source, key).isEmpty():
         raise ValueError(f"source rows repeat a key of {list(key)}")
     if target is None:
         return source
-    keyed = target.where(complete(key))
-    kept = keyed.join(source.select(*key), list(key), "left_anti").select(*target.columns)
-    return kept.unionByName(target.where(~complete(key))).unionByName(source.select(*target.columns))
+    # a key with a NULL gets a number of its own: it matches nothing and is not one hot key
+    own = F.when(~complete(key), F.monotonically_increasing_id())
+    on = [F.col(f"_t.{k}") == F.col(f"_s.{k}") for k in key] + [F.col("_t._own").isNull()]
+    left = target.withColumn("_own", own).alias("_t")
+    kept = left.join(source.select(*key).alias("_s"), on, "left_anti").select(*target.columns)
+    return kept.unionByName(source.select(*target.columns))
 
 
 def delete_where_equal(df: DataFrame, **equals: Any) -> DataFrame:
@@ -39,9 +41,11 @@ def delete_where_equal(df: DataFrame, **equals: Any) -> DataFrame:
 def upsert_table(lake: Lake, df: DataFrame, layer: str, table: str, key: Sequence[str]) -> str:
     """``upsert`` into a stored table (created if absent) as its next load."""
     stored = lake.read(layer, table) if lake.exists(layer, table) else None
-    return lake.overwrite(upsert(stored, df, key), layer, table)
+    partitions = lake.partition_columns(layer, table)
+    return lake.overwrite(upsert(stored, df, key), layer, table, partitions)
 
 
 def delete_from_table(lake: Lake, layer: str, table: str, **equals: Any) -> str:
     """``delete_where_equal`` on a stored table; without arguments all rows go."""
-    return lake.overwrite(delete_where_equal(lake.read(layer, table), **equals), layer, table)
+    rest = delete_where_equal(lake.read(layer, table), **equals)
+    return lake.overwrite(rest, layer, table, lake.partition_columns(layer, table))

@@ -1,4 +1,9 @@
-"""Data products: one SELECT over gold, published as a view or a stored table."""
+"""Data products: one query over gold, published as a view or a stored table.
+
+A view is its text, stored in the lake: whoever reads it, in whatever session, reads the gold
+tables of that moment. Only queries are accepted: the text is compiled as a subquery, where
+nothing else parses.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starmill.sources.files import delete_path, list_names, read_text, write_text
 from starmill.sources.lake import Lake
 
 STATUS_SCHEMA = (
@@ -17,19 +23,24 @@ STATUS_SCHEMA = (
 
 
 class Products:
-    """Builds products from the gold tables of a lake and remembers the views of this session."""
+    """Builds and reads the products of a lake."""
 
     def __init__(self, lake: Lake):
         self.lake = lake
-        self.views: list[str] = []
+        self._definitions = f"{lake.root}/products/_views"
 
     def use_gold(self) -> None:
-        """Make gold tables resolvable by bare name."""
+        """Make gold tables resolvable by bare name (their stored schemas open them)."""
         for table in self.lake.tables("gold"):
             self.lake.read("gold", table).createOrReplaceTempView(table)
 
+    def query(self, text: str) -> DataFrame:
+        """The frame of a query over the present gold tables."""
+        self.use_gold()
+        return self.lake.spark.sql(f"SELECT * FROM (\n{text}\n)")
+
     def build(self, product: Mapping[str, Any]) -> dict[str, Any]:
-        """``{id, status, target, object_kind, row_count, error}``; a bad SELECT or an incomplete
+        """``{id, status, target, object_kind, row_count, error}``; a bad query or an incomplete
         definition is a failed status, not an exception."""
         name = product.get("id") or ""
         sql = (product.get("sql") or "").strip().rstrip(";")
@@ -40,31 +51,36 @@ class Products:
             return {**status, "error": "definition lacks 'id' or 'sql'"}
         status["object_kind"] = kind
         try:
-            self.use_gold()
-            self._publish(name, kind, self.lake.spark.sql(sql))
-            rows = self.frame(name).count()
+            rows = self._publish(name, kind, sql)
         except PySparkException as problem:
             return {**status, "error": str(problem).strip().splitlines()[0]}
         return {**status, "status": "built", "target": f"products.{name}", "row_count": rows}
 
-    def _publish(self, name: str, kind: str, df: DataFrame) -> None:
+    def _publish(self, name: str, kind: str, sql: str) -> int:
+        found = self.query(sql)
+        definition = f"{self._definitions}/{name}.sql"
         if kind == "TABLE":
-            self.lake.overwrite(df, "products", name)
-            self.views = [v for v in self.views if v != name]
-        else:
-            df.createOrReplaceTempView(f"products_{name}")
-            self.views = sorted({*self.views, name})
+            self.lake.overwrite(found, "products", name)
+            delete_path(self.lake.spark, definition)
+            return self.lake.read("products", name).count()
+        rows = found.count()  # needs no column of the result
+        write_text(self.lake.spark, definition, sql)
+        return rows
+
+    def views(self) -> list[str]:
+        names = list_names(self.lake.spark, self._definitions)
+        return [n.removesuffix(".sql") for n in names if n.endswith(".sql")]
 
     def frame(self, name: str) -> DataFrame:
-        if name in self.views:
-            return self.lake.spark.table(f"products_{name}")
+        """A view's query over the gold tables as they are now, or the stored table."""
+        if name in self.views():
+            return self.query(read_text(self.lake.spark, f"{self._definitions}/{name}.sql"))
         return self.lake.read("products", name)
 
     def listing(self) -> DataFrame:
-        """``(table, rows)`` of everything published."""
-        names = sorted({*self.views, *self.lake.tables("products")})
+        """``(table, rows)`` of everything published, by any session."""
         counts = self.lake.spark.createDataFrame([], "table string, rows long")
-        for name in names:
+        for name in sorted({*self.views(), *self.lake.tables("products")}):
             rows = self.frame(name).agg(F.count(F.lit(1)).alias("rows"))
             counts = counts.unionByName(rows.select(F.lit(name).alias("table"), "rows"))
         return counts

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starmill.operators.lookup import lookup_join
+from starmill.sources.lake import Lake
 from starmill.sources.workdir import materialize
 
 # The log tables' columns.
@@ -34,6 +35,27 @@ DECISIONS = (
 )
 
 
+LOGS = {
+    "run_history": RUN_HISTORY,
+    "stage_reviews": STAGE_REVIEWS,
+    "compile_audit": COMPILE_AUDIT,
+    "decisions": DECISIONS,
+}
+
+
+def write_log(
+    lake: Lake, name: str, rows: Sequence[Mapping[str, Any]], layer: str = "gold"
+) -> None:
+    """Append rows to one of the typed logs (which this creates); fields that a row lacks are
+    NULL, fields that the log lacks are an error. No rows: the log exists afterwards, empty."""
+    names = [part.split()[0] for part in LOGS[name].split(", ")]
+    unknown = {field for row in rows for field in row} - set(names)
+    if unknown:
+        raise ValueError(f"{name} has no field {sorted(unknown)}")
+    values = [tuple(row.get(n) for n in names) for row in rows]
+    lake.append(lake.spark.createDataFrame(values, LOGS[name]), layer, name)
+
+
 def _equals(equals: dict[str, Any]) -> Column:
     condition = F.lit(True)
     for column, value in equals.items():

@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 
 from starmill.operators import cleanse
 from starmill.operators.contracts import Validation, summarize_reports
-from starmill.operators.runlog import RUN_HISTORY
-from starmill.sources.files import discover_sources, load_csv
+from starmill.operators.runlog import write_log
+from starmill.sources.files import MALFORMED, UNCONVERTED, discover_sources, load_csv
 from starmill.sources.lake import Lake
-from starmill.sources.workdir import materialize
+from starmill.sources.workdir import materialize, work_scope
 
 GoldBuilder = Callable[[Lake], DataFrame]
 
@@ -50,13 +50,19 @@ class Promotion:
     """
 
     def __init__(self, bronze, contract, key, parents, yes_no, drop, newest_first, load_ts, as_of):
-        trimmed = cleanse.drop_columns(cleanse.trim_text(bronze), drop)
+        trimmed = cleanse.trim_text(bronze)
+        # columns expected to be empty go only if they are
+        listed = [c for c in drop if c in trimmed.columns]
+        self.dropped = cleanse.empty_columns(trimmed.select(*listed)) if listed else []
+        self.not_empty = [c for c in listed if c not in self.dropped]
+        trimmed = cleanse.drop_columns(trimmed, self.dropped)
         self.table = (contract or {}).get("table", "")
         self.rows_raw = bronze.count()
         self.staged = materialize(cleanse.newest_per_key(trimmed, key, newest_first), "staged")
         rules = contract or {"table": self.table, "rules": {}}
-        self._validation = Validation(self.staged, rules, parents, as_of)
-        clean = cleanse.text_flags_to_boolean(self._validation.clean, yes_no)
+        self._validation = Validation(self.staged, rules, parents, as_of, stored=True)
+        clean = self._validation.clean.drop(UNCONVERTED, MALFORMED)
+        clean = cleanse.text_flags_to_boolean(clean, yes_no)
         self.clean = clean.withColumn("_silver_load_ts", load_ts)
         self.quarantined = self._validation.quarantined
 
@@ -138,6 +144,8 @@ def load_silver(
             "row_count_promoted": report["clean_count"],
             "row_count_quarantined": report["quarantined_count"],
             "promotion_blocked": report["promotion_blocked"],
+            "blocking_reason": report["blocking_reason"],
+            "kept_columns": step.not_empty,
         }
         if report["promotion_blocked"]:
             summary["blocked"].append(table.name)
@@ -170,11 +178,28 @@ class LoadPlan:
 def run_load(
     spark: SparkSession, folder: str, root: str, plan: LoadPlan, at: datetime, run_id: str
 ) -> dict[str, Any]:
-    """The whole load at time ``at``; returns the summary and appends a run-history row."""
+    """The whole load at time ``at``; returns the summary and appends a run-history row, also
+    when the load raises. Its intermediates are deleted at the end."""
     lake = Lake(spark, root)
+    summary: dict[str, Any] = {"run_id": run_id, "bronze": {}, "silver": {}, "gold": {}}
+    try:
+        with work_scope(spark):
+            _run_layers(lake, folder, plan, at, summary)
+    except Exception as problem:
+        summary["status"] = "failed"
+        summary["error"] = f"{type(problem).__name__}: {problem}"
+        log_run(lake, summary, at)
+        raise
+    log_run(lake, summary, at)
+    return summary
+
+
+def _run_layers(
+    lake: Lake, folder: str, plan: LoadPlan, at: datetime, summary: dict[str, Any]
+) -> None:
     stamp = F.lit(at.isoformat(sep=" ")).cast("timestamp")
-    summary: dict[str, Any] = {"run_id": run_id, "gold": {}}
-    summary["bronze"] = load_bronze(lake, folder, stamp, at.strftime("%Y%m%dT%H%M%SZ"), plan.schemas)
+    batch = at.strftime("%Y%m%dT%H%M%SZ")
+    summary["bronze"] = load_bronze(lake, folder, stamp, batch, plan.schemas)
     silver = load_silver(
         lake, plan.silver, plan.contracts, stamp, at.date().isoformat(), plan.fail_fast
     )
@@ -183,20 +208,26 @@ def run_load(
     if not halted:
         summary["gold"] = load_gold(lake, plan.gold(at))
     summary["status"] = "halted" if halted else "blocked" if silver["blocked"] else "succeeded"
-    log_run(lake, summary, at)
-    return summary
 
 
 def log_run(lake: Lake, summary: Mapping[str, Any], at: datetime) -> None:
+    """One row of the run history; ``execution_logs`` says where and why a load halted, was
+    blocked or failed."""
+    silver = summary["silver"]
+    tables = silver.get("tables", {})
+    why = {
+        "halted_at": silver.get("halted_at"),
+        "blocking_reasons": {t: v["blocking_reason"] for t, v in tables.items() if v["blocking_reason"]},
+        "error": summary.get("error"),
+    }
     row = {
         "run_id": summary["run_id"],
         "run_date": at.date(),
         "run_timestamp": at,
         "pipeline_status": summary["status"],
-        "failed_scripts": list(summary["silver"]["blocked"]),
-        "silver_summary": json.dumps(summary["silver"]["tables"]),
+        "failed_scripts": list(silver.get("blocked", [])),
+        "execution_logs": json.dumps(why),
+        "silver_summary": json.dumps(tables),
         "gold_summary": json.dumps(summary["gold"]),
     }
-    names = [part.split()[0] for part in RUN_HISTORY.split(", ")]
-    rows = lake.spark.createDataFrame([tuple(row.get(n) for n in names)], RUN_HISTORY)
-    lake.append(rows, "gold", "run_history")
+    write_log(lake, "run_history", [row])

@@ -14,11 +14,12 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmill.functions.fingerprints import schema_fingerprint
+from starmill.functions.fingerprints import governance_fingerprint, schema_fingerprint
 from starmill.operators import profile as P
 from starmill.operators.merge import upsert_table
 from starmill.operators.relations import discover_foreign_keys
 from starmill.sources.files import discover_sources, load_csv
+from starmill.sources.files import write_text
 from starmill.sources.lake import Lake
 from starmill.sources.workdir import materialize
 
@@ -62,25 +63,28 @@ def _table_profile(df: DataFrame, table: str, exact: bool) -> tuple[dict[str, An
 
 
 def profile_sources(
-    tables: Mapping[str, DataFrame], exact: bool = True, output_path: str | None = None
+    tables: Mapping[str, DataFrame], exact: bool = True, output_path: str | None = None,
+    contracts: Mapping[str, Any] | None = None,
 ) -> dict[str, Any]:
-    """The whole report; with ``output_path`` also as a JSON file."""
-    profiles, keys, duplicates = {}, {}, {}
+    """The whole report; with ``output_path`` also as a JSON file (any file system that Spark
+    writes). With ``contracts`` it carries the fingerprint of structure and rules."""
+    profiles, keys = {}, {}
     for table, df in tables.items():
         profiles[table], keys[table] = _table_profile(df, table, exact)
-        duplicates[table] = (
-            P.duplicate_key_count(df, keys[table]).first()["duplicates"] if keys[table] else 0
-        )
+    structure = {t: dict(df.dtypes) for t, df in tables.items()}
     report = {
-        "fingerprint": schema_fingerprint({t: df.columns for t, df in tables.items()}),
+        "fingerprint": schema_fingerprint(structure),
         "candidate_unique_keys": keys,
-        "duplicate_keys": duplicates,
+        # candidate keys have just been found unique: no second count
+        "duplicate_keys": dict.fromkeys(tables, 0),
         "referential_integrity": discover_foreign_keys(tables, keys),
         "tables": profiles,
     }
+    if contracts is not None:
+        report["governance_fingerprint"] = governance_fingerprint(structure, contracts)
     if output_path:
-        with open(output_path, "w") as handle:
-            json.dump(report, handle, indent=2, default=str)
+        spark = next(iter(tables.values())).sparkSession
+        write_text(spark, output_path, json.dumps(report, indent=2, default=str))
     return report
 
 
@@ -105,7 +109,7 @@ def profile_once(
 ) -> dict[str, Any]:
     """``profile_sources``, or the stored report if neither the structure nor the ``snapshot``
     (a name for the data's state, such as a batch id) has changed."""
-    fingerprint = schema_fingerprint({t: df.columns for t, df in tables.items()})
+    fingerprint = schema_fingerprint({t: dict(df.dtypes) for t, df in tables.items()})
     stored = lake.read("gold", CACHE) if lake.exists("gold", CACHE) else None
     if stored is not None:
         same = stored.where((F.col("fingerprint") == fingerprint) & (F.col("snapshot") == snapshot))

@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,18 +35,36 @@ def work_dir(spark: SparkSession) -> str:
 def drop_work_tables(spark: SparkSession) -> None:
     """Delete this application's intermediates. For the end of a load: frames that still read
     them cannot be used any more."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    _delete(spark, work_dir(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def work_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediates written inside the block when it ends, well or not."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            _delete(spark, path)
+
+
 def fresh_path(spark: SparkSession, label: str = "t") -> str:
     """A path below the work folder that no other call returns."""
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def materialize(df: DataFrame, label: str = "t") -> DataFrame:
+def materialize(df: DataFrame, label: str = "t", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the work folder and return a scan of it."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -9,6 +9,7 @@ from starmill.suite import (  # noqa: F401  (importing registers the queries)
     logs,
     products,
     profiles,
+    robust,
     storage,
 )
 from starmill.suite.registry import ORACLES, QUERIES  # noqa: F401

@@ -125,6 +125,23 @@ FIXTURES = {
                CASE WHEN p_partkey % 33 = 0 THEN '1999-06-30 00:00:00' END AS withdrawn_text,
                CAST('1999-01-01' AS $TS) AS _load_ts
         FROM {part}""",
+    "customers_2_dirty": """
+        SELECT * FROM {customers_2}
+        UNION ALL SELECT * FROM {customers_2} WHERE customer_id % 13 = 0
+        UNION ALL SELECT NULL, customer_name, segment, balance, _load_ts FROM {customers_2}
+        WHERE customer_id % 7 = 0""",
+    "customers_3_dirty": """
+        SELECT * FROM {customers_3}
+        UNION ALL SELECT NULL, customer_name, 'LOST', balance, _load_ts FROM {customers_3}
+        WHERE customer_id % 11 = 0""",
+    "buyer_versions": """
+        SELECT o_custkey AS customer_id, 2 * o_custkey AS customer_sk,
+               CAST('1900-01-01' AS $TS) AS eff_start_ts,
+               min(o_orderdate) + INTERVAL '10' HOUR AS eff_end_ts
+        FROM {orders} GROUP BY o_custkey
+        UNION ALL
+        SELECT o_custkey, 2 * o_custkey + 1, min(o_orderdate) + INTERVAL '10' HOUR, CAST(NULL AS $TS)
+        FROM {orders} GROUP BY o_custkey""",
     # ---------------------------------------------------------------- fact inputs
     "sales": """
         SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_orderpriority AS channel,

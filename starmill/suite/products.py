@@ -11,13 +11,21 @@ from starmill.suite.registry import query
 
 SELECTS = {
     "customer_360": """
-        SELECT c.customer_sk, c.customer_id, c.customer_name, c.segment, count(f.order_sk) AS total_orders,
-               CAST(sum(CAST(f.total_price_eur AS DECIMAL(18,2))) AS DOUBLE) AS lifetime_value_eur
-        FROM dim_customer c LEFT JOIN fact_orders f ON f.customer_sk = c.customer_sk
-        WHERE c.is_current = true GROUP BY c.customer_sk, c.customer_id, c.customer_name, c.segment""",
+        SELECT c.customer_id, c.segment, coalesce(s.total_orders, 0) AS total_orders,
+               coalesce(s.cancelled_orders, 0) AS cancelled_orders, s.last_order_sk,
+               CAST(s.lifetime_value AS DOUBLE) AS lifetime_value_eur
+        FROM (SELECT * FROM dim_customer WHERE is_current) c
+        LEFT JOIN (
+            SELECT customer_sk, count(*) AS total_orders, max(date_created_sk) AS last_order_sk,
+                   count(CASE WHEN is_cancelled THEN 1 END) AS cancelled_orders,
+                   sum(CAST(total_price_eur AS DECIMAL(18,2))) AS lifetime_value
+            FROM fact_orders GROUP BY customer_sk) s USING (customer_sk)""",
     "profitability": """
-        SELECT f.order_id, ch.channel_group, f.total_price_eur, f.total_cost_eur, f.margin_eur
-        FROM fact_orders f LEFT JOIN dim_channel ch ON ch.channel_sk = f.channel_sk""",
+        SELECT ch.channel, ch.channel_group, count(*) AS orders,
+               CAST(sum(CAST(f.margin_eur AS DECIMAL(18,2))) AS DOUBLE) AS margin_eur,
+               CAST(min(CAST(f.margin_eur AS DECIMAL(18,2))) AS DOUBLE) AS least_margin_eur
+        FROM dim_channel ch JOIN fact_orders f USING (channel_sk)
+        WHERE NOT f.is_cancelled GROUP BY ch.channel, ch.channel_group""",
     "supplier_scorecard": """
         SELECT s.supplier_id, s.supplier_name, count(l.line_sk) AS lines,
                count(CASE WHEN l.is_cancelled THEN 1 END) AS cancelled,
@@ -63,7 +71,7 @@ _DEFINITIONS = [
 
 _SIZES = f"""
     SELECT 'customer_360' AS id, 'VIEW' AS object_kind, (SELECT count(*) FROM dim_customer WHERE is_current) AS row_count
-    UNION ALL SELECT 'profitability', 'TABLE', (SELECT count(*) FROM orders)
+    UNION ALL SELECT 'profitability', 'TABLE', (SELECT count(*) FROM ({SELECTS['profitability']}))
     UNION ALL SELECT 'supplier_scorecard', 'VIEW', (SELECT count(*) FROM supplier)
     UNION ALL SELECT 'margin_by_month', 'TABLE', (SELECT count(DISTINCT strftime(o_orderdate, '%Y%m')) FROM orders)
     UNION ALL SELECT 'cancellation_risk', 'VIEW', (SELECT count(*) FROM ({SELECTS['cancellation_risk']}))"""

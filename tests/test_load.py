@@ -6,7 +6,7 @@ import pytest
 from conftest import rows
 
 from starmill.plans import shipyard
-from starmill.plans.load import LoadPlan, run_load
+from starmill.plans.load import LoadPlan, SilverTable, run_load
 from starmill.sources.lake import Lake
 
 BUYERS = """raw_buyer_id,source_system,external_buyer_id,buyer_ref,email,title,forename,surname,telephone,mobile,address1,address2,city,postcode,country,marketing_optin,load_ts,source_file
@@ -133,3 +133,34 @@ def test_halting(spark, tmp_path):
     halted = run_load(spark, folder, str(tmp_path / "a"), plan_(fail_fast=True), datetime(2024, 1, 1), "r")
     assert halted["silver"]["halted_at"] == "orders" and halted["gold"] == {} and halted["status"] == "halted"
     assert "order_lines" not in halted["silver"]["tables"]
+
+
+def test_a_run_that_raises_is_logged_and_leaves_nothing_behind(spark, tmp_path):
+    from starmill.sources.workdir import work_dir
+    from starmill.sources.files import list_names
+
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "raw_things.csv").write_text("id,v\n1,a\n")
+    before = list_names(spark, work_dir(spark))
+    plan = LoadPlan([SilverTable("missing", ["id"])], lambda at: [], {})
+    with pytest.raises(LookupError):
+        run_load(spark, str(folder), str(tmp_path / "lake"), plan, datetime(2024, 1, 1), "bad")
+    run = Lake(spark, str(tmp_path / "lake")).read("gold", "run_history").first()
+    assert run.pipeline_status == "failed" and "LookupError" in run.execution_logs
+    assert list_names(spark, work_dir(spark)) == before
+
+
+def test_halt_reason_and_kept_columns(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "raw_things.csv").write_text("id,address2,address3\n1,,x\n2,,\n")
+    contract = {"table": "things", "schema": {"required_columns": ["gone"]}, "rules": {}}
+    plan = LoadPlan([SilverTable("things", ["id"], drop=["address2", "address3"])], lambda at: [],
+                    {"things": contract}, fail_fast=True)
+    summary = run_load(spark, str(folder), str(tmp_path / "lake"), plan, datetime(2024, 1, 1), "r")
+    assert summary["status"] == "halted" and summary["silver"]["halted_at"] == "things"
+    assert summary["silver"]["tables"]["things"]["kept_columns"] == ["address3"]
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert "missing columns: gone" in lake.read("gold", "run_history").first().execution_logs
+    assert "address2" not in lake.read("silver", "things").columns

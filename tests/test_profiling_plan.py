@@ -41,9 +41,12 @@ def test_unchanged_input_is_not_profiled_again(spark, lake, monkeypatch):
 
 
 def test_fingerprints():
-    a = schema_fingerprint({"t": ["x", "y"], "s": ["z"]})
+    tables = {"t": ["x", "y"], "s": ["z"]}
+    a = schema_fingerprint(tables)
     assert a == schema_fingerprint({"s": ["z"], "t": ["x", "y"]}) != schema_fingerprint({"t": ["x"], "s": ["z"]})
+    typed = schema_fingerprint({"t": {"x": "int"}})
+    assert typed == schema_fingerprint({"t": {"x": "int"}}) != schema_fingerprint({"t": {"x": "string"}})
     rules = {"t": {"b": 1, "a": 2}}
-    assert governance_fingerprint(a, rules) == governance_fingerprint(a, {"t": {"a": 2, "b": 1}})
-    assert governance_fingerprint(a, rules, "CREATE  x -- note\n(y)") == governance_fingerprint(a, rules, "CREATE x (y)")
-    assert governance_fingerprint(a) != governance_fingerprint(a, rules)
+    g = governance_fingerprint
+    assert g(tables, rules) == g(tables, {"t": {"a": 2, "b": 1}}) != g(tables)
+    assert g(tables, rules, "CREATE  x -- note\n(y);") == g(tables, rules, "CREATE x (y)")

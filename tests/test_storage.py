@@ -48,7 +48,8 @@ def test_sources(spark, tmp_path):
     assert files.discover_sources(spark, folder + "/nowhere") == {}
     inferred = files.load_csv(spark, f"{folder}/plain.csv")
     assert inferred.dtypes == [("k", "int"), ("when", "timestamp")]
-    assert rows(files.load_csv(spark, f"{folder}/raw_things.csv", "a int, b string")) == [(1, "é, x")]
+    typed = files.load_csv(spark, f"{folder}/raw_things.csv", "b string, a int")
+    assert rows(typed) == [(1, "é, x", None, None)]  # bound by the header's names
 
 
 def test_upsert(spark):
@@ -126,4 +127,48 @@ def test_products(spark, lake):
         failed = products.build({"id": "bad", "sql": sql, "product_type": "table"})
         assert failed["status"] == "failed" and failed["error"]
     assert rows(products.listing()) == [("by_g", 2), ("copy", 6)]
-    assert rows(Products(lake).listing()) == [("copy", 6)]  # views live as long as the session's object
+    assert rows(Products(lake).listing()) == [("by_g", 2), ("copy", 6)]  # views are stored
+    assert products.build({"id": "bad", "sql": "DROP VIEW facts_x"})["status"] == "failed"
+    lake.overwrite(spark.range(3).selectExpr("id", "id AS g"), "gold", "facts_x")
+    assert rows(Products(lake).frame("by_g")) == [(0, 1), (1, 1), (2, 1)]  # today's gold
+
+
+def test_csv_keeps_what_does_not_convert(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("name,id,price\nbob,1,2.5\nann,two,abc\nshort,3\n")
+    df = files.load_csv(spark, str(tmp_path / "x.csv"), "id int, name string, price double, gone int")
+    assert df.columns == ["name", "id", "price", files.MALFORMED, files.UNCONVERTED]
+    assert rows(df) == [
+        ("ann", None, None, None, {"id": "two", "price": "abc"}),
+        ("bob", 1, 2.5, None, None),
+        ("short", 3, None, "short,3", None),
+    ]
+
+
+def test_partitioned_tables_keep_layout_and_types(spark, lake):
+    df = spark.createDataFrame([("01", 1), ("02", 2)], "kind string, v int")
+    lake.overwrite(df, "gold", "parted", ["kind"])
+    lake.append(spark.createDataFrame([("03", 3, "n")], "kind string, v long, note string"), "gold", "parted")
+    assert rows(lake.read("gold", "parted")) == [("01", 1, None), ("02", 2, None), ("03", 3, "n")]
+    assert dict(lake.read("gold", "parted").dtypes) == {"kind": "string", "v": "bigint", "note": "string"}
+    upsert_table(lake, spark.createDataFrame([("02", 9, "u")], "kind string, v long, note string"),
+                       "gold", "parted", ["kind"])
+    assert lake.partition_columns("gold", "parted") == ["kind"]
+    assert rows(lake.read("gold", "parted"))[1] == ("02", 9, "u")
+    with pytest.raises(TypeError):
+        lake.append(spark.createDataFrame([("x", "y")], "kind string, v string"), "gold", "parted")
+
+
+def test_load_numbers_and_retention(spark, lake):
+    for n in range(4):
+        lake.overwrite(spark.range(n), "gold", "t")
+    gone = lake.keep_last("gold", "t", 2)
+    assert [p[-1] for p in gone] == ["1", "2"] and lake.read("gold", "t").count() == 3
+    assert lake.overwrite(spark.range(7), "gold", "t").endswith("v=000005")
+
+
+def test_typed_logs(spark, lake):
+    L.write_log(lake, "decisions", [])
+    L.write_log(lake, "decisions", [{"dataset_name": "d", "anomalous_fields": ["a"]}])
+    assert lake.read("gold", "decisions").first().anomalous_fields == ["a"]
+    with pytest.raises(ValueError):
+        L.write_log(lake, "compile_audit", [{"nothing": 1}])
