@@ -221,4 +221,5 @@ def keep_one(
     first = F.min_by("place", F.struct(F.col("key").isNull(), "key", "place"))
     kept = groups(narrow, "key", distance).groupBy("root").agg(first.alias(place))
     chosen = materialize(kept.select(place), "kept")
-    return stored.join(chosen, place, "left_semi").select(*df.columns)
+    # about as many rows as documents: joined by sorting at every size, never broadcast
+    return stored.join(chosen.hint("merge"), place, "left_semi").select(*df.columns)
