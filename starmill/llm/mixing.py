@@ -25,7 +25,7 @@ from, repeated labels count each time; extra columns are ignored by ``mixing_rat
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,8 @@ TOLERANCE = 1e-9
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.trim(F.lower(F.coalesce(text, F.lit("")))), "[\\x20\\x09-\\x0D]+")
+    """Lower-case words; where the text begins or ends with white space, an empty one there."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+")
 
 
 def ranges(name: str, value: Column, limits: list[float]) -> Column:
@@ -70,7 +71,9 @@ def with_features(docs: DataFrame, text: str, words: str, tokens: str, found: st
         ranges("kinds", F.size(words) / size, [0.02, 0.1, 0.2, 0.35, 0.5, 0.6, 0.7, 0.8, 0.9]),
     ]
     out = docs.withColumn(words, words_of(F.col(text)))
-    count = F.when(F.col(words) == F.array(F.lit("")), 0).otherwise(F.size(words))
+    all_words = F.size(words)
+    count = all_words - F.when(F.col(words)[0] == "", 1).otherwise(0)
+    count -= F.when((all_words > 1) & (F.get(words, all_words - 1) == ""), 1).otherwise(0)
     out = out.withColumn(tokens, count.cast("long"))
     out = out.withColumn(words, F.array_distinct(words))
     return out.withColumn(found, F.array(*statistics))
@@ -98,10 +101,7 @@ class Classifier:
                 sums.append(F.lit(bias))
                 continue
             pairs = [x for w, v in self.weights.items() for x in (F.lit(w), F.lit(v[k]))]
-            weights = F.create_map(*pairs)
-            sums.append(
-                F.aggregate(out, F.lit(bias), lambda a, w, t=weights: a + F.element_at(t, w))
-            )
+            sums.append(F.aggregate(out, F.lit(bias), _adding(F.create_map(*pairs))))
         docs = docs.withColumn(out, F.array(*sums))
         docs = docs.withColumn(
             out, F.array(*[F.exp(F.col(out)[k] - F.array_max(out)) for k in range(len(sums))])
@@ -111,6 +111,10 @@ class Classifier:
         return docs.withColumn(out, F.array(*parts))
 
 
+def _adding(weights: Column) -> Callable[[Column, Column], Column]:
+    return lambda total, word: total + F.element_at(weights, word)
+
+
 def learn(
     docs: DataFrame,
     labels: DataFrame,
