@@ -46,6 +46,8 @@ RADIUS = 20
 BLOCKS = 8
 ITEMS_AT_ONCE = 20_000
 WINDOWS_AT_ONCE = 4096  # bounds the bit counters held at a time
+BYTES_AT_ONCE = 4 << 20  # texts are screened in portions of this size
+SCREEN_BITS = 22
 
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
@@ -63,6 +65,18 @@ def words_of(raw: bytes) -> np.ndarray:
     return found[found != 0]
 
 
+def portions(raws: list[bytes], size: int = BYTES_AT_ONCE) -> Iterator[tuple[int, list[bytes]]]:
+    """``(number of the first, texts)`` in portions of about ``size`` bytes, at least one text."""
+    start, held = 0, 0
+    for at, raw in enumerate(raws):
+        if held and held + len(raw) > size:
+            yield start, raws[start:at]
+            start, held = at, 0
+        held += len(raw)
+    if start < len(raws):
+        yield start, raws[start:]
+
+
 @dataclass
 class Item:
     number: int
@@ -75,6 +89,11 @@ def simhash(sums: np.ndarray, weight: int) -> np.ndarray:
     return np.packbits(sums * 2 > weight, axis=-1)
 
 
+def screened(shingles: np.ndarray) -> np.ndarray:
+    """Places in a screen."""
+    return (shingles >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)
+
+
 class Index:
     """Fingerprints of the items of one word length and shingle length, by blocks."""
 
@@ -113,14 +132,34 @@ class Benchmark:
         self.indexes = {
             size: Index(items, radius) for size, items in sized.items()
         }
-        self.known = {}
+        self.known, self.screens = {}, {}
         for shingle in {s for s, _ in sized}:
             every = [i.shingles for (s, _), items in sized.items() if s == shingle for i in items]
-            self.known[shingle] = np.unique(np.concatenate(every))
-
-    def best(self, raw: bytes) -> dict[int, tuple[float, int]]:
+            self.known[shingle] = known = np.unique(np.concatenate(every))
+            self.screens[shingle] = np.zeros(1 << SCREEN_BITS, bool)
+            self.screens[shingle][screened(known)] = True
+
+    def search(self, raws: list[bytes]) -> Iterator[tuple[int, dict[int, tuple[float, int]]]]:
+        """``(row, best)`` of every text that holds an item. The texts of a portion are screened
+        together for shingles that may be some item's; only those with one are looked at."""
+        for first, portion in portions(raws):
+            lists = [raw.split() for raw in portion]
+            owners = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
+            words = _hashes.of([w for own in lists for w in own])
+            owners, words = owners[words != 0], words[words != 0]
+            chosen = set()
+            for shingle, screen in self.screens.items():
+                runs = run_hashes(words, shingle)
+                if len(runs):
+                    inside = owners[: len(runs)] == owners[shingle - 1 :]
+                    chosen.update(owners[: len(runs)][inside & screen[screened(runs)]].tolist())
+            for row in sorted(chosen):
+                found = self.best(words[owners == row])
+                if found:
+                    yield first + row, found
+
+    def best(self, words: np.ndarray) -> dict[int, tuple[float, int]]:
         """Item number -> highest similarity of a window and the window's first word."""
-        words = words_of(raw)
         best: dict[int, tuple[float, int]] = {}
         for shingle, known in self.known.items():
             shingles = run_hashes(words, shingle)
@@ -137,6 +176,8 @@ class Benchmark:
                 # the sum of minima is at most the shared shingles; with the sum of maxima it
                 # makes twice the size
                 least = 2 * size * self.similarity / (1 + self.similarity) - 1e-9
+                if sums[-1] < least:
+                    continue
                 enough = np.flatnonzero(sums[size:] - sums[:-size] >= least)
                 for at in range(0, len(enough), WINDOWS_AT_ONCE):
                     starts = enough[at : at + WINDOWS_AT_ONCE]
@@ -201,8 +242,8 @@ def contamination(
 
         def work(batch: pa.RecordBatch, index=index) -> pa.RecordBatch:
             rows, items, values, firsts = [], [], [], []
-            for row, raw in enumerate(as_bytes(batch.column(1))):
-                for number, (alike, first) in index.value.best(raw).items():
+            for row, best in index.value.search(as_bytes(batch.column(1))):
+                for number, (alike, first) in best.items():
                     rows.append(row)
                     items.append(number)
                     values.append(alike)
@@ -248,7 +289,9 @@ def drop_contaminated(
         )
 
         def work(texts: pa.Array, index=index) -> pa.Array:
-            return pa.array([not index.value.best(raw) for raw in as_bytes(texts)], pa.bool_())
+            clean = np.ones(len(texts), bool)
+            clean[[row for row, _ in index.value.search(as_bytes(texts))]] = False
+            return pa.array(clean)
 
         clean = clean.withColumn(flag, struct_udf("boolean", work)(F.col(text))).where(flag)
         clean = clean.select(*docs.columns)
