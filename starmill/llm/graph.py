@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from starmill.operators.lookup import lookup_join
 from starmill.sources.workdir import materialize
 
 ROUNDS = 60  # the rounds needed grow with the logarithm of the longest path
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("a").agg(F.min("b").alias("least"))
+def _with_least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the least ``b`` of their ``a``, and that table. It is stored: Spark sees
+    whether it is small enough to broadcast, and otherwise a hot node is split."""
+    least = materialize(edges.groupBy("a").agg(F.min("b").alias("least")), "least")
+    return lookup_join(edges, least, ["a"], least.count()), least
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node with the node's least neighbour (or itself)."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = _least(both).withColumn("least", F.least("a", "least"))
-    joined = both.join(least, "a").where(F.col("b") > F.col("a"))
-    return joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
+    joined, _ = _with_least(both)
+    larger = joined.where(F.col("b") > F.col("a"))
+    return larger.select(F.col("b").alias("a"), F.least("a", "least").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node (``a``, larger than its ``b``s) and all its ``b``s with the least of them."""
-    least = _least(edges)
-    joined = edges.join(least, "a").where(F.col("b") != F.col("least"))
-    moved = joined.select(F.col("b").alias("a"), F.col("least").alias("b"))
+    joined, least = _with_least(edges)
+    others = joined.where(F.col("b") != F.col("least"))
+    moved = others.select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.select("a", F.col("least").alias("b"))).distinct()
 
 
@@ -49,5 +53,6 @@ def components(edges: DataFrame) -> DataFrame:
                 state.select(F.col("b").alias("node"), F.col("b").alias("root"))
             ).distinct()
         before = now
-        state = materialize(_small_star(_large_star(state)), "links")
+        large = materialize(_large_star(state), "stars")
+        state = materialize(_small_star(large), "links")
     raise RuntimeError(f"components are not found after {ROUNDS} rounds")
