@@ -10,6 +10,7 @@ from starmill.suite import (  # noqa: F401  (importing registers the queries)
     products,
     profiles,
     robust,
+    shipped_star,
     storage,
 )
 from starmill.suite.registry import ORACLES, QUERIES  # noqa: F401

@@ -171,6 +171,78 @@ FIXTURES = {
                     ELSE CAST(sum(l_quantity) - sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) AS BIGINT)
                END AS actual_available
         FROM {lineitem} GROUP BY l_partkey, CAST(l_shipdate AS DATE)""",
+    # ---------------------------------------------------------------- silver tables of the shipyard
+    "sy_buyers_1": """
+        SELECT CAST(customer_id AS STRING) AS external_buyer_id,
+               concat('ref', CAST(customer_id AS STRING)) AS buyer_ref, 'ERP' AS source_system,
+               CASE WHEN customer_id % 4 <> 0 THEN concat(CAST(customer_id AS STRING), '@a.b') END AS email,
+               'Mx' AS title, customer_name AS forename, segment AS surname, '1' AS telephone, '2' AS mobile,
+               CAST(balance AS STRING) AS address1, CAST(NULL AS STRING) AS address2, 'Oslo' AS city,
+               '0150' AS postcode, 'Norway' AS country, customer_id % 2 = 0 AS marketing_optin,
+               _load_ts AS _silver_load_ts
+        FROM {customers_1}""",
+    "sy_vessels_1": """
+        SELECT CAST(part_id AS STRING) AS external_vessel_id, part_name AS name, 'VR' AS vessel_ref,
+               'ERP' AS source_system, 'Tug' AS vessel_class, brand, 'Yard' AS address1, 'Oslo' AS city,
+               '1' AS postcode, 'R' AS resort, 'A' AS area, 'N' AS region, 'Norway' AS country,
+               0 AS miles_from_sea, 'x' AS margin_rate, CAST(retail_price AS STRING) AS value_tier,
+               '2022-02-11 00:00:00' AS value_tier_start, part_id % 2 = 0 AS has_helideck,
+               part_id % 3 = 0 AS ice_class, size AS deck_count, 3 AS complement, 'good' AS rating,
+               'Lease' AS contract_type, withdrawn_text AS withdrawn_date, '2019-11-25' AS date_created,
+               '2022-11-14' AS date_live, _load_ts AS _silver_load_ts
+        FROM {parts_1}""",
+    "sy_buyers_2": """
+        SELECT CAST(customer_id AS STRING) AS external_buyer_id,
+               concat('ref', CAST(customer_id AS STRING)) AS buyer_ref, 'ERP' AS source_system,
+               CASE WHEN customer_id % 4 <> 0 THEN concat(CAST(customer_id AS STRING), '@a.b') END AS email,
+               'Mx' AS title, customer_name AS forename, segment AS surname, '1' AS telephone, '2' AS mobile,
+               CAST(balance AS STRING) AS address1, CAST(NULL AS STRING) AS address2, 'Oslo' AS city,
+               '0150' AS postcode, 'Norway' AS country, customer_id % 2 = 0 AS marketing_optin,
+               _load_ts AS _silver_load_ts
+        FROM {customers_2}""",
+    "sy_vessels_2": """
+        SELECT CAST(part_id AS STRING) AS external_vessel_id, part_name AS name, 'VR' AS vessel_ref,
+               'ERP' AS source_system, 'Tug' AS vessel_class, brand, 'Yard' AS address1, 'Oslo' AS city,
+               '1' AS postcode, 'R' AS resort, 'A' AS area, 'N' AS region, 'Norway' AS country,
+               0 AS miles_from_sea, 'x' AS margin_rate, CAST(retail_price AS STRING) AS value_tier,
+               '2022-02-11 00:00:00' AS value_tier_start, part_id % 2 = 0 AS has_helideck,
+               part_id % 3 = 0 AS ice_class, size AS deck_count, 3 AS complement, 'good' AS rating,
+               'Lease' AS contract_type, withdrawn_text AS withdrawn_date, '2019-11-25' AS date_created,
+               '2022-11-14' AS date_live, _load_ts AS _silver_load_ts
+        FROM {parts_2}""",
+    "sy_orders": """
+        SELECT CAST(order_id AS STRING) AS external_order_id, concat('O', CAST(order_id AS STRING)) AS order_reference,
+               CAST(customer_id AS STRING) AS external_buyer_id,
+               CASE WHEN order_id % 10 <> 0 THEN CAST(customer_id AS STRING) END AS external_vessel_id,
+               created_ts, confirmed_ts, cancelled_ts, build_start, build_end, channel AS sales_channel,
+               channel_group, total_price, total_cost, CASE WHEN order_id % 3 <> 0 THEN 12.345 END AS finance_fee,
+               0.005 AS order_fee, CAST(NULL AS DOUBLE) AS cancellation_fee,
+               CASE WHEN cancelled_ts IS NOT NULL THEN 'late' END AS cancellation_reason,
+               'ERP' AS source_system, 'B' AS brand, 'std' AS spec_package, order_id % 2 = 0 AS is_owner_order,
+               1 AS crew_officers, 2 AS crew_ratings, 3 AS crew_cadets
+        FROM {sales}""",
+    "sy_order_lines": """
+        SELECT concat(CAST(order_id AS STRING), '-', CAST(line_number AS STRING), '-', CAST(part_id AS STRING), '-',
+                      CAST(coalesce(supplier_id, -1) AS STRING), '-', CAST(created_ts AS STRING)) AS line_reference,
+               CAST(order_id AS STRING) AS external_order_id, CAST(part_id AS STRING) AS external_vessel_id,
+               CAST(supplier_id AS STRING) AS external_subcontractor_id, max(line_type) AS line_type,
+               'part' AS line_name, max(status) AS status, created_ts, created_ts AS start_date,
+               CAST(NULL AS $TS) AS end_date, CAST(NULL AS $TS) AS cancelled_ts, 3 AS duration_days,
+               line_number AS sequence, max(price) AS price, max(cost) AS cost,
+               'GBP' AS price_currency, 1.17254321 AS price_fx_rate, 'IDR' AS cost_currency,
+               0.000038456780 AS cost_fx_rate, 1 AS crew_officers, 2 AS crew_ratings, 3 AS crew_cadets
+        FROM {sale_lines} GROUP BY order_id, line_number, part_id, supplier_id, created_ts""",
+    "sy_subcontractors": """
+        SELECT CAST(supplier_id AS STRING) AS external_subcontractor_id, 'SR' AS subcontractor_ref,
+               'ERP' AS source_system, 'IACS-1' AS class_society_code, supplier_name AS name, 'a@b.c' AS email,
+               '1' AS telephone, 'Mx' AS title, 'A' AS forename, 'B' AS surname, 'Dock' AS address1,
+               'Riga' AS city, '1' AS postcode, 'Latvia' AS country, 'SEPA' AS payment_method,
+               CAST('1995-01-01' AS $TS) AS _silver_load_ts
+        FROM {suppliers}""",
+    "sy_build_slots": """
+        SELECT CAST(part_id AS STRING) AS external_vessel_id, slot_date, false AS is_closed, allocation,
+               1 AS booked_by_buyer, 0 AS booked_by_yard, actual_available, allocation AS potential_available
+        FROM {slots}""",
     # ---------------------------------------------------------------- log rows
     "run_log": """
         SELECT event_id AS run_id, CAST(user_id AS STRING) AS fingerprint, event_type AS status, ts AS run_ts,
