@@ -73,6 +73,11 @@ def digits_of(span: str) -> str:
     return "".join(c for c in span if c in DIGITS)
 
 
+def at_most_255(digits: str) -> bool:
+    number = digits.lstrip("0")
+    return len(number) <= 3 and int(number or 0) <= 255
+
+
 def luhn(digits: str) -> bool:
     doubled = sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
     return (doubled + sum(int(d) for d in digits[-1::-2])) % 10 == 0
@@ -113,7 +118,7 @@ def find_spans(text: str) -> list[tuple[int, str, int]]:
                 if match:
                     done["ip"] = match.end()
                     parts = match.group().split(".")
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in parts):
+                    if all(at_most_255(p) for p in parts):
                         found.append((last, "ip", match.end()))
         elif anchor == "email":
             left = last

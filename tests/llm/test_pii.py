@@ -82,6 +82,8 @@ def test_whole_table_matches_plain_searches(spark):
 def test_edges(docs):
     empty = hashlib.sha256(b"").hexdigest()
     long = "x " * 200_000 + "me@site.org"
+    zeros = "0" * 6000 + "1.2.3.4 " + "9" * 6000 + ".1.1.1"
+    assert [(k, e) for _, k, e in pii.find_spans(zeros)] == [("ip", 6007)]
     rows = pii.find_personal_data(docs([None, "", long, long])).orderBy("doc_id").collect()
     assert [(r.base_sha256 == empty, r.spans) for r in rows[:2]] == [(True, ""), (True, "")]
     assert rows[2].spans == rows[3].spans == "email:400000:400011"
