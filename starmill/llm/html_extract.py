@@ -6,7 +6,8 @@ whether the page has an article and the block lies outside it, its length, its p
 share of link text. A positive score is the capacity from the source to the block, a negative
 one the capacity from the block to the sink. Smoothness edges join neighbours in page order, every
 block with its container, and every container with the one around it. The minimum cut labels the
-blocks: those that the source still reaches in the residual graph are content.
+blocks: those that no longer reach the sink in the residual graph are content (where several cuts
+are minimal, the one that keeps most text).
 
 A block whose own capacity exceeds all its smoothness edges together is on its own side in every
 minimum cut; it is fixed beforehand and its edges become capacities of its neighbours. The flow is
@@ -55,6 +56,7 @@ NEVER = RAW | set("head template noscript svg math object select button datalist
 FURNITURE = set("nav footer aside form menu dialog fieldset".split())
 ARTICLE = {"article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PARAGRAPHS = {"p", "blockquote", "pre", "figcaption"}
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
     "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -75,7 +77,8 @@ CONTENT_NAMES = set("article content entry main post story".split())
 # Scores, in hundredths.
 NEVER_SCORE, TAG_SCORE, NAME_SCORE, HEADER_SCORE = -3000, -1500, -1000, -900
 ARTICLE_SCORE, CONTENT_SCORE, OUTSIDE_SCORE = 500, 300, -500
-LONG_SCORE, SENTENCE_SCORE, SHORT_SCORE, LINK_SCORE, HEADING_SCORE = 150, 60, -60, -350, 100
+LONG_SCORE, SENTENCE_SCORE, SHORT_SCORE, LINK_SCORE, HEADING_SCORE = 150, 80, -60, -350, 100
+PARAGRAPH_SCORE = 60
 NEXT_EDGE, NEXT_IN_CONTAINER, CONTAINER_EDGE, OUTER_EDGE = 20, 50, 40, 20
 LONG_CHARS, SHORT_CHARS = 80, 25
 
@@ -143,6 +146,8 @@ def _score(element: Element, text: str, linked: int) -> int:
         score += LINK_SCORE
     if element.name in HEADINGS:
         score += HEADING_SCORE
+    elif element.name in PARAGRAPHS:
+        score += PARAGRAPH_SCORE
     return score
 
 
@@ -232,8 +237,8 @@ def parse(source: str) -> Page:
 
 
 def max_flow(capacity: list[dict[int, int]], source: int, sink: int) -> set[int]:
-    """Nodes that the source reaches in the residual graph of a maximum flow (Dinic). ``capacity``
-    is changed to the residual capacities."""
+    """Nodes that reach the sink in the residual graph of a maximum flow (Dinic). ``capacity`` is
+    changed to the residual capacities; an edge has its reverse in it, if only with 0."""
     while True:
         level = {source: 0}
         queue = deque([source])
@@ -244,7 +249,7 @@ def max_flow(capacity: list[dict[int, int]], source: int, sink: int) -> set[int]
                     level[v] = level[u] + 1
                     queue.append(v)
         if sink not in level:
-            return set(level)
+            break
         edges = [iter(list(capacity[u])) for u in range(len(capacity))]
         path = [source]
         while path:
@@ -269,6 +274,14 @@ def max_flow(capacity: list[dict[int, int]], source: int, sink: int) -> set[int]
             else:
                 level.pop(u, None)
                 path.pop()
+    reaching, queue = {sink}, deque([sink])
+    while queue:
+        v = queue.popleft()
+        for u in capacity[v]:
+            if u not in reaching and capacity[u].get(v, 0) > 0:
+                reaching.add(u)
+                queue.append(u)
+    return reaching
 
 
 def smoothness(page: Page) -> dict[tuple[int, int], int]:
@@ -287,8 +300,8 @@ def smoothness(page: Page) -> dict[tuple[int, int], int]:
 
 
 def label(scores: list[int], edges: dict[tuple[int, int], int], nodes: int) -> list[bool]:
-    """True for the nodes on the source's side of the minimum cut; nodes beyond ``scores`` have
-    no capacity of their own."""
+    """True for the blocks on the source's side of the minimum cut; nodes beyond ``scores`` have
+    no capacity of their own and no label."""
     own = scores + [0] * (nodes - len(scores))
     around = [0] * nodes
     for (a, b), weight in edges.items():
@@ -297,7 +310,7 @@ def label(scores: list[int], edges: dict[tuple[int, int], int], nodes: int) -> l
     fixed = [abs(s) > total for s, total in zip(own, around)]
     labels = [s > 0 for s in own]
     if all(fixed[: len(scores)]):
-        return labels
+        return labels[: len(scores)]
     free = [i for i in range(nodes) if not fixed[i]]
     place = {node: k for k, node in enumerate(free)}
     source, sink = len(free), len(free) + 1
@@ -323,10 +336,10 @@ def label(scores: list[int], edges: dict[tuple[int, int], int], nodes: int) -> l
             terminal(other, weight if labels[known] else -weight)
         else:
             join(place[a], place[b], weight, weight)
-    reached = max_flow(capacity, source, sink)
+    lost = max_flow(capacity, source, sink)
     for node in free:
-        labels[node] = place[node] in reached
-    return labels
+        labels[node] = place[node] not in lost
+    return labels[: len(scores)]
 
 
 def main_text(source: str) -> str:

@@ -171,10 +171,10 @@ WITH p AS (
     min(page_id) OVER (PARTITION BY sha1(t)) AS owner
   FROM p
 ), b AS (
-  SELECT *, list_aggregate(list_transform(range(0, 32), k -> substr(
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  SELECT *, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST((CAST('0x' || substr(hex, CAST(5 * (k // 4) + 1 AS BIGINT), 5) AS BIGINT)
-      >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), 'string_agg', '') AS payload_digest
+      >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31 AS BIGINT), 1)
+    for k in range(0, 32)], 'string_agg', '') AS payload_digest
   FROM d
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
