@@ -175,8 +175,9 @@ def filter_urls(
     and ``path``.
     """
     kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
-    source = df.select("*", host_of(F.col(url)).alias("_host"), path_of(F.col(url)).alias("_path"))
-    parsed = source.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"))
+    parsed = df.select(
+        *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
+    )
     if isinstance(rules, DataFrame):
         plain = rules.select(
             F.coalesce("verdict", F.lit(default)).alias("rule_verdict"),
