@@ -47,3 +47,23 @@ def test_load_columns(spark):
     df = K.with_load_columns(spark.range(2), F.lit("2024-01-01").cast("timestamp"), "b7")
     assert df.columns == ["id", "_ingestion_ts", "_batch_id", "_source_layer"]
     assert rows(df, "_batch_id", "_source_layer") == [("b7", "raw")] * 2
+
+
+def test_dedupe_and_upsert_scan_their_input_once(spark, tmp_path):
+    from starmill.operators.merge import upsert
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, 5), (1, 6), (None, 7), (None, 8)], "k int, v int").write.parquet(path)
+    df = spark.read.parquet(path)
+    newest = K.newest_per_key(df, ["k"], ["v"])
+    assert plan(newest).count("FileScan") == 1 and "WindowGroupLimit" in plan(newest)
+    assert rows(newest) == [(1, 6), (None, 7), (None, 8)]
+    source = spark.createDataFrame([(1, 9)], "k int, v int")
+    merged = upsert(newest, source, ["k"], check=False)
+    assert plan(merged).count("FileScan") == 1
+    assert rows(merged) == [(1, 9), (None, 7), (None, 8)]
+
+
+def test_rows_without_key_stay_and_maps_do_not_matter(spark):
+    df = spark.sql("SELECT 1 AS k, 1 AS _ingestion_ts, map('a', 'b') AS m UNION ALL SELECT 1, 1, map('a', 'c')")
+    assert K.newest_per_key(df, ["k"]).count() == 1
