@@ -12,8 +12,8 @@ the two bags of shingles (sum of minima over sum of maxima of the counts) must r
   missed.
 * The radius of 20 is over three standard deviations above the mean distance of a pair of
   windows at a similarity of 0.8 (9.7 bits, deviation 2.9).
-* A window is fingerprinted only if enough of its shingles occur in some item at all; with fewer
-  it cannot reach the similarity with any item, so this drops no answer.
+* A window is fingerprinted only if enough of its shingles occur in items of its size at all; with
+  fewer it cannot reach the similarity with any of them, so this drops no answer.
 
 The index is broadcast: it has at most ``ITEMS_AT_ONCE`` items, whatever the benchmark's size; a
 larger benchmark is taken in blocks of that many items, each against all documents.
@@ -31,6 +31,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +53,12 @@ SCREEN_BITS = 22
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 
 
+EDGE_BYTES = EDGES.encode()
+
+
 def normal(word: bytes) -> bytes:
+    if word.isascii():
+        return word.lower().strip(EDGE_BYTES)
     return word.decode("utf-8", "replace").lower().strip(EDGES).encode()
 
 
@@ -89,9 +95,42 @@ def simhash(sums: np.ndarray, weight: int) -> np.ndarray:
     return np.packbits(sums * 2 > weight, axis=-1)
 
 
-def screened(shingles: np.ndarray) -> np.ndarray:
-    """Places in a screen."""
-    return (shingles >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)
+class Known:
+    """The items' shingles of one length, and in items of which window sizes each occurs."""
+
+    def __init__(self, sized: list[tuple[int, list[Item]]]):
+        sizes = np.concatenate([np.full(size * len(items), size) for size, items in sized])
+        values = np.concatenate([i.shingles for _, items in sized for i in items])
+        self.values, at = np.unique(values, return_inverse=True)
+        pairs = np.unique(np.stack([at, sizes], axis=1), axis=0)
+        self.sizes = pairs[:, 1]
+        self.starts = np.searchsorted(pairs[:, 0], np.arange(len(self.values) + 1))
+        self.table = np.zeros(1 << SCREEN_BITS, bool)
+        self.table[self._slots(self.values)] = True
+
+    @staticmethod
+    def _slots(shingles: np.ndarray) -> np.ndarray:
+        return (shingles >> np.uint64(64 - SCREEN_BITS)).astype(np.int64)
+
+    def _find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose shingle is known, and its number."""
+        at = np.flatnonzero(self.table[self._slots(shingles)])
+        number = np.minimum(np.searchsorted(self.values, shingles[at]), len(self.values) - 1)
+        exact = self.values[number] == shingles[at]
+        return at[exact], number[exact]
+
+    def screen(self, shingles: np.ndarray) -> np.ndarray:
+        return self._find(shingles)[0]
+
+    def places(self, shingles: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """``(size, places)`` of the shingles that occur in items of that size."""
+        at, number = self._find(shingles)
+        counts = self.starts[number + 1] - self.starts[number]
+        at = np.repeat(at, counts)
+        within = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
+        sizes = self.sizes[np.repeat(self.starts[number], counts) + within]
+        for size in np.unique(sizes).tolist():
+            yield size, at[sizes == size]
 
 
 class Index:
@@ -132,29 +171,29 @@ class Benchmark:
         self.indexes = {
             size: Index(items, radius) for size, items in sized.items()
         }
-        self.known, self.screens = {}, {}
-        for shingle in {s for s, _ in sized}:
-            every = [i.shingles for (s, _), items in sized.items() if s == shingle for i in items]
-            self.known[shingle] = known = np.unique(np.concatenate(every))
-            self.screens[shingle] = np.zeros(1 << SCREEN_BITS, bool)
-            self.screens[shingle][screened(known)] = True
+        self.known = {
+            shingle: Known([(size, i) for (s, size), i in sized.items() if s == shingle])
+            for shingle in {s for s, _ in sized}
+        }
 
     def search(self, raws: list[bytes]) -> Iterator[tuple[int, dict[int, tuple[float, int]]]]:
         """``(row, best)`` of every text that holds an item. The texts of a portion are screened
-        together for shingles that may be some item's; only those with one are looked at."""
+        together for shingles of the items; only those with one are looked at."""
         for first, portion in portions(raws):
             lists = [raw.split() for raw in portion]
             owners = np.repeat(np.arange(len(lists)), [len(words) for words in lists])
-            words = _hashes.of([w for own in lists for w in own])
+            words = _hashes.of(list(chain.from_iterable(lists)))
             owners, words = owners[words != 0], words[words != 0]
             chosen = set()
-            for shingle, screen in self.screens.items():
+            for shingle, known in self.known.items():
                 runs = run_hashes(words, shingle)
                 if len(runs):
-                    inside = owners[: len(runs)] == owners[shingle - 1 :]
-                    chosen.update(owners[: len(runs)][inside & screen[screened(runs)]].tolist())
+                    at = known.screen(runs)
+                    at = at[owners[at] == owners[at + shingle - 1]]
+                    chosen.update(owners[at].tolist())
             for row in sorted(chosen):
-                found = self.best(words[owners == row])
+                start, end = np.searchsorted(owners, [row, row + 1])
+                found = self.best(words[start:end])
                 if found:
                     yield first + row, found
 
@@ -165,20 +204,17 @@ class Benchmark:
             shingles = run_hashes(words, shingle)
             if not len(shingles):
                 continue
-            place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
-            shared = known[place] == shingles
-            if not shared.any():
-                continue
-            sums = np.concatenate([[0], np.cumsum(shared)])
-            for (own, size), index in self.indexes.items():
-                if own != shingle or len(shingles) < size:
-                    continue
+            for size, places in known.places(shingles):
                 # the sum of minima is at most the shared shingles; with the sum of maxima it
                 # makes twice the size
                 least = 2 * size * self.similarity / (1 + self.similarity) - 1e-9
-                if sums[-1] < least:
+                if len(shingles) < size or len(places) < least:
                     continue
+                shared = np.zeros(len(shingles) + 1, np.int32)
+                shared[places + 1] = 1
+                sums = np.cumsum(shared)
                 enough = np.flatnonzero(sums[size:] - sums[:-size] >= least)
+                index = self.indexes[shingle, size]
                 for at in range(0, len(enough), WINDOWS_AT_ONCE):
                     starts = enough[at : at + WINDOWS_AT_ONCE]
                     self.check(shingles, starts, size, index, best)

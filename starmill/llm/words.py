@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
-MEMO_WORDS = 500_000  # a worker forgets its word numbers beyond this; they are rebuilt, not lost
+MEMO_WORDS = 200_000  # a worker forgets its word numbers beyond this; they are rebuilt, not lost
 
 
 def as_bytes(texts: pa.Array) -> list[bytes]:
