@@ -2,7 +2,10 @@
 
 A sentence ends at ``.``, ``!``, ``?`` or a line end. Every run of ``RUN`` consecutive sentences
 with at least ``MIN_WORDS`` words is hashed (lower case, white space as single spaces); a single
-sentence or a pair that holds ``LONG_WORDS`` words already is a run of its own. Runs are joined
+sentence or a pair that holds ``LONG_WORDS`` words already is a run of its own. Where ``RUN``
+sentences hold fewer words, the run goes on, from its first sentence forwards and from its last
+one backwards, until it holds ``MIN_WORDS``: each sentence of a repeated passage of that many words
+in more than ``RUN`` whole sentences is in a run within the passage. Runs are joined
 over the whole corpus: of all places of a run the first (least key, then text, then position) is
 kept, and every sentence covered by a non-first run is removed from its document.
 
@@ -51,6 +54,20 @@ def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     return found
 
 
+def longer_runs(sums: np.ndarray) -> np.ndarray:
+    """``(first, end)`` of each run of more than ``RUN`` sentences that holds ``MIN_WORDS`` words
+    but would not without its last or without its first sentence; ``sums`` are the words before
+    each sentence."""
+    at = np.arange(len(sums))
+    until = np.searchsorted(sums, sums + MIN_WORDS)
+    since = np.searchsorted(sums, sums - MIN_WORDS, "right") - 1
+    spans = np.concatenate([
+        np.stack([at, until], axis=1)[until < len(sums)],
+        np.stack([since, at], axis=1)[since >= 0],
+    ])
+    return np.unique(spans[spans[:, 1] - spans[:, 0] > RUN], axis=0)
+
+
 def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(first sentence, number of sentences, hash)`` of each run."""
     found = sentences(text)
@@ -68,6 +85,12 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         places.append(chosen)
         widths.append(np.full(len(chosen), width, np.int64))
         values.append(run_hashes(hashes, width)[chosen] + np.uint64(width))
+        if width == RUN and len(chosen) < len(words):
+            spans = longer_runs(sums)
+            places.append(spans[:, 0])
+            widths.append(spans[:, 1] - spans[:, 0])
+            longer = [digest(hashes[a:b].tobytes()) for a, b in spans.tolist()]
+            values.append(np.array(longer, np.uint64))
     return np.concatenate(places), np.concatenate(widths), np.concatenate(values)
 
 

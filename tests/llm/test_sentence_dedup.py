@@ -1,3 +1,4 @@
+import random
 import re
 
 from corpus import SF, docs, prose  # noqa: F401
@@ -56,3 +57,35 @@ def test_null_and_repeated_keys(docs):
     rows = s.remove_repeats(frame).collect()
     assert [(r.doc_id, r.first_in, r.n_removed == r.n_sentences) for r in rows] == [(4, [], True)] * 2
     assert s.remove_repeats(docs([])).count() == 0
+
+
+def removed_words(text, left):
+    return len(text.split()) - len(left.split())
+
+
+def test_passages_of_very_short_sentences_are_found(docs):
+    """Any three sentences hold under ten words; exact copies and passages are cut whole."""
+    lines = "\n".join(f"line{k} of verse{k}" for k in range(40))
+    shouted = " ".join(f"word{k}!!" for k in range(60))
+    tail = "nine short words stand here before the very end. " + " ".join(f"x{k}." for k in range(9))
+    texts = [lines, lines, shouted, f"Other start here. {shouted} Another end."]
+    texts += [f"{prose(1, 40)}. {tail}", f"{prose(2, 40)}. {tail} Last."]
+    rows = {r.doc_id: r for r in s.remove_repeats(docs(texts)).collect()}
+    assert set(rows) == {1, 3, 5}
+    assert rows[1].text == "" and rows[1].n_removed == 40 and rows[1].first_in == [0]
+    assert rows[3].text == "Other start here. Another end." and rows[3].n_removed == 60
+    assert rows[5].text == f"{prose(2, 40)}. Last."
+
+
+def test_longer_runs_cover_every_passage():
+    """Each sentence of a stretch of enough words is in a run that lies within the stretch."""
+    for seed in range(60):
+        draw = random.Random(seed)
+        sizes = [draw.choice([1, 1, 2, 3, 9]) for _ in range(20)]
+        places, widths, _ = s.runs(" ".join("w " * (n - 1) + f"w{k}." for k, n in enumerate(sizes)))
+        spans = [(a, a + w) for a, w in zip(places.tolist(), widths.tolist())]
+        for start in range(20):
+            for end in range(start + s.RUN, 21):
+                if sum(sizes[start:end]) >= s.MIN_WORDS:
+                    within = [range(a, b) for a, b in spans if start <= a and b <= end]
+                    assert set(range(start, end)) == set().union(*within)
