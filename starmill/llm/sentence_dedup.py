@@ -1,11 +1,12 @@
 """Substring deduplication by sliding sentence spans.
 
-A sentence ends at ``.``, ``!``, ``?`` or a line end. Every run of ``RUN`` consecutive sentences
-with at least ``MIN_WORDS`` words is hashed (lower case, white space as single spaces); a single
-sentence or a pair that holds ``LONG_WORDS`` words already is a run of its own. Where ``RUN``
-sentences hold fewer words, the run goes on, from its first sentence forwards and from its last
-one backwards, until it holds ``MIN_WORDS``: each sentence of a repeated passage of that many words
-in more than ``RUN`` whole sentences is in a run within the passage. Runs are joined
+A sentence ends at ``.``, ``!``, ``?`` or a line end. Every pair and every run of ``RUN``
+consecutive sentences with at least ``MIN_WORDS`` words is hashed (lower case, white space as
+single spaces), and a single sentence with at least ``SINGLE_WORDS``. Where ``RUN`` sentences hold
+fewer than ``MIN_WORDS`` words, the run goes on, from its first sentence forwards and from its last
+one backwards, until it holds them: each sentence of a repeated passage of that many words in two
+or more whole sentences is in a run within the passage. A passage that begins and ends inside
+sentences is found by the whole sentences between; one that holds no such run stays. Runs are joined
 over the whole corpus: of all places of a run the first (least key, then text, then position) is
 kept, and every sentence covered by a non-first run is removed from its document.
 
@@ -37,7 +38,7 @@ from starmill.sources.workdir import materialize
 
 RUN = 3
 MIN_WORDS = 10
-LONG_WORDS = 50
+SINGLE_WORDS = 20
 
 PIECE = re.compile(r"[^\n.!?]+[.!?]*")
 
@@ -81,7 +82,7 @@ def runs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(found) < width:
             break
         words = sums[width:] - sums[:-width]
-        chosen = np.flatnonzero(words >= (MIN_WORDS if width == RUN else LONG_WORDS))
+        chosen = np.flatnonzero(words >= (SINGLE_WORDS if width == 1 else MIN_WORDS))
         places.append(chosen)
         widths.append(np.full(len(chosen), width, np.int64))
         values.append(run_hashes(hashes, width)[chosen] + np.uint64(width))

@@ -89,3 +89,50 @@ def test_longer_runs_cover_every_passage():
                 if sum(sizes[start:end]) >= s.MIN_WORDS:
                     within = [range(a, b) for a, b in spans if start <= a and b <= end]
                     assert set(range(start, end)) == set().union(*within)
+
+
+def test_passages_that_begin_and_end_inside_sentences(docs):
+    """Two whole sentences of 10 to 49 words, or one of 20, in a longer repeated passage."""
+    def words(name, count):
+        return " ".join(f"{name}{k}" for k in range(count))
+
+    pair, short, one = (f"{words('p', 12)}. {words('q', 13)}.", f"{words('r', 3)}. {words('s', 7)}.",
+                        f"{words('t', 20)}.")
+    texts = []
+    for whole in (pair, short, one):
+        passage = f"{words('head', 20)}. {whole} {words('tail', 20)}"
+        texts += [f"{words(f'a{len(texts) + i}x', 9)} {passage} {words(f'b{len(texts) + i}x', 9)}." for i in range(2)]
+    rows = {r.doc_id: r for r in s.remove_repeats(docs(texts)).collect()}
+    assert set(rows) == {1, 3, 5}
+    for k, whole in ((1, pair), (3, short), (5, one)):
+        assert whole in texts[k] and rows[k].text == texts[k].replace(f"{whole} ", "")
+        assert rows[k].first_in == [k - 1]
+
+
+def whole_rule(texts):
+    """Sentence numbers covered by a non-first run of any width, for ``{key: text}``."""
+    first, gone = {}, {}
+    for key in sorted(texts):
+        parts = [p.lower().split() for p in re.findall(r"[^\n.!?]+[.!?]*", texts[key] or "")]
+        parts = [p for p in parts if p]
+        sizes = list(map(len, parts))
+        for at in range(len(parts)):
+            for end in range(at + 1, min(at + 10, len(parts)) + 1):
+                held = sum(sizes[at:end])
+                needless = end - at > 3 and held - max(sizes[at], sizes[end - 1]) >= 10
+                if held >= (20 if end - at == 1 else 10) and not needless:
+                    name = tuple(map(tuple, parts[at:end]))
+                    if first.setdefault(name, (key, at)) != (key, at):
+                        gone.setdefault(key, set()).update(range(at, end))
+    return gone
+
+
+def test_whole_table_matches_the_whole_rule(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    expected, floors = whole_rule(texts), brute(texts)
+    rows = {r.doc_id: r for r in QUERIES["op7_sentence_dedup"](spark, SF).collect()}
+    assert set(rows) == set(expected)
+    assert all(gone <= expected[k] for k, gone in floors.items())
+    for k, gone in expected.items():
+        _, spans, count = s.cut(texts[k], gone)
+        assert (rows[k].n_removed, rows[k].spans, rows[k].n_sentences) == (len(gone), spans, count)
