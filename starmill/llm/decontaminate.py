@@ -4,7 +4,8 @@ For a benchmark item of ``m`` words every window of ``m`` consecutive words of e
 held against it: the window's 64-bit SimHash (each five-word shingle counted as often as it
 occurs) must lie within ``radius`` bits of the item's, and then the exact weighted similarity of
 the two bags of shingles (sum of minima over sum of maxima of the counts) must reach
-``similarity``.
+``similarity``. A document with fewer words than the item is one window as a whole, so that an item
+cut short is found as well.
 
 * Multi-index: fingerprints are cut into 8 blocks of 8 bits. Of two that differ in at most
   ``radius`` bits, some block differs in at most ``radius // 8``; the index lists, for each block
@@ -206,34 +207,36 @@ class Benchmark:
                 continue
             for size, places in known.places(shingles):
                 # the sum of minima is at most the shared shingles; with the sum of maxima it
-                # makes twice the size
-                least = 2 * size * self.similarity / (1 + self.similarity) - 1e-9
-                if len(shingles) < size or len(places) < least:
+                # makes the item's size and the window's, which is the text's if that is shorter
+                width = min(size, len(shingles))
+                least = (size + width) * self.similarity / (1 + self.similarity) - 1e-9
+                if len(places) < least:
                     continue
                 shared = np.zeros(len(shingles) + 1, np.int32)
                 shared[places + 1] = 1
                 sums = np.cumsum(shared)
-                enough = np.flatnonzero(sums[size:] - sums[:-size] >= least)
+                enough = np.flatnonzero(sums[width:] - sums[:-width] >= least)
                 index = self.indexes[shingle, size]
                 for at in range(0, len(enough), WINDOWS_AT_ONCE):
                     starts = enough[at : at + WINDOWS_AT_ONCE]
-                    self.check(shingles, starts, size, index, best)
+                    self.check(shingles, starts, width, index, best)
         return best
 
-    def check(self, shingles, starts, size, index, best) -> None:
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
+    def check(self, shingles, starts, width, index, best) -> None:
+        """Hold the windows of ``width`` shingles at ``starts`` against the items of the index."""
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
             first = run[0]
-            part = shingles[first : run[-1] + size].astype(">u8")
+            part = shingles[first : run[-1] + width].astype(">u8")
             bits = np.unpackbits(part.view(np.uint8)).reshape(-1, 64)
             sums = np.zeros((len(part) + 1, 64), np.int32)
             np.cumsum(bits, axis=0, out=sums[1:])
-            counted = sums[run - first + size] - sums[run - first]
-            for start, print_ in zip(run.tolist(), simhash(counted, size)):
+            counted = sums[run - first + width] - sums[run - first]
+            for start, print_ in zip(run.tolist(), simhash(counted, width)):
                 for k in index.candidates(print_).tolist():
                     item = index.items[k]
-                    window = Counter(shingles[start : start + size].tolist())
+                    window = Counter(shingles[start : start + width].tolist())
                     common = sum(min(n, window[x]) for x, n in item.counts.items())
-                    alike = common / (2 * size - common)
+                    alike = common / (len(item.shingles) + width - common)
                     if alike >= self.similarity:
                         old = best.get(item.number)
                         if old is None or alike > old[0]:

@@ -97,3 +97,52 @@ def test_empty_tables_and_clashing_columns(spark, docs):
     assert d.drop_contaminated(frame, some).columns == frame.columns
     assert [r.doc_id for r in d.drop_contaminated(frame, some).collect()] == [1]
     assert d.contamination(docs([]), some).count() == 0
+
+
+def brute_of_short(texts, items):
+    """Similarity of every document of fewer shingles than an item, as a whole, with the item."""
+    found = {}
+    for i, item in items.items():
+        words = normal(item)
+        k = min(5, len(words))
+        bag = Counter(shingles(words, k))
+        for n, text in texts.items():
+            whole = Counter(shingles(normal(text), k))
+            if words and sum(whole.values()) < sum(bag.values()):
+                alike = sum((whole & bag).values()) / sum((whole | bag).values())
+                if alike >= 0.8:
+                    found[n, i] = alike
+    return found
+
+
+def test_items_cut_short_match_brute_force(spark, docs):
+    """A document of an item without its first or last words, some of them edited."""
+    items = {i: prose(700 + i, n) for i, n in enumerate((8, 20, 59, 120, 500))}
+    items |= {5: "one two three four", 6: " ".join([prose(5, 12)] * 5)}
+    texts = {}
+    for i, item in items.items():
+        words = item.split()
+        for part in (0.99, 0.95, 0.92, 0.85, 0.8, 0.7, 0.3):
+            left = max(1, min(len(words) - 1, round(part * len(words))))
+            for cut in (words[:left], words[-left:], edited(words[:left], 1, i)):
+                texts[len(texts)] = " ".join(cut).upper()
+    texts |= {1000: None, 1001: "", 1002: "one", 1003: prose(3, 30)}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    expected = brute_of_short(texts, items)
+    assert {i for _, i in expected} >= {1, 2, 3, 4, 6} and len(expected) > 40
+    expected = brute(texts, items) | expected
+    rows = d.contamination(docs(list(texts.items())), bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in rows} == {
+        k: round(v, 9) for k, v in expected.items()}
+    left = d.drop_contaminated(docs(list(texts.items())), bench, items_at_once=3)
+    assert {r.doc_id for r in left.collect()} == set(texts) - {n for n, _ in expected}
+
+
+def test_named_cuts_of_items_are_found(spark, docs):
+    """56 of 59 words, 110 of 120 and 460 of 500."""
+    items = {n: prose(n, n) for n in (59, 120, 500)}
+    cuts = [" ".join(items[n].split()[:k]) for n, k in ((59, 56), (120, 110), (500, 460))]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = sorted(d.contamination(docs(cuts), bench).collect())
+    assert [(r.doc_id, r.item_id, round(r.similarity, 2), r.first_word) for r in rows] == [
+        (0, 59, 0.95, 0), (1, 120, 0.91, 0), (2, 500, 0.92, 0)]
