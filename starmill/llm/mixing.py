@@ -10,7 +10,10 @@
 The second step is projected gradient descent with a lazy projection: after any number of steps
 the rate is ``max(0, 1 + posterior . step)``, so the only state is one number per domain. A step
 is one aggregate over the stored documents (domain totals at the present rates, and the curvature
-that scales the step); the driver holds only those few sums.
+that scales the step); the driver holds only those few sums. The first steps are taken on the
+documents summed in cells of ``1 / GRID``, the last ones on the documents themselves with their
+unrounded posteriors: the domain totals are off by at most ``TOLERANCE`` of all tokens, if the
+documents allow the targets.
 
 Everything runs in DataFrame operations: no Python on the executors. The classifier is fitted on
 at most ``TRAIN_ROWS`` labelled rows, drawn by hash, and keeps ``FEATURES`` features per
@@ -38,7 +41,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
 TRAIN_ROWS = 10_000
 FEATURES = 64
-GRID = 256  # posteriors are kept in this many steps
+GRID = 256  # the fit starts on posteriors summed in this many steps
 STEPS = 40
 TOLERANCE = 1e-9
 
@@ -91,8 +94,8 @@ class Classifier:
         self.bias, self.weights = bias, weights
 
     def with_posterior(self, docs: DataFrame, features: Column, out: str) -> DataFrame:
-        """``docs`` with the posterior per domain in steps of 1 / ``GRID``, an array that sums to
-        1 (but for rounding). Each step is a column of its own, so that it is computed once."""
+        """``docs`` with the posterior per domain, an array that sums to 1. Each step is a column
+        of its own, so that it is computed once."""
         names = F.array(*[F.lit(w) for w in self.weights]).cast("array<string>")
         docs = docs.withColumn(out, F.array_intersect(features, names))
         sums = []
@@ -107,7 +110,7 @@ class Classifier:
             out, F.array(*[F.exp(F.col(out)[k] - F.array_max(out)) for k in range(len(sums))])
         )
         total = sum((F.col(out)[k] for k in range(1, len(sums))), F.col(out)[0])
-        parts = [F.round(F.col(out)[k] / total * GRID) / GRID for k in range(len(sums))]
+        parts = [F.col(out)[k] / total for k in range(len(sums))]
         return docs.withColumn(out, F.array(*parts))
 
 
@@ -186,17 +189,32 @@ def fit_step(stored: DataFrame, targets: Mapping[str, float]) -> list[float]:
     ``tokens`` and ``posterior``.
 
     The wanted total of each domain is its target share of the present tokens of all documents.
-    Documents of one posterior have one rate, so the gradient is summed over the tokens per
-    posterior; their number is bounded by ``GRID``.
+    The fit starts on cells of near posteriors, each with its mean; their number is bounded by
+    ``GRID``. From there it goes on over the documents, which takes few steps.
     """
     size = len(DOMAINS)
-    cells = stored.groupBy("posterior").agg(F.sum("tokens").cast("double").alias("tokens"))
-    cells = materialize(cells.where(F.col("tokens") > 0), "cells")
+    rows = stored.where(F.col("tokens") > 0)
+    p = [F.col("posterior")[k] for k in range(size)]
+    cells = rows.groupBy(*[F.round(x * GRID).alias(f"cell{k}") for k, x in enumerate(p)]).agg(
+        F.sum("tokens").cast("double").alias("tokens"),
+        *[F.sum(F.col("tokens") * x).alias(f"sum{k}") for k, x in enumerate(p)],
+    )
+    means = F.array(*[F.col(f"sum{k}") / F.col("tokens") for k in range(size)])
+    cells = materialize(cells.select("tokens", means.alias("posterior")), "cells")
     whole = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    wanted = [whole * targets[d] / sum(targets.values()) for d in DOMAINS]
-    step = [0.0] * size
     if not whole:
-        return step
+        return [0.0] * size
+    wanted = [whole * targets[d] / sum(targets.values()) for d in DOMAINS]
+    start = descend(cells, wanted, whole, [0.0] * size)
+    return descend(rows, wanted, whole, start)
+
+
+def descend(
+    rows: DataFrame, wanted: list[float], whole: float, step: list[float]
+) -> list[float]:
+    """From ``step`` on to where the domain totals over ``rows`` (``tokens`` and ``posterior``)
+    are ``wanted``, or as near as the rows allow; ``whole`` is the sum of tokens."""
+    size = len(DOMAINS)
 
     def sums(at: list[float]) -> tuple[list[float], list[list[float]]]:
         """Residual and curvature with the rates at ``at``: one aggregate."""
@@ -204,7 +222,7 @@ def fit_step(stored: DataFrame, targets: Mapping[str, float]) -> list[float]:
         p = [F.col("posterior")[k] for k in range(size)]
         mass = F.col("tokens") * own
         active = F.col("tokens") * F.when(own > 0, 1.0).otherwise(0.0)
-        row = cells.agg(
+        row = rows.agg(
             *[F.sum(mass * p[k]).alias(f"t{k}") for k in range(size)],
             *[F.sum(active * p[i] * p[j]).alias(f"c{i}_{j}") for i in range(size) for j in range(size)],
         ).first()

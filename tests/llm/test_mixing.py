@@ -64,3 +64,28 @@ def test_edges(spark, docs):
     mixed = m.mix(frame.withColumnRenamed("source", "rate"), some)
     assert mixed.columns == [*frame.columns[:3], "rate", "n_chars", "rate_"]
     assert m.mixing_rates(docs([]), labels).count() == 0 and m.mix(docs([]), some).count() == 0
+
+
+def test_posteriors_are_not_rounded(spark, docs):
+    """Thirds and posteriors far below 1 / GRID, against a plain softmax."""
+    single = docs(["x"])
+    even = m.Classifier([0.0] * 3, {}).with_posterior(single, m.words_of(single.text), "p")
+    assert np.allclose(even.first().p, [1 / 3] * 3, rtol=1e-12)
+    bias, weights = [0.0, -1.0, -9.0], {"rare": [0.0, 0.5, 2.0], "good": [1.5, 0.0, -3.0]}
+    texts = ["rare", "good", "rare good", "none"]
+    frame = docs(texts)
+    rows = m.Classifier(bias, weights).with_posterior(frame, m.words_of(frame.text), "p").collect()
+    for r in rows:
+        score = np.array(bias) + sum((np.array(weights[w]) for w in r.text.split() if w in weights),
+                                     np.zeros(3))
+        assert np.allclose(r.p, np.exp(score) / np.exp(score).sum(), rtol=1e-12)
+        assert 0 < r.p[2] < 1 / (2 * m.GRID) and abs(sum(r.p) - 1) < 1e-12
+
+
+def test_whole_table_meets_the_targets_unrounded(spark):
+    rows = QUERIES["op9_mixing"](spark, SF).toPandas()
+    p, tokens = rows[P].to_numpy(), rows.n_tokens.to_numpy()
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-12) and (p > 0).all()
+    assert not np.allclose(p * m.GRID, np.round(p * m.GRID), atol=1e-6)
+    wanted = np.array([m.TARGETS[d] for d in m.DOMAINS]) * tokens.sum()
+    assert np.abs(p.T @ (tokens * rows.rate) - wanted).max() <= 2 * m.TOLERANCE * tokens.sum()
