@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starmill.llm import (
     decontaminate,
+    filter_audit,
     html_extract,
     mixing,
     pii,
@@ -89,6 +90,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    return filter_audit.audit(docs, labels)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -102,6 +108,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_model,
         op9_mixing,
         op10_simhash,
+        op13_filter_audit,
     )
 }
 
@@ -183,8 +190,62 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM b
 """
 
+FILTER_AUDIT = r"""
+WITH RECURSIVE first_of AS (
+  SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+    max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), d AS (
+  SELECT d.doc_id, coalesce(d.lang, '') AS part, coalesce(d.text, '') AS t,
+    regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    coalesce(d.doc_id > f.least, false) AS e, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic
+  FROM documents d JOIN first_of f ON f.t = coalesce(d.text, '')
+  LEFT JOIN known k ON k.doc_id = d.doc_id
+), judged AS (
+  SELECT part, good, toxic, len(ws) < 100 AS a, 100 * len(list_distinct(ws)) < 80 * len(ws) AS b,
+    100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, e
+  FROM d
+), cell AS (
+  SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END
+    || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END
+    || CASE WHEN e THEN 'E' ELSE '' END AS failed,
+    count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM judged GROUP BY ALL
+), orders AS (
+  SELECT '' AS o
+  UNION ALL
+  SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+), steps AS (
+  SELECT o, s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s) WHERE length(o) = 5
+), counted AS (
+  SELECT part, o, s, f,
+    sum(CASE WHEN translate(failed, before || f, '') = failed THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN n ELSE 0 END)
+      AS removed,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') <> failed THEN n ELSE 0 END)
+      AS redundant,
+    sum(CASE WHEN failed = f THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN good ELSE 0 END)
+      AS good_lost,
+    sum(CASE WHEN contains(failed, f) AND translate(failed, before, '') = failed THEN toxic ELSE 0 END)
+      AS toxic_lost
+  FROM cell, steps GROUP BY part, o, s, f
+)
+SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op2_warc": WARC,
     "op5_quality_rules": QUALITY_RULES,
+    "op13_filter_audit": FILTER_AUDIT,
 }
