@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from starmill.llm import (
+    bpe,
     decontaminate,
     filter_audit,
     html_extract,
@@ -37,6 +39,10 @@ URL_RULES = [
 ]
 
 
+#: Rank file of the public tokenizers.
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
+
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.filter_urls(pages, URL_RULES)
@@ -90,6 +96,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.read_ranks(public_tokenizers.path(TOKENIZER))
+    docs = table(spark, sf_dir, "documents")
+    tokens = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return tokens.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2(bpe.decoded(tokens, ranks, F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return filter_audit.audit(docs, labels)
@@ -108,6 +129,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_model,
         op9_mixing,
         op10_simhash,
+        op12_bpe,
         op13_filter_audit,
     )
 }
