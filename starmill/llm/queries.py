@@ -14,6 +14,7 @@ from starmill.llm import (
     html_extract,
     mixing,
     pii,
+    prefix_trie,
     quality_model,
     quality_rules,
     sentence_dedup,
@@ -96,6 +97,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -129,6 +134,7 @@ QUERIES: dict[str, Query] = {
         op8_quality_model,
         op9_mixing,
         op10_simhash,
+        op11_prefix_trie,
         op12_bpe,
         op13_filter_audit,
     )
@@ -265,9 +271,70 @@ SELECT part, o AS filter_order, CAST(s AS INTEGER) AS step, CAST(kept AS BIGINT)
 FROM counted
 """
 
+PREFIX_TRIE = r"""
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT c, CAST(4294967295 AS BIGINT) AS v, 0 AS i, CAST(c AS VARCHAR) AS s FROM ids
+  UNION ALL
+  SELECT c, CASE WHEN w & 1 = 1 THEN xor(w >> 1, CAST(3988292384 AS BIGINT)) ELSE w >> 1 END, i + 1, s
+  FROM (
+    SELECT c, i, s,
+      CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(s, i // 8 + 1, 1)) AS BIGINT)) ELSE v END AS w
+    FROM crc WHERE i < 8 * length(s)
+  )
+), h AS (
+  SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 4 AS h FROM crc WHERE i = 8 * length(s)
+), turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS t,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+      substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32))
+      AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), rebuilt AS (
+  SELECT h.c, b.role, b.t, b.p FROM h JOIN turns b ON b.c = h.c - h.c % 20 AND b.p <= h.h
+  UNION ALL
+  SELECT h.c, o.role, o.t, o.p FROM h JOIN turns o ON o.c = h.c AND o.p > h.h
+), placed AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS d,
+    sha256(length(role) || ':' || role || t) AS x,
+    len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w
+  FROM rebuilt
+), paths AS (
+  SELECT c, d, sha256(string_agg(x, '') OVER (PARTITION BY c ORDER BY d)) AS node, w FROM placed
+  UNION ALL
+  SELECT c, 0, '', 0 FROM h
+), nodes AS (
+  SELECT node, d, any_value(w) AS w, min(c) AS conv_id, count(*) AS n FROM paths GROUP BY node, d
+), up AS (
+  SELECT n.node, p.node AS above, p.d AS d
+  FROM nodes n JOIN paths p ON p.c = n.conv_id AND p.d <= n.d
+), kids AS (
+  SELECT u.above AS node, count(*) AS n_children FROM up u JOIN nodes n USING (node)
+  WHERE u.d = n.d - 1 GROUP BY u.above
+), sums AS (
+  SELECT u.above AS node, sum((n.n - 1) * n.w) AS saved,
+    sum(CASE WHEN k.node IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM up u JOIN nodes n USING (node) LEFT JOIN kids k ON k.node = n.node GROUP BY u.above
+), ends AS (
+  SELECT node, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS cs
+  FROM paths JOIN (SELECT c, max(d) AS d FROM paths GROUP BY c) USING (c, d) GROUP BY node
+), parents AS (
+  SELECT u.node, n.conv_id AS parent FROM up u JOIN nodes m USING (node) JOIN nodes n ON n.node = u.above
+  WHERE u.d = m.d - 1
+)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.parent AS parent_conv_id,
+  CAST(n.n AS BIGINT) AS n_convs, CAST(coalesce(k.n_children, 0) AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(e.cs, '')) AS ends_sha256
+FROM nodes n LEFT JOIN parents p USING (node) LEFT JOIN kids k USING (node) JOIN sums s USING (node)
+LEFT JOIN ends e USING (node)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": URL_FILTER,
     "op2_warc": WARC,
     "op5_quality_rules": QUALITY_RULES,
+    "op11_prefix_trie": PREFIX_TRIE,
     "op13_filter_audit": FILTER_AUDIT,
 }

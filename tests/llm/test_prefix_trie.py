@@ -1,0 +1,129 @@
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+from corpus import SF, prose
+from pyspark.sql import functions as F
+
+from starmill.llm import prefix_trie
+from starmill.llm.queries import QUERIES
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def brute_turns(rows):
+    """Ordered turns of every conversation, with ties by the turn's digest."""
+    convs = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            mark = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()[:16]
+            order = (turn is not None, turn or 0, mark)
+            convs.setdefault(conv, []).append((order, (role, text)))
+    return {c: [t for _, t in sorted(turns)] for c, turns in convs.items()}
+
+
+def brute_rebuilt(convs):
+    out = {}
+    for c, turns in convs.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        out[c] = convs.get(c - c % 20, [])[:h] + turns[h:]
+    return out
+
+
+def brute(convs):
+    """Every node of the trie, walked as a tree of dictionaries."""
+    members, ends = {}, {}
+    for c in sorted(convs):
+        path = tuple(convs[c])
+        ends.setdefault(path, []).append(c)
+        for d in range(len(path) + 1):
+            members.setdefault(path[:d], []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for path in members:
+        if path:
+            children[path[:-1]] = children.get(path[:-1], 0) + 1
+    for path in members:
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", path[-1][1])) if path else 0
+        for d in range(len(path) + 1):
+            saved[path[:d]] = saved.get(path[:d], 0) + (len(members[path]) - 1) * words
+            leaves[path[:d]] = leaves.get(path[:d], 0) + (path not in children)
+    return sorted(
+        (members[p][0], len(p), members[p[:-1]][0] if p else None, len(members[p]),
+         children.get(p, 0), leaves[p], saved[p],
+         hashlib.sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest())
+        for p in members
+    )
+
+
+def found(df):
+    rows = [
+        (r.conv_id, r.depth, r.parent_conv_id, r.n_convs, r.n_children, r.n_leaves, r.saved_tokens,
+         r.ends_sha256) for r in df.collect()
+    ]
+    return sorted(rows)
+
+
+def test_whole_table_matches_brute_force(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/conversations.parquet").select(
+        "conv_id", "turn", "role", "text").collect()]
+    df = QUERIES["op11_prefix_trie"](spark, SF)
+    assert found(df) == brute(brute_rebuilt(brute_turns(rows)))
+    assert {t for c, t in df.dtypes if c != "ends_sha256"} == {"bigint"}
+
+
+@pytest.fixture
+def unclean():
+    draw = random.Random(4)
+    rows = [(c, t, draw.choice(["user", "", None]), draw.choice(["a b", "a", "", None, " a\x0b b "]))
+            for c in [*range(0, 70), 5000, 5001] for t in range(draw.randint(1, 5)) if c % 20 or c > 30]
+    long = [(c, t, "user", f"turn {t if t < 60 else (t, c)}") for c in (81, 82, 83) for t in range(90)]
+    exact = [(c, t, "user", f"t {t}") for c in (91, 92) for t in range(8)]
+    exact += [(c, t, "user", f"t {t}") for c in (93, 94) for t in range(16)]
+    ties = [(60, None, "x", "b"), (60, None, "x", "a"), (60, 0, "x", "c"), (60, 0, "x", "c"),
+            (61, 2, "role", "text"), (61, 2, "rolet", "ext"), (None, 0, "user", "left out"),
+            (62, -5, "user", prose(1, 30_000)), (63, -5, "user", prose(1, 30_000))]
+    out = rows + long + exact + ties + rows[:30]
+    draw.shuffle(out)
+    return out
+
+
+def frame(spark, rows):
+    extra = [(*r, 1, "x", None) for r in rows]
+    return spark.createDataFrame(extra, f"{SCHEMA}, depth int, conv string, words long")
+
+
+def test_unclean_conversations(spark, unclean):
+    turns = brute_turns(unclean)
+    df = frame(spark, unclean)
+    assert found(prefix_trie.conversation_trie(df)) == brute(turns)
+    assert found(prefix_trie.rebuilt_trie(df)) == brute(brute_rebuilt(turns))
+    assert prefix_trie.rebuilt_trie(df.limit(0)).count() == 0
+
+
+def test_keys_by_several_levels_and_ids_in_pieces(spark, unclean, monkeypatch):
+    """Blocks joined three at a time and ids four at a time give the same trie."""
+    monkeypatch.setattr(prefix_trie, "FAN", 3)
+    monkeypatch.setattr(prefix_trie, "ENDS", 4)
+    copies = [(c, t, "user", f"same {t}") for c in range(100, 160) for t in range(27)]
+    rows = unclean + copies
+    assert found(prefix_trie.conversation_trie(frame(spark, rows))) == brute(brute_turns(rows))
+
+
+def test_turnless_conversations_are_members_of_the_root(spark):
+    h = {c: zlib.crc32(str(c).encode()) % 4 for c in range(1, 20)}
+    c = next(c for c in h if h[c] == 3)
+    rows = [(c, 0, "user", "only"), (c, 1, "user", "two")]  # both go, and there is no base
+    got = found(prefix_trie.rebuilt_trie(frame(spark, rows)))
+    assert got == [(c, 0, None, 1, 0, 1, 0, hashlib.sha256(str(c).encode()).hexdigest())]
+
+
+def test_prefixes_are_rolled_up_before_they_move(spark):
+    blocks = spark.createDataFrame([], "conv long, at long, before binary, ahead long, "
+                                   + ", ".join(f"{t} struct<id: binary, words: bigint>"
+                                               for t in prefix_trie.SLOTS))
+    df = prefix_trie.rollup(blocks, "count(*) AS n").agg(F.sum("n"))
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "extended")
+    assert "Expand" in text and "spark_grouping_id" in text
