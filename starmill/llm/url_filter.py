@@ -11,11 +11,13 @@ lower-cased; the path is what follows up to ``?``, ``#`` or the end. A null URL,
 
 The trie is broadcast while there are at most ``BROADCAST_RULES`` rules. A larger rule table is
 joined instead: each different host and path is looked up under its host suffixes and path
-folders, whose number its own length bounds.
+prefixes, whose number its own length bounds; a common host suffix is split among tasks. Either way
+rules are brought to one form first, so the answers do not depend on their number.
 
 Defined results: null keys are carried; repeated rows are judged row by row; extra columns are kept;
 columns that would clash with an added name are replaced; an empty table gives an empty result,
-an empty rule list the default for every row. Rules with a null host or path count as empty there.
+an empty rule list the default for every row. A rule's host counts with A-Z lower-cased; a null host or
+path counts as empty, a null verdict as the default.
 """
 
 from __future__ import annotations
@@ -45,12 +47,25 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "://[^/?#]*([^?#]*)", 1)
 
 
+def normal(rule: tuple[str | None, str | None, str | None], default: str) -> Rule:
+    verdict, host, path = rule
+    lower = str.maketrans(UPPER, LOWER)
+    return verdict or default, (host or "").translate(lower), path or ""
+
+
 class PathNode:
     """Rules whose path begins with the segments that lead here."""
 
     def __init__(self):
         self.children: dict[str, PathNode] = {}
         self.ends: dict[str, Rule] = {}  # what the next segment must begin with -> rule
+        self.lengths: list[int] = []  # of the ends, longest first
+
+    def end(self, rest: str, rule: Rule) -> None:
+        if self.ends.get(rest, ("allow",))[0] != "block":
+            self.ends[rest] = rule
+            if len(rest) not in self.lengths:
+                self.lengths = sorted([*self.lengths, len(rest)], reverse=True)
 
 
 class HostNode:
@@ -74,8 +89,7 @@ class Trie:
         *folders, rest = path.split("/")
         for folder in folders:
             place = place.children.setdefault(folder, PathNode())
-        if place.ends.get(rest, ("allow",))[0] != "block":
-            place.ends[rest] = rule
+        place.end(rest, rule)
 
     def match(self, host: str, path: str) -> Rule | None:
         """The rule that wins, or None."""
@@ -94,11 +108,14 @@ class Trie:
 
 
 def longest(place: PathNode, segments: list[str]) -> Rule | None:
+    """The rule with the longest path; a node looks up one beginning of the segment per length."""
     best = None
     for segment in segments:
-        fits = [rest for rest in place.ends if segment.startswith(rest)]
-        if fits:
-            best = place.ends[max(fits, key=len)]
+        for length in place.lengths:
+            found = place.ends.get(segment[:length])
+            if length <= len(segment) and found is not None:
+                best = found
+                break
         place = place.children.get(segment)
         if place is None:
             break
@@ -123,16 +140,16 @@ def _by_trie(parsed: DataFrame, rules: list[Rule], default: str) -> DataFrame:
     return judged.withColumn("verdict", F.col("rule.verdict")).withColumn("rule", F.col("rule.rule"))
 
 
-def _folder(path: Column) -> Column:
-    return F.regexp_extract(path, "(?s)^(.*/)?", 0)
-
-
 def _by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
-    """The same verdicts from a rule table of any size."""
-    best_rule = rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("given"))
-    best_rule = best_rule.withColumn("folder", _folder(F.col("rule_path")))
+    """The same verdicts from a rule table of any size: every host suffix and every beginning of
+    the path that is as long, within its last segment, as some rule's is looked up."""
+    best_rule = materialize(
+        rules.groupBy("rule_host", "rule_path").agg(F.max("rule_verdict").alias("given")), "rules"
+    )
+    rest = F.length(F.element_at(F.split("rule_path", "/"), -1))
+    lengths = [r[0] for r in best_rule.select(rest).distinct().collect()]  # short whole numbers
     asked = parsed.select("host", "path").where("host != ''").distinct()
-    labels, segments = F.split("host", "\\."), F.split(_folder(F.col("path")), "/")
+    labels, segments = F.split("host", "\\."), F.split("path", "/")
     hosts = F.concat(
         F.array(F.lit("")),
         F.transform(
@@ -140,24 +157,24 @@ def _by_join(parsed: DataFrame, rules: DataFrame, default: str) -> DataFrame:
             lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
         ),
     )
-    folders = F.transform(
-        F.sequence(F.lit(0), F.size(segments) - 1),
-        lambda i: F.when(i == 0, F.lit("")).otherwise(
+
+    def beginnings(segment: Column, i: Column) -> Column:
+        folder = F.when(i == 0, F.lit("")).otherwise(
             F.concat(F.array_join(F.slice(segments, F.lit(1), i), "/"), F.lit("/"))
-        ),
-    )
-    ways = asked.withColumn("rule_host", F.explode(hosts)).withColumn("folder", F.explode(folders))
-    fits = ways.join(best_rule, ["rule_host", "folder"]).where(
-        F.expr("startswith(path, rule_path)")
-    )
+        )
+        fitting = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(segment))
+        return F.transform(fitting, lambda n: F.concat(folder, F.substring(segment, F.lit(1), n)))
+
+    paths = F.flatten(F.transform(segments, beginnings))
+    ways = asked.withColumn("rule_host", F.explode(hosts)).withColumn("rule_path", F.explode(paths))
+    fits = lookup_join(ways, best_rule, ["rule_host", "rule_path"], best_rule.count())
     labels_of = F.when(F.col("rule_host") == "", 0).otherwise(F.size(F.split("rule_host", "\\.")))
     wins = F.max_by(
         F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("given").alias("verdict")),
         F.struct(labels_of, F.length("rule_path")),
     )
-    won = materialize(
-        fits.groupBy("host", "path").agg(wins.alias("w")).select("host", "path", "w.*"), "verdicts"
-    )
+    won = fits.where(F.col("given").isNotNull()).groupBy("host", "path").agg(wins.alias("w"))
+    won = materialize(won.select("host", "path", "w.*"), "verdicts")
     judged = lookup_join(parsed, won, ["host", "path"], won.count())
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
@@ -178,17 +195,17 @@ def filter_urls(
     parsed = df.select(
         *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
     )
-    if isinstance(rules, DataFrame):
-        plain = rules.select(
-            F.coalesce("verdict", F.lit(default)).alias("rule_verdict"),
-            F.coalesce(F.translate("host", UPPER, LOWER), F.lit("")).alias("rule_host"),
-            F.coalesce("path", F.lit("")).alias("rule_path"),
-        )
-        plain = materialize(plain, "rules")
-        if plain.count() > broadcast_rules:
-            return _by_join(parsed, plain, default)
-        rules = [tuple(r) for r in plain.collect()]
-    elif len(rules) > broadcast_rules:
-        frame = df.sparkSession.createDataFrame(rules, "verdict string, host string, path string")
-        return filter_urls(df, frame, url, default, broadcast_rules)
-    return _by_trie(parsed, rules, default)
+    if not isinstance(rules, DataFrame):
+        given = [normal(rule, default) for rule in rules]
+        if len(given) <= broadcast_rules:
+            return _by_trie(parsed, given, default)
+        rules = df.sparkSession.createDataFrame(given, "verdict string, host string, path string")
+    plain = rules.select(
+        F.coalesce("verdict", F.lit(default)).alias("rule_verdict"),
+        F.coalesce(F.translate("host", UPPER, LOWER), F.lit("")).alias("rule_host"),
+        F.coalesce("path", F.lit("")).alias("rule_path"),
+    )
+    plain = materialize(plain, "rules")
+    if plain.count() > broadcast_rules:
+        return _by_join(parsed, plain, default)
+    return _by_trie(parsed, [tuple(r) for r in plain.collect()], default)

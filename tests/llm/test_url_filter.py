@@ -64,6 +64,31 @@ def test_random_rules(spark):
     assert rows(u.filter_urls(pages, frame, broadcast_rules=0)) == expected
 
 
+def test_capitals_and_nulls_in_rules_count_alike_everywhere(spark):
+    """The same rules as list and frame, below and beyond the number that is broadcast."""
+    draw = random.Random(8)
+    hosts = ["Example.COM", "example.com", "B.example.com", "É.com", "com", "", None]
+    paths = ["/", "/a", "/A/", "/a/bc", "a", "", None]
+    given = [(draw.choice(["allow", "block", None]), draw.choice(hosts), draw.choice(paths))
+             for _ in range(12)]
+    urls = [f"http://{h}{p}" for h in ("example.com", "b.EXAMPLE.com", "é.com", "x.com", "org")
+            for p in ("", "/", "/a", "/abc", "/A/b", "/a/b", "/a/bcd/e", "/" + "a/" * 400)]
+    pages = spark.createDataFrame(list(enumerate([*urls, None])), "page_id long, url string")
+    frame = spark.createDataFrame(given, "verdict string, host string, path string")
+    lowered = [(v or "block", "".join(c.lower() if c.isascii() else c for c in h or ""), p or "")
+               for v, h, p in given]
+    expected = {i: brute(url, lowered, "block") for i, url in enumerate([*urls, None])}
+    for rules in (given, frame):
+        for limit in (100, 0):
+            found = rows(u.filter_urls(pages, rules, default="block", broadcast_rules=limit))
+            assert found == expected
+
+
+def test_a_folder_of_many_rules_is_looked_up_by_length(spark):
+    trie = u.Trie([("block", "net", f"/{k}") for k in range(20_000)])
+    place = trie.root.children["net"].paths.children[""]
+    assert place.lengths == [5, 4, 3, 2, 1] and len(place.ends) == 20_000
+    assert trie.match("x.net", "/1234567") == ("block", "net", "/12345")
 
 
 
