@@ -7,13 +7,18 @@
    each domain (rate x tokens x posterior, summed over all documents) meet the target weights.
    Rates stay as near to 1 as that allows: the sum of tokens x (rate - 1)^2 is the least possible.
 
-The second step is projected gradient descent with a lazy projection: after any number of steps
-the rate is ``max(0, 1 + posterior . step)``, so the only state is one number per domain. A step
-is one aggregate over the stored documents (domain totals at the present rates, and the curvature
-that scales the step); the driver holds only those few sums. The first steps are taken on the
-documents summed in cells of ``1 / GRID``, the last ones on the documents themselves with their
-unrounded posteriors: the domain totals are off by at most ``TOLERANCE`` of all tokens, if the
-documents allow the targets.
+The second step is projected descent with a lazy projection: after any number of steps the rate is
+``max(0, 1 + posterior . step)``, so the only state is one number per domain. The gradient is not
+taken as it is but scaled by the curvature of the active documents (a projected Newton step with
+a line search): plain gradient steps need thousands of aggregates where these need a few. A step is one
+aggregate over the stored documents (domain totals at the present rates, and the curvature);
+the driver holds only those few sums. The first steps are taken on the documents summed in cells of
+``1 / GRID``, the last ones on the documents themselves with their unrounded posteriors: the domain
+totals are off by at most ``TOLERANCE`` of all tokens, if the documents allow the targets.
+
+``mixing_rates`` fits the targets as they are given. ``mix`` first sets targets that its documents
+can meet: a domain's share may be at most ``REPEAT`` times its present share, and what lies
+beyond goes to the other domains in proportion to their targets. It returns the unmet share.
 
 Everything runs in DataFrame operations: no Python on the executors. The classifier is fitted on
 at most ``TRAIN_ROWS`` labelled rows, drawn by hash, and keeps ``FEATURES`` features per
@@ -22,7 +27,8 @@ domain; posteriors, tokens and rates cover every document.
 Defined results: a null text is an empty text (no tokens, rate by its posterior); null keys are
 carried and never learnt from; repeated rows each get their rate; labels with a null are not learnt
 from, repeated labels count each time; extra columns are ignored by ``mixing_rates`` and kept by
-``mix``; an empty table gives an empty result; without labels every posterior is the same.
+``mix``; no row is left out, a rate may be 0; an empty table gives an empty result; without labels
+every posterior is the same.
 """
 
 from __future__ import annotations
@@ -41,6 +47,7 @@ DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.93, "poor": 0.06, "toxic": 0.01}
 TRAIN_ROWS = 10_000
 FEATURES = 64
+REPEAT = 4.0  # a domain is drawn at most this many times as much as the documents hold
 GRID = 256  # the fit starts on posteriors summed in this many steps
 STEPS = 40
 TOLERANCE = 1e-9
@@ -209,6 +216,36 @@ def fit_step(stored: DataFrame, targets: Mapping[str, float]) -> list[float]:
     return descend(rows, wanted, whole, start)
 
 
+def attainable(
+    targets: Mapping[str, float], present: Mapping[str, float], repeat: float = REPEAT
+) -> dict[str, float]:
+    """``targets`` as shares, none beyond ``repeat`` times the domain's present share; the excess is
+    spread over the others in proportion to their targets. Where all reach that limit the targets
+    stay as they are."""
+    whole = sum(targets.values())
+    shares = {d: targets[d] / whole for d in DOMAINS}
+    limits = {d: repeat * present[d] for d in DOMAINS}
+    full: set[str] = set()
+    goal = shares
+    while beyond := {d for d in DOMAINS if d not in full and goal[d] > limits[d]}:
+        full |= beyond
+        rest = sum(shares[d] for d in DOMAINS if d not in full)
+        if rest <= 0:
+            return shares
+        left = 1 - sum(limits[d] for d in full)
+        goal = {d: limits[d] if d in full else shares[d] * left / rest for d in DOMAINS}
+    return goal
+
+
+def domain_shares(rows: DataFrame, step: list[float] | None = None) -> dict[str, float]:
+    """Expected share of each domain at the rates of ``step`` (before any: rate 1) among the tokens
+    that ``rows`` (``tokens`` and ``posterior``) hold; zeros without tokens."""
+    own = rate(F.col("posterior"), step or [0.0] * len(DOMAINS))
+    sums = [F.sum(F.col("tokens") * own * F.col("posterior")[k]) for k in range(len(DOMAINS))]
+    row = rows.agg(F.sum("tokens"), *sums).first()
+    return {d: (row[k + 1] or 0.0) / (row[0] or 1) for k, d in enumerate(DOMAINS)}
+
+
 def descend(
     rows: DataFrame, wanted: list[float], whole: float, step: list[float]
 ) -> list[float]:
@@ -289,14 +326,17 @@ def mix(
     key: str = "doc_id",
     text: str = "text",
     name: str = "rate",
+    unmet: str = "unmet",
 ) -> DataFrame:
     """``docs`` with each document's rate as the column ``name`` (how many times a draw of the
-    mixture takes it, on average). Documents with rate 0 have no part in it and are left out."""
+    mixture takes it, on average; 0: never) and, the same in all rows, the share of the targets'
+    tokens that these documents do not supply as the column ``unmet``."""
     tokens, posterior = free_name(docs, "_tokens"), free_name(docs, "_posterior")
-    name = free_name(docs, name)
+    name, unmet = free_name(docs, name), free_name(docs, unmet)
     stored = materialize(with_posterior(docs, labels, key, text, tokens, posterior), "mixture")
-    step = fit_step(
-        stored.select(F.col(tokens).alias("tokens"), F.col(posterior).alias("posterior")), targets
-    )
+    rows = stored.select(F.col(tokens).alias("tokens"), F.col(posterior).alias("posterior"))
+    step = fit_step(rows, attainable(targets, domain_shares(rows)))
+    got, whole = domain_shares(rows, step), sum(targets.values())
+    missing = sum(max(0.0, targets[d] / whole - got[d]) for d in DOMAINS)
     rated = stored.withColumn(name, rate(F.col(posterior), step))
-    return rated.where(F.col(name) > 0).select(*docs.columns, name)
+    return rated.withColumn(unmet, F.lit(missing)).select(*docs.columns, name, unmet)

@@ -62,7 +62,8 @@ def test_edges(spark, docs):
     assert sorted(r.n_tokens for r in rows) == [0, 0, 0, 2, 40]
     some = spark.createDataFrame([(0, 0, 0), (3, 1, 0), (3, 1, 0), (2, 1, 1)], labels.schema)
     mixed = m.mix(frame.withColumnRenamed("source", "rate"), some)
-    assert mixed.columns == [*frame.columns[:3], "rate", "n_chars", "rate_"]
+    assert mixed.columns == [*frame.columns[:3], "rate", "n_chars", "rate_", "unmet"]
+    assert mixed.count() == 5
     assert m.mixing_rates(docs([]), labels).count() == 0 and m.mix(docs([]), some).count() == 0
 
 
@@ -89,3 +90,33 @@ def test_whole_table_meets_the_targets_unrounded(spark):
     assert not np.allclose(p * m.GRID, np.round(p * m.GRID), atol=1e-6)
     wanted = np.array([m.TARGETS[d] for d in m.DOMAINS]) * tokens.sum()
     assert np.abs(p.T @ (tokens * rows.rate) - wanted).max() <= 2 * m.TOLERANCE * tokens.sum()
+
+
+def test_targets_beyond_the_documents_are_lowered():
+    present = {"good": 0.9, "poor": 0.001, "toxic": 0.099}
+    goal = m.attainable(m.TARGETS, present)
+    assert goal["poor"] == m.REPEAT * 0.001 and abs(sum(goal.values()) - 1) < 1e-12
+    assert abs(goal["good"] / goal["toxic"] - 93) < 1e-9
+    assert m.attainable({"good": 3, "poor": 1, "toxic": 0}, dict.fromkeys(m.DOMAINS, 0.3)) == {
+        "good": 0.75, "poor": 0.25, "toxic": 0.0}
+    assert m.attainable(m.TARGETS, dict.fromkeys(m.DOMAINS, 0.0)) == m.TARGETS
+
+
+def test_mixture_keeps_every_row_and_tells_what_is_unmet(spark):
+    """With no poor documents left, the rest still meets the targets it can meet."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    p = m.mixing_rates(docs, labels).where("p_poor < 0.001").select("doc_id")
+    some = docs.join(p, "doc_id").select(*docs.columns)
+    rows = m.mix(some, labels).toPandas()
+    assert len(rows) == p.count() and rows.doc_id.is_unique and (rows.rate == 0).any()
+    assert rows.unmet.nunique() == 1 and 0.05 < rows.unmet[0] < 0.061
+    whole = m.mix(docs, labels).toPandas()
+    assert len(whole) == docs.count() and whole.unmet[0] < 1e-6
+    posteriors = m.mixing_rates(some, labels).toPandas().set_index("doc_id")
+    own = posteriors.loc[rows.doc_id]
+    totals = own[P].to_numpy().T @ (own.n_tokens.to_numpy() * rows.rate.to_numpy())
+    shares = totals / own.n_tokens.sum()
+    present = own[P].to_numpy().T @ own.n_tokens.to_numpy() / own.n_tokens.sum()
+    goal = m.attainable(m.TARGETS, dict(zip(m.DOMAINS, present)))
+    assert np.allclose(shares, [goal[d] for d in m.DOMAINS], atol=1e-6)
