@@ -1,7 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, mixing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a frame with the columns of ``documents``
-(the last adds ``rate``); it is written as Parquet and read again as the next stage's ``docs``.
+(the last adds ``rate`` and ``unmet``); it is written as Parquet and read again as the next one's ``docs``.
+
+Defined results: a null text is an empty text, which the quality rules reject; null keys are
+carried by all stages; repeated rows are exact copies of each other: one stays; of a group of near
+copies the document with the least id stays, a tie of ids goes to one of them; columns beyond those
+of ``documents`` are carried, and added names are lengthened where they clash; an empty table
+passes through as an empty one. The last stage keeps every row: a rate of 0 is a result.
 """
 
 from __future__ import annotations
@@ -34,7 +40,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its rate in the mixture."""
+    """Every document gets its rate in the mixture; what the targets ask for beyond the documents that
+    are left (the quality rules have removed most poor ones) is told as ``unmet``."""
     return mixing.mix(docs, table(spark, sf_dir, "labels"))
 
 
