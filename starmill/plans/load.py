@@ -111,7 +111,7 @@ def load_bronze(
     for table, name in discover_sources(lake.spark, folder).items():
         source = load_csv(lake.spark, f"{folder}/{name}", (schemas or {}).get(table))
         lake.overwrite(cleanse.with_load_columns(source, ingestion_ts, batch_id), "bronze", table)
-        rows[table] = lake.read("bronze", table).count()
+        rows[table] = lake.rows("bronze", table)
     return rows
 
 
@@ -160,7 +160,7 @@ def load_gold(lake: Lake, tables: Sequence[GoldTable]) -> dict[str, int]:
     """Build and store gold tables in order (dimensions before facts); ``{table: rows}``."""
     for table in tables:
         lake.overwrite(table.build(lake), "gold", table.name, table.partition_by)
-    return {table.name: lake.read("gold", table.name).count() for table in tables}
+    return {table.name: lake.rows("gold", table.name) for table in tables}
 
 
 @dataclass

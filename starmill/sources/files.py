@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+_commits = threading.Lock()
+
+
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a new small file: all of it appears at once, or, if ``path`` is taken, nothing and the
+    answer is False. The file system must rename atomically without overwriting, as HDFS does;
+    a local one checks first, so there only the writers of one driver are kept apart."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    folder, name = path.rsplit("/", 1)
+    draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+    write_text(spark, draft, text)
+    never = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = never
+    source, target = jvm.org.apache.hadoop.fs.Path(draft), jvm.org.apache.hadoop.fs.Path(path)
+    fs, _ = hadoop_fs(spark, path)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        fs.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration()
+    )
+    with _commits:
+        try:
+            context.rename(source, target, options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            fs.delete(source, False)
+            return False
+    return True
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     fs, target = hadoop_fs(spark, path)
     fs.delete(target, True)

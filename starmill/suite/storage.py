@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starmill.operators.merge import delete_from_table, upsert
+from starmill.operators.merge import delete_from_table, upsert, upsert_table
 from starmill.sources.files import (
     MALFORMED,
     UNCONVERTED,
@@ -15,7 +15,7 @@ from starmill.sources.files import (
     load_csv,
     write_csv,
 )
-from starmill.sources.lake import Lake
+from starmill.sources.lake import ConcurrentLoad, Lake
 from starmill.sources.workdir import fresh_path
 from starmill.suite.fixtures import load, sql
 from starmill.suite.registry import query
@@ -140,3 +140,60 @@ def layer_counts(spark, sf):
         lake.overwrite(load(spark, sf, table), "bronze", table)
     lake.overwrite(lake.read("bronze", "orders").where("o_orderstatus = 'F'"), "silver", "orders")
     return lake.layer_counts(("raw", "bronze", "silver", "gold"))
+
+
+@query("snapshot_two_writers", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+def snapshot_two_writers(spark, sf):
+    """Both writers start from the first version; the second to commit fails and changes nothing."""
+    lake, orders = Lake(spark, fresh_path(spark, "lake")), load(spark, sf, "orders")
+    lake.overwrite(orders, "silver", "orders")
+    base = lake.snapshot("silver", "orders")
+    first = orders.where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderstatus")
+    lake.overwrite(first, "silver", "orders", ["o_orderstatus"])
+    try:
+        lake.replace_files("silver", "orders", base, [], orders.select("o_custkey", "o_totalprice"))
+    except ConcurrentLoad:
+        return lake.read("silver", "orders")
+    raise AssertionError("a version was committed twice")
+
+
+@query(
+    "append_widened_pairs",
+    """SELECT o_orderkey, CAST(CAST(o_custkey AS INTEGER) AS DOUBLE) AS a,
+              CAST(CAST(o_totalprice AS DECIMAL(14, 2)) AS DOUBLE) AS b, CAST(o_orderdate AS TIMESTAMP) AS day
+       FROM orders WHERE o_orderkey % 3 = 0
+       UNION ALL SELECT o_orderkey, CAST(o_custkey AS DOUBLE), CAST(o_totalprice AS DOUBLE),
+              CAST(o_orderdate AS TIMESTAMP) FROM orders WHERE o_orderkey % 3 = 1
+       UNION ALL SELECT o_orderkey, CAST(o_custkey AS DOUBLE) / 4, CAST(o_custkey AS DOUBLE), NULL
+       FROM orders WHERE o_orderkey % 3 = 2""",
+)
+def append_widened_pairs(spark, sf):
+    """Integers, decimals, doubles, dates and timestamps in one column, file by file."""
+    lake, orders = Lake(spark, fresh_path(spark, "lake")), load(spark, sf, "orders")
+    kinds = [
+        ("CAST(o_custkey AS INT) AS a", "CAST(o_totalprice AS DECIMAL(14, 2)) AS b", "CAST(o_orderdate AS DATE) AS day"),
+        ("CAST(o_custkey AS BIGINT) AS a", "CAST(o_totalprice AS DOUBLE) AS b", "CAST(o_orderdate AS TIMESTAMP) AS day"),
+        ("o_custkey / 4D AS a", "CAST(o_custkey AS BIGINT) AS b"),
+    ]
+    for k, columns in enumerate(kinds):
+        lake.append(orders.where(f"o_orderkey % 3 = {k}").selectExpr("o_orderkey", *columns), "gold", "log")
+    return lake.read("gold", "log")
+
+
+@query(
+    "upsert_touched_files",
+    """SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS price FROM orders
+       WHERE o_orderkey % 50 <> 0 AND o_custkey % 7 <> 0
+       UNION ALL SELECT o_orderkey, o_custkey, CAST(-1 AS DOUBLE) FROM orders
+       WHERE o_orderkey % 50 = 0 AND o_custkey % 7 <> 0""",
+)
+def upsert_touched_files(spark, sf):
+    """Copy on write: an upsert, then a delete per residue, each against the version before."""
+    lake, orders = Lake(spark, fresh_path(spark, "lake")), load(spark, sf, "orders")
+    stored = orders.selectExpr("o_orderkey", "o_custkey", "CAST(o_totalprice AS DOUBLE) AS price",
+                               "o_custkey % 7 AS seventh")
+    lake.overwrite(stored, "gold", "orders", ["seventh"])
+    changes = stored.where("o_orderkey % 50 = 0").withColumn("price", F.lit(-1.0))
+    upsert_table(lake, changes, "gold", "orders", ["o_orderkey"])
+    delete_from_table(lake, "gold", "orders", seventh=0)
+    return lake.read("gold", "orders").drop("seventh")

@@ -1,12 +1,16 @@
+import threading
+from datetime import datetime
+
 import pytest
-from conftest import rows
+from conftest import plan, rows
+from pyspark.sql import functions as F
 
+from starmill.functions.columns import common_type
 from starmill.operators import runlog as L
 from starmill.operators.merge import delete_from_table, delete_where_equal, upsert, upsert_table
 from starmill.operators.products import Products
 from starmill.sources import files
-from pyspark.sql import functions as F
-from datetime import datetime
+from starmill.sources.lake import ConcurrentLoad, Lake
 
 
 def test_overwrite_may_read_its_own_table_and_change_schema(spark, lake):
@@ -172,3 +176,161 @@ def test_typed_logs(spark, lake):
     assert lake.read("gold", "decisions").first().anomalous_fields == ["a"]
     with pytest.raises(ValueError):
         L.write_log(lake, "compile_audit", [{"nothing": 1}])
+
+
+# ------------------------------------------------------------------ commit log
+
+
+def folders(tmp_path, table="gold/t"):
+    return sorted(p.name for p in (tmp_path / "lake" / table).iterdir() if p.name.startswith("_load="))
+
+
+def test_of_two_writers_one_fails_and_both_layouts_stay(spark, lake, tmp_path, monkeypatch):
+    lake.overwrite(spark.range(3), "gold", "t")
+    both, write = threading.Barrier(2), Lake._write
+
+    def together(self, *args):
+        part = write(self, *args)
+        both.wait(60)  # both have read version 1 and written their files
+        return part
+
+    monkeypatch.setattr(Lake, "_write", together)
+    frames = {
+        "a": (spark.createDataFrame([(1, "x"), (2, "y")], "a int, kind string"), ["kind"]),
+        "b": (spark.createDataFrame([(5.5,)], "other double"), []),
+    }
+    outcome = {}
+
+    def run(name):
+        df, by = frames[name]
+        try:
+            outcome[name] = lake.overwrite(df, "gold", "t", by)
+        except ConcurrentLoad as error:
+            outcome[name] = error
+
+    threads = [threading.Thread(target=run, args=(n,)) for n in frames]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    won = [n for n, o in outcome.items() if isinstance(o, str)]
+    assert len(won) == 1 and outcome[won[0]].endswith("v=000002")
+    df, by = frames[won[0]]
+    assert rows(lake.read("gold", "t")) == rows(df) and lake.partition_columns("gold", "t") == by
+    assert lake.read("gold", "t").dtypes == df.dtypes
+    assert rows(lake.read("gold", "t", version=1)) == [(0,), (1,), (2,)]
+    assert len(folders(tmp_path)) == 2  # the loser's files are gone
+
+
+def test_appends_of_two_writers_both_count(spark, lake, monkeypatch):
+    lake.append(spark.createDataFrame([(1,)], "a int"), "gold", "t")
+    commit, raced = Lake._commit, []
+
+    def late(self, layer, table, snapshot):
+        if not raced:
+            raced.append(True)
+            lake.append(spark.createDataFrame([(2.5, "n")], "a double, b string"), layer, table)
+        return commit(self, layer, table, snapshot)
+
+    monkeypatch.setattr(Lake, "_commit", late)
+    lake.append(spark.createDataFrame([(3,)], "a long"), "gold", "t")
+    assert rows(lake.read("gold", "t")) == [(1.0, None), (2.5, "n"), (3.0, None)]
+    assert lake.rows("gold", "t") == 3 and lake.snapshot("gold", "t").version == 3
+
+
+def test_a_failed_write_leaves_nothing(spark, lake, tmp_path):
+    lake.overwrite(spark.range(3), "gold", "t")
+    bad = spark.range(5).selectExpr("IF(id = 3, raise_error('no'), id) AS id")
+    for write in (lake.overwrite, lake.append):
+        with pytest.raises(Exception, match="no"):
+            write(bad.withColumn("id", F.col("id").cast("long")), "gold", "t")
+    assert lake.rows("gold", "t") == 3 and len(folders(tmp_path)) == 1
+
+
+NUMBERS = ["tinyint", "smallint", "int", "bigint", "float", "double", "decimal(10,2)", "decimal(20,6)"]
+
+
+@pytest.mark.parametrize("kinds", [NUMBERS, ["date", "timestamp_ntz", "timestamp"]])
+def test_every_widening_can_be_read(spark, lake, kinds):
+    value = "7" if kinds is NUMBERS else "DATE'2024-01-07'"
+    for first in kinds:
+        for second in kinds:
+            name = "t_" + "".join(c if c.isalnum() else "_" for c in f"{first}_{second}")
+            for k, kind in enumerate((first, second)):
+                lake.append(spark.sql(f"SELECT {k} AS k, CAST({value} AS {kind}) AS v"), "gold", name)
+            df = lake.read("gold", name)
+            wanted = common_type(*[spark.sql(f"SELECT CAST(NULL AS {x}) AS v").schema["v"].dataType
+                                   for x in (first, second)])
+            assert df.schema["v"].dataType == wanted
+            text = df.select("k", F.expr("CAST(v AS DATE) = DATE'2024-01-07'") if kinds is not NUMBERS
+                             else F.expr("v = 7"))
+            assert rows(text) == [(0, True), (1, True)]
+    with pytest.raises(TypeError):
+        lake.append(spark.sql("SELECT 1 AS k, TRUE AS v"), "gold", name)
+
+
+def files_of(df):
+    return set(df.inputFiles())
+
+
+def test_an_upsert_rewrites_the_touched_files_only(spark, lake):
+    many = spark.range(1000).selectExpr("id", "id AS v", "CAST(id AS STRING) AS s").repartitionByRange(100, "id")
+    lake.overwrite(many, "gold", "t")
+    before = files_of(lake.read("gold", "t"))
+    change = spark.createDataFrame([(417, -1, "new"), (None, -2, "null")], "id long, v long, s string")
+    upsert_table(lake, change, "gold", "t", ["id"])
+    after = files_of(lake.read("gold", "t"))
+    assert len(before) == 100 and len(before - after) == 1 and len(after - before) <= 2
+    assert lake.rows("gold", "t") == 1001 == lake.read("gold", "t").count()
+    assert rows(lake.read("gold", "t").where("v < 0")) == [(417, -1, "new"), (None, -2, "null")]
+    delete_from_table(lake, "gold", "t", id=3)
+    last = files_of(lake.read("gold", "t"))
+    assert len(after - last) == 1 and lake.rows("gold", "t") == 1000
+    delete_from_table(lake, "gold", "t", id=-5)
+    assert files_of(lake.read("gold", "t")) == last
+    plan_text = plan(lake.read("gold", "t").where("id = 1"))
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,1)]" in plan_text
+
+
+def test_an_upsert_against_an_old_version_fails_whole(spark, lake):
+    lake.overwrite(spark.range(3), "gold", "t")
+    base = lake.snapshot("gold", "t")
+    lake.append(spark.range(3, 5), "gold", "t")
+    with pytest.raises(ConcurrentLoad):
+        lake.replace_files("gold", "t", base, [], spark.range(9))
+    assert rows(lake.read("gold", "t")) == [(i,) for i in range(5)]
+
+
+def test_partitioned_copy_on_write_with_odd_values(spark, lake):
+    kinds = ["a/b", "x=y", "100%", "ü [1]", "plain", None]
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(kinds)], "id int, kind string")
+    lake.overwrite(df, "gold", "t", ["kind"])
+    upsert_table(lake, spark.createDataFrame([(10 + i, k) for i, k in enumerate(kinds[:4])] + [(2, "100%")],
+                                             "id int, kind string"), "gold", "t", ["id"])
+    delete_from_table(lake, "gold", "t", kind="x=y")
+    expected = [(0, "a/b"), (2, "100%"), (3, "ü [1]"), (4, "plain"), (5, None), (10, "a/b"), (12, "100%"), (13, "ü [1]")]
+    assert rows(lake.read("gold", "t")) == sorted(expected, key=repr) and lake.rows("gold", "t") == 8
+
+
+def test_counts_run_no_job(spark, lake):
+    lake.overwrite(spark.range(3), "bronze", "a")
+    lake.append(spark.range(4), "bronze", "a")
+    spark.sparkContext.setJobGroup("counting", "")
+    try:
+        counted = lake.layer_counts(("bronze",)), lake.row_counts("bronze")
+        assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("counting")) == []
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    assert rows(counted[0]) == [("bronze", 1, 7)] and rows(counted[1]) == [("a", 7)]
+
+
+def test_folders_of_other_origin_are_read_and_taken_over(spark, lake, tmp_path):
+    folder = f"{lake.root}/gold/t"
+    spark.range(2).write.parquet(f"{folder}/v=000001")
+    spark.range(3).write.parquet(f"{folder}/v=000002")
+    (tmp_path / "lake/gold/t/v=000003").mkdir()
+    assert lake.read("gold", "t").count() == 3 == lake.rows("gold", "t")
+    lake.append(spark.createDataFrame([(7, "x")], "id long, s string"), "gold", "t")
+    assert rows(lake.read("gold", "t")) == [(0, None), (1, None), (2, None), (7, "x")]
+    upsert_table(lake, spark.createDataFrame([(1, "y")], "id long, s string"), "gold", "t", ["id"])
+    assert rows(lake.read("gold", "t")) == [(0, None), (1, "y"), (2, None), (7, "x")]
