@@ -3,11 +3,12 @@
 Encoding is a global shuffle of distinct words:
 
 1. The pattern cuts each text into pre-tokens. Texts are taken together in chunks of about
-   ``CHUNK_BYTES``; a chunk numbers its distinct pre-tokens, so its texts are sequences of numbers
-   (the positions) and its words stand in the shuffle once, however often they occur. The chunks are
-   stored, hashed into buckets by their id.
+   ``CHUNK_BYTES``; a chunk numbers its distinct pre-tokens, the frequent ones first, so its texts
+   are sequences of numbers (the positions) and its words stand in the shuffle once, however often
+   they occur. The chunks are stored, hashed into buckets by their id.
 2. The chunks' words are exploded with their numbers and dealt out by word. Equal words meet there:
-   each distinct word is encoded once and its ids are joined to all its rows in one sorted pass.
+   each distinct word is encoded once and its ids are joined to all its rows in one sorted pass. A
+   task packs what it found for the same chunk into one row (at most ``PACK`` words at a time).
 3. The ids go back to the chunk's bucket, where every text is put together by position. The
    sequences themselves never move: the bucketed table is read in place.
 
@@ -35,6 +36,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ CHUNK_BYTES = 32 << 20
 MAX_VOCABULARY = 2_000_000
 LONG_TEXT = 1 << 20  # characters; a longer text's pre-tokens are listed in portions
 PORTION = 1 << 16
+PACK = 1 << 20
+IDS = 1 << 20  # ids that are put together or looked up at a time
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 _tables: dict[str, pa.Array] = {}
@@ -83,6 +87,17 @@ def pre_tokens(pattern: regex.Pattern, text: str) -> Iterator[list[str]]:
         yield portion
 
 
+def packed(*values: np.ndarray) -> bytes:
+    """Whole numbers in compressed planes: all lowest bytes first, all highest last."""
+    flat = np.concatenate(values).astype("<u4")
+    return zstandard.compress(flat.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 class _Chunk:
     """Texts that share one numbering of their pre-tokens."""
 
@@ -96,22 +111,25 @@ class _Chunk:
         self.bytes += len(text.encode())
 
     def row(self, number: int) -> pa.RecordBatch:
-        sizes = [len(t) for t in self.texts]
         flat = np.concatenate(self.texts)
+        order = np.argsort(-np.bincount(flat, minlength=len(self.numbers)), kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        words = list(self.numbers)
         keys = pa.concat_arrays(self.keys)
         columns = [
             pa.array([number], pa.int64()),
             pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
-            pa.array([sizes], pa.list_(pa.int32())),
-            pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), pa.array(flat)),
-            pa.array([list(self.numbers)], pa.list_(pa.string())),
+            pa.array([[len(t) for t in self.texts]], pa.list_(pa.int32())),
+            pa.array([packed(rank[flat])], pa.binary()),
+            pa.array([[words[i] for i in order.tolist()]], pa.list_(pa.string())),
         ]
         return pa.RecordBatch.from_arrays(columns, ["chunk", "keys", "sizes", "numbers", "words"])
 
 
 def chunks(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
     """``docs(key, text)`` as chunks: ``chunk``, ``keys``, ``sizes`` (pre-tokens of each text),
-    ``numbers`` (all pre-tokens of all its texts) and ``words`` (by number)."""
+    ``numbers`` (all pre-tokens of all its texts, packed) and ``words`` (by number)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = regex.compile(pattern)
@@ -119,8 +137,8 @@ def chunks(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
         chunk = _Chunk()
         for batch in batches:
             keys, first = batch.column(0), 0
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                chunk.add(compiled, text or "")
+            for i, text in enumerate(batch.column(1)):
+                chunk.add(compiled, text.as_py() or "")
                 if chunk.bytes >= limit:
                     chunk.keys.append(keys.slice(first, i + 1 - first))
                     yield chunk.row(next(ids))
@@ -135,7 +153,7 @@ def chunks(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
         T.StructField("chunk", T.LongType()),
         T.StructField("keys", T.ArrayType(key)),
         T.StructField("sizes", T.ArrayType(T.IntegerType())),
-        T.StructField("numbers", T.ArrayType(T.IntegerType())),
+        T.StructField("numbers", T.BinaryType()),
         T.StructField("words", T.ArrayType(T.StringType())),
     ])
     return docs.mapInArrow(run, schema)
@@ -162,47 +180,90 @@ def _encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
     return _encodings[vocabulary.name]
 
 
+class _Found:
+    """Ids of words, gathered for their chunks."""
+
+    def __init__(self) -> None:
+        self.chunks: list[np.ndarray] = []
+        self.numbers: list[np.ndarray] = []
+        self.ids: list[list[int]] = []
+
+    def batch(self) -> pa.RecordBatch:
+        """A row per chunk; the ids are in the order of the words' numbers."""
+        chunk, number = np.concatenate(self.chunks), np.concatenate(self.numbers)
+        order = np.lexsort((number, chunk))
+        chunk, number = chunk[order], number[order]
+        bounds = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        rows = []
+        for a, b in itertools.pairwise(bounds):
+            own = [self.ids[i] for i in order[a:b].tolist()]
+            sizes = np.fromiter(map(len, own), np.int64, b - a)
+            flat = np.fromiter(itertools.chain.from_iterable(own), np.int64, sizes.sum())
+            rows.append(packed(np.diff(number[a:b], prepend=0), sizes, flat))
+        columns = [
+            pa.array(chunk[bounds[:-1]]), pa.array(np.diff(bounds), pa.int64()),
+            pa.array(rows, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "count", "found"])
+
+
 def encode_words(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``chunk``, ``no`` and the word's ``ids`` for rows of ``chunk``, ``no`` and ``word``."""
+    """Rows of ``chunk``, ``count`` and ``found`` (that many word numbers, as steps, then the sizes
+    of their ids, then these, packed) for rows of ``chunk``, ``no`` and ``word``."""
     dealt = words.repartition("word").sortWithinPartitions("word")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary)
-        last, ids = None, []
+        last, ids, found = None, [], _Found()
         for batch in batches:
-            found = []
             for word in batch.column("word").to_pylist():
                 if word != last:
                     last, ids = word, encoding.encode_ordinary(word)
-                found.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("no"), pa.array(found, pa.list_(pa.int32()))],
-                ["chunk", "no", "ids"],
-            )
+                found.ids.append(ids)
+            found.chunks.append(np.asarray(batch.column("chunk")))
+            found.numbers.append(np.asarray(batch.column("no")).astype(np.int64))
+            if len(found.ids) >= PACK:
+                yield found.batch()
+                found = _Found()
+        if found.ids:
+            yield found.batch()
 
-    return dealt.mapInArrow(run, "chunk long, no int, ids array<int>")
+    return dealt.mapInArrow(run, "chunk long, count long, found binary")
 
 
 def assemble(chunk: pa.Table, encoded: pa.Table) -> pa.Table:
     """The texts' ids, from one chunk and the ids of its words."""
-    order = np.argsort(np.asarray(encoded["no"].combine_chunks()))
-    lists = encoded["ids"].combine_chunks()
-    ids = np.asarray(lists.flatten())
-    sizes = np.asarray(pc.list_value_length(lists)).astype(np.int64)
+    numbers, sizes, ids = [], [], []
+    for count, blob in zip(encoded["count"].to_pylist(), encoded["found"].to_pylist()):
+        steps, own, rest = np.split(unpacked(blob), [count, 2 * count])
+        numbers.append(np.cumsum(steps, dtype=np.int64))
+        sizes.append(own.astype(np.int64))
+        ids.append(rest.astype(np.int32))
+    order = np.argsort(np.concatenate([*numbers, np.empty(0, np.int64)]))
+    sizes = np.concatenate([*sizes, np.empty(0, np.int64)])
     starts = (np.cumsum(sizes) - sizes)[order]
-    sizes = sizes[order]
-    row = chunk.combine_chunks()
-    numbers = np.asarray(row["numbers"].combine_chunks().flatten())
-    texts, at = [], 0
-    for count in row["sizes"].combine_chunks().flatten().to_pylist():
-        own = numbers[at : at + count]
+    sizes, ids = sizes[order], np.concatenate([*ids, np.empty(0, np.int32)])
+    sequence = unpacked(chunk["numbers"][0].as_py())
+    keys = chunk["keys"].combine_chunks().flatten()
+    texts, held, at, batches, done = [], 0, 0, [], 0
+    counts = chunk["sizes"][0].as_py()
+    for i, count in enumerate(counts, 1):
+        own = sequence[at : at + count]
         at += count
         each = sizes[own]
         ends = np.cumsum(each)
         within = np.arange(ends[-1] if count else 0) - np.repeat(ends - each, each)
         texts.append(ids[np.repeat(starts[own], each) + within])
-    keys = row["keys"].combine_chunks().flatten()
-    return pa.table({"key": keys, "ids": pa.array(texts, pa.list_(pa.int32()))})
+        held += len(within)
+        if held >= IDS or i == len(counts):  # small batches for the way back
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            lists = pa.ListArray.from_arrays(
+                pa.array(offsets, pa.int32()), pa.array(np.concatenate(texts), pa.int32())
+            )
+            batches.append(pa.record_batch([keys.slice(done, i - done), lists], ["key", "ids"]))
+            texts, held, done = [], 0, i
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_batches(batches)
 
 
 def encode(
@@ -241,21 +302,24 @@ def _table(vocabulary: Vocabulary) -> pa.Array:
 
 def look_up(lists: pa.Array, table: pa.Array) -> pa.Array:
     """The bytes of each list of ids, joined from the table by position."""
-    ids = np.asarray(lists.flatten().fill_null(-1)).astype(np.int64)
-    ids[(ids < 0) | (ids >= len(table))] = len(table) - 1
-    found = table.take(pa.array(ids))
-    offsets = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1] if len(found) else [0]
-    data = memoryview(found.buffers()[2] or b"")
-    unknown = np.cumsum(np.concatenate(([0], np.asarray(found.is_null()).astype(np.int64))))
+    ids = np.asarray(lists.flatten().fill_null(-1))
     out, at = [], 0
     for count in pc.list_value_length(lists).to_pylist():
         if count is None:
             out.append(None)
             continue
-        end = at + count
-        whole = unknown[end] == unknown[at]
-        out.append(bytes(data[offsets[at] : offsets[end]]) if whole else None)
-        at = end
+        parts: list[bytes] | None = []
+        for start in range(at, at + count, IDS):
+            own = ids[start : min(start + IDS, at + count)]
+            known = np.where((own < 0) | (own >= len(table)), len(table) - 1, own)
+            found = table.take(pa.array(known))
+            if found.null_count:
+                parts = None
+                break
+            end = np.frombuffer(found.buffers()[1], np.int64)[len(found)]
+            parts.append(bytes(memoryview(found.buffers()[2])[:end]))
+        at += count
+        out.append(None if parts is None else b"".join(parts))
     return pa.array(out, pa.binary())
 
 
@@ -264,7 +328,9 @@ def decoded(df: DataFrame, ranks: Mapping[bytes, int], ids: Column) -> Column:
     shared = _shared(df, ranks)
 
     def evaluate(lists: pa.Array) -> pa.Array:
-        return look_up(lists, _table(shared))
+        found = look_up(lists, _table(shared))
+        pa.default_memory_pool().release_unused()
+        return found
 
     return F.arrow_udf(evaluate, "binary")(ids)
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -44,6 +45,12 @@ def unclean():
     return rows + rows[:5]
 
 
+def test_packed_numbers_come_back():
+    values = np.array([0, 1, 255, 256, 1 << 24, (1 << 32) - 1])
+    assert (bpe.unpacked(bpe.packed(values[:2], values[2:])) == values).all()
+    assert bpe.unpacked(bpe.packed(values[:0])).size == 0
+
+
 @pytest.mark.parametrize("chunk_bytes", [1, 3000, 1 << 25])
 def test_unclean_rows_in_chunks_of_any_size(spark, unclean, chunk_bytes):
     rows = [(k, t, "x", 1, [1], b"") for k, t in unclean]
@@ -93,6 +100,20 @@ def test_sequences_stay_where_they_are_stored(spark):
     assert len(moved) == 2 and not any("numbers" in line for line in moved)
 
 
+def test_words_and_ids_are_taken_in_portions(monkeypatch):
+    found = bpe._Found()
+    found.chunks, found.numbers = [np.array([7, 3, 7])], [np.array([5, 0, 2])]
+    found.ids = [[9, 8], [1], []]
+    rows = found.batch().to_pylist()
+    assert [(r["chunk"], r["count"], bpe.unpacked(r["found"]).tolist()) for r in rows] == [
+        (3, 1, [0, 1, 1]), (7, 2, [2, 3, 0, 2, 9, 8])
+    ]
+    table = bpe.pa.array([b"a", None, b"bc", None], bpe.pa.large_binary())
+    lists = bpe.pa.array([[0, 2, 2, 0, 0], [], None, [2, 0, 1]], bpe.pa.list_(bpe.pa.int32()))
+    monkeypatch.setattr(bpe, "IDS", 2)
+    assert bpe.look_up(lists, table).to_pylist() == [b"abcbcaa", b"", None, None]
+
+
 def test_a_vocabulary_beyond_the_bound_is_refused(spark, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_VOCABULARY", 10)
     with pytest.raises(ValueError):
