@@ -72,6 +72,21 @@ def _only(base: Snapshot, files: Sequence[str]) -> Snapshot:
     return replace(base, parts=tuple(parts))
 
 
+def replace_rows(
+    lake: Lake, layer: str, table: str, base: Snapshot, gone: DataFrame, rows: DataFrame, key: Sequence[str]
+) -> str:
+    """Commit the version after ``base`` without the rows whose key is in ``gone`` and with ``rows``.
+    Files that hold no such key are kept."""
+    gone = materialize(gone.select(*key), "gone")
+    rows = materialize(rows, "rows")
+    hit = _hit_files(lake, layer, table, base, gone, key)
+    touched = lake.frame(layer, table, _only(base, hit))
+    kept = touched.join(gone, list(key), "left_anti").select(*touched.columns)
+    return lake.replace_files(
+        layer, table, base, hit, kept.unionByName(rows, allowMissingColumns=True)
+    )
+
+
 def upsert_table(lake: Lake, df: DataFrame, layer: str, table: str, key: Sequence[str]) -> str:
     """``upsert`` into a stored table (created if absent). Files without a touched key are kept."""
     base = lake.snapshot(layer, table)

@@ -1,9 +1,17 @@
 from datetime import datetime
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from starmill.operators.history import first_history, next_history, split_business_keys
+from starmill.operators import history as H
+from starmill.operators.history import (
+    first_history,
+    next_history,
+    seen_rows,
+    split_business_keys,
+    store_history,
+)
 from starmill.sources.workdir import materialize
 
 SCHEMA = "k int, a string, _load_ts timestamp"
@@ -78,3 +86,97 @@ def test_rejected_business_keys(spark):
     good, bad = split_business_keys(df, "k")
     assert rows(good) == [(1, "a")]
     assert rows(bad) == [(2, "b", "unique_k"), (2, "c", "unique_k"), (None, "d", "not_null")]
+
+
+# ------------------------------------------------------------------ late batches
+
+KEYS = ["k", "a", "eff_start_ts", "eff_end_ts", "is_current"]
+
+
+def in_order(spark, batches, days):
+    h, log = None, None
+    for day in days:
+        incoming = batch(spark, day, **batches[day])
+        if h is None:
+            h = first_history(incoming, "k", ["a"], "sk")
+        else:
+            h = step(h, incoming, seen=log)
+        new = seen_rows(incoming, "k", ["a"])
+        log = new if log is None else log.unionByName(new)
+        h, log = materialize(h, "h"), materialize(log, "log")
+    return h
+
+
+BATCHES = [
+    {"k1": "x", "k2": "y", "k4": None},
+    {"k1": "x", "k2": "z", "k3": "n"},  # k1 confirmed
+    {"k1": "w", "k2": "z", "k4": "v"},
+    {"k1": "x", "k3": "m", "k4": None},  # k1 and k4 come back
+    {"k1": "x", "k2": "y", "k3": "n"},
+]
+
+
+@pytest.mark.parametrize("days", [(0, 2, 1, 3, 4), (0, 4, 3, 2, 1), (0, 4, 1, 3, 2), (0, 3, 2, 4, 1)])
+def test_batches_in_any_order_give_the_same_history(spark, days):
+    expected, found = in_order(spark, BATCHES, range(5)), in_order(spark, BATCHES, days)
+    assert rows(found, *KEYS) == rows(expected, *KEYS)
+    numbers = [r.sk for r in found.collect()]
+    assert len(set(numbers)) == len(numbers)
+
+
+def test_a_late_row_without_a_log_holds_until_the_next_change(spark):
+    h = first_history(batch(spark, 0, k1="a", k2="s"), "k", ["a"], "sk")
+    h = step(h, batch(spark, 3, k1="c"))
+    before = {r.a: r.sk for r in h.collect()}
+    h = step(h, batch(spark, 1, k1="b", k2="s2"))
+    start = datetime(1900, 1, 1)
+    assert rows(h, *KEYS) == sorted([
+        (1, "a", start, D[1], False), (1, "b", D[1], D[3], False), (1, "c", D[3], None, True),
+        (2, "s", start, D[1], False), (2, "s2", D[1], None, True)], key=repr)
+    after = {r.a: r.sk for r in h.collect()}
+    assert all(after[a] == n for a, n in before.items()) and len(set(after.values())) == 5
+    h = step(h, batch(spark, 2, k1="c"))  # the same state, known a day earlier
+    assert rows(h.where("k = 1"), *KEYS)[1:] == [
+        (1, "b", D[1], D[2], False), (1, "c", D[2], None, True)]
+    assert h.where("a = 'c'").first().sk == before["c"]
+
+
+def test_late_rows_see_where_a_key_was_absent(spark):
+    h = first_history(batch(spark, 0, k1="a", k2="b"), "k", ["a"], "sk")
+    h = step(h, batch(spark, 1, k2="b"), close_missing_at="2020-01-02 00:00:00")
+    h = step(h, batch(spark, 4, k1="a2", k2="b2"))
+    late = batch(spark, 2, k1="a3").withColumn("b", F.lit("new"))
+    h = step(h, late)
+    assert rows(h.where("k = 1"), *KEYS, "b") == [
+        (1, "a", datetime(1900, 1, 1), D[1], False, None), (1, "a2", D[4], None, True, None),
+        (1, "a3", D[2], D[4], False, "new")]
+
+
+def test_only_late_keys_are_rebuilt(spark):
+    h = first_history(batch(spark, 0, **{f"k{i}": "x" for i in range(50)}), "k", ["a"], "sk")
+    h = step(h, batch(spark, 3, **{f"k{i}": "y" for i in range(50)}))
+    found = H._step(h, batch(spark, 1, k7="z"), "k", ["a"], "sk", "_load_ts", None, None, None)
+    assert found.late.count() == 2 and found.rebuilt.count() == 3
+    gone, new = found.changes("sk")
+    assert gone.count() == 2 and new.count() == 3 and found.whole().count() == 101
+
+
+def test_stored_history_rewrites_few_files(spark, lake):
+    values = {f"k{i}": "x" for i in range(200)}
+    first = first_history(batch(spark, 0, **values), "k", ["a"], "sk")
+    lake.overwrite(first.repartitionByRange(40, "k"), "gold", "dim")
+    before = set(lake.read("gold", "dim").inputFiles())
+
+    def apply(day, **v):
+        return store_history(lake, "gold", "dim", batch(spark, day, **v), "k", ["a"], "sk", keep_seen=True)
+
+    apply(2, k5="y", k300="n")
+    after = set(lake.read("gold", "dim").inputFiles())
+    assert len(before) == 40 and len(before - after) == 1
+    apply(1, k5="w")  # late
+    apply(3, k5="y")
+    dim = lake.read("gold", "dim")
+    assert rows(dim.where("k = 5"), *KEYS[1:]) == [
+        ("w", D[1], D[2], False), ("x", datetime(1900, 1, 1), D[1], False), ("y", D[2], None, True)]
+    assert dim.count() == 203 == lake.rows("gold", "dim") and lake.rows("seen", "dim") == 4
+    assert lake.layer_counts(("gold",)).first().tables == 1
