@@ -2,7 +2,8 @@
 
 Left join semantics: an event without a valid version gets a NULL key, and no event is lost or
 doubled. Of the versions that have started, only the last one (by start, then key) is considered,
-so where versions of one key overlap, the later start wins. Two exact strategies with the same
+so where versions of one key overlap, the later start wins. Histories of this library do not overlap;
+with ``disjoint`` that is taken as given, and no window over the versions is needed. Two exact strategies with the same
 answer, chosen by the depth of the history:
 
 ``range``  equi join on the key with both validity bounds as residual. Right while a key has few
@@ -79,9 +80,11 @@ def asof_join(
     sk: str,
     strategy: str | None = None,
     salt_from: int = SALT_FROM_ROWS,
+    disjoint: bool = False,
 ) -> DataFrame:
     """``events`` plus column ``sk`` of the version valid at ``event_ts``. ``versions`` should be
-    a stored frame: it is measured first (one narrow aggregate) to choose the strategy."""
+    a stored frame: it is measured first (one narrow aggregate) to choose the strategy. ``disjoint``
+    says that no two versions of a key are valid at once (``overlapping`` finds those that are)."""
     names = events.columns
     left, right = _aligned(events, versions, event_key, event_ts, version_key, sk)
     size = (
@@ -95,13 +98,25 @@ def asof_join(
     skew = Skew()
     if (size["rows"] or 0) >= salt_from and saltable(left, right, ["_k"]):
         skew = measure_skew(left, ["_k"])
-    return _range(left, right, names, sk, skew)
+    return _range(left, right, names, sk, skew, disjoint)
 
 
-def _range(events, versions, names, sk, skew) -> DataFrame:
-    # few versions per key here: each ends where the next one starts, at the latest
-    following = F.lead("_t").over(Window.partitionBy("_k").orderBy("_t", "_sk"))
-    versions = versions.withColumn("_end", F.least("_end", following))
+def overlapping(
+    versions: DataFrame, key: str, start: str = "eff_start_ts", end: str = "eff_end_ts"
+) -> DataFrame:
+    """Versions that are still valid when the key's next one starts: none in a history that may be
+    joined as ``disjoint``. For a check when a history of other origin is stored."""
+    following = F.lead(start).over(Window.partitionBy(key).orderBy(start))
+    marked = versions.withColumn("_next", following)
+    late = F.col("_next").isNotNull() & (F.col(end).isNull() | (F.col("_next") < F.col(end)))
+    return marked.where(late).drop("_next")
+
+
+def _range(events, versions, names, sk, skew, disjoint) -> DataFrame:
+    if not disjoint:
+        # few versions per key here: each ends where the next one starts, at the latest
+        following = F.lead("_t").over(Window.partitionBy("_k").orderBy("_t", "_sk"))
+        versions = versions.withColumn("_end", F.least("_end", following))
     on = ["_k"]
     if skew:
         events, versions = spread(events, versions, ["_k"], skew)

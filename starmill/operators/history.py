@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starmill.functions.columns import change_hash
 from starmill.operators import contracts
@@ -39,12 +40,9 @@ FIRST_START = "1900-01-01 00:00:00"
 Rejects = Callable[[DataFrame], None]
 
 
-def split_business_keys(
-    df: DataFrame, key: str, repeated: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
+def split_business_keys(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``(accepted, rejected)``: a history needs exactly one incoming row per non-NULL key."""
-    if repeated is None:
-        repeated = materialize(contracts.repeated_keys(df, [key]), "dup")
+    repeated = materialize(contracts.repeated_keys(df, [key]), "dup")
     missing = contracts.Check("not_null", "_fail_not_null", "hard", 0.0, fails=~complete([key]))
     unique = contracts.Check(
         f"unique[{key}]", f"_fail_unique_{key}", "hard", 0.0, bad_keys=repeated, on=(key,)
@@ -54,16 +52,30 @@ def split_business_keys(
     return contracts.clean_rows(flagged, checks), contracts.quarantined_rows(flagged, checks)
 
 
-def _accepted(df: DataFrame, key: str, on_reject: Rejects | None) -> DataFrame:
-    repeated = materialize(contracts.repeated_keys(df, [key]), "dup")
-    if repeated.isEmpty() and (
-        not df.schema[key].nullable or df.where(F.col(key).isNull()).isEmpty()
-    ):
-        return df
-    accepted, rejected = split_business_keys(df, key, repeated)
+@dataclass(frozen=True)
+class Batch:
+    """The accepted rows of a batch, and the least of their times."""
+
+    rows: DataFrame
+    earliest: object
+
+
+def _accepted(
+    df: DataFrame, key: str, load_ts: str, on_reject: Rejects | None, kind: T.DataType | None = None
+) -> Batch:
+    """One aggregate says whether any row must be set aside and when the batch begins (as ``kind``)."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(load_ts).alias("least"))
+    twice = F.max(F.when(F.col(key).isNotNull(), F.col("n"))).alias("most")
+    nulls = F.count_if(F.col(key).isNull()).alias("nulls")
+    least = F.min("least")
+    least = least if kind is None else least.try_cast(kind)
+    row = counts.agg(twice, nulls, least.alias("least")).first()
+    if (row["most"] or 0) <= 1 and not row["nulls"]:
+        return Batch(df, row["least"])
+    accepted, rejected = split_business_keys(df, key)
     if on_reject is not None:
         on_reject(rejected)
-    return accepted
+    return Batch(accepted, row["least"])
 
 
 def _open_versions(df: DataFrame, start: Column, load_ts: str) -> DataFrame:
@@ -86,7 +98,7 @@ def first_history(
     on_reject: Rejects | None = None,
 ) -> DataFrame:
     """Every accepted row becomes an open version; keys are numbered in business-key order."""
-    hashed = _accepted(df, key, on_reject).withColumn("row_hash", change_hash(tracked))
+    hashed = _accepted(df, key, load_ts, on_reject).rows.withColumn("row_hash", change_hash(tracked))
     return _open_versions(surrogate_key(hashed, [key], sk, unique=True), F.lit(FIRST_START), load_ts)
 
 
@@ -133,32 +145,39 @@ def _step(
     seen: DataFrame | None,
 ) -> Step:
     current, past = history.where("is_current"), history.where("NOT is_current")
-    accepted = _accepted(incoming, key, on_reject)
-    hashed = accepted.withColumn("row_hash", change_hash(tracked))
+    kind = history.schema["eff_start_ts"].dataType
+    batch = _accepted(incoming, key, load_ts, on_reject, kind)
+    hashed = batch.rows.withColumn("row_hash", change_hash(tracked))
     known = current.select(
         key, F.col("row_hash").alias("_known"), F.col("eff_start_ts").alias("_since")
     )
+    bounds = history.agg(
+        F.max(sk).alias("sk"), F.max(F.when(F.col("is_current"), F.col("eff_start_ts"))).alias("newest")
+    ).first()
+    last, newest = bounds["sk"] or 0, bounds["newest"]
     if seen is not None:
-        newest = seen.agg(F.max("seen_ts")).first()[0]
-        if newest is not None and not hashed.where(F.col(load_ts) < F.lit(newest)).isEmpty():
+        confirmed = seen.agg(F.max("seen_ts").try_cast(kind)).first()[0]
+        if None not in (confirmed, batch.earliest) and batch.earliest < confirmed:
             # a batch from before another one: what was confirmed after it counts as well
-            confirmed = seen.groupBy(key).agg(F.max("seen_ts").alias("_confirmed"))
-            known = known.join(confirmed, key, "left").select(
+            times = seen.groupBy(key).agg(F.max("seen_ts").alias("_confirmed"))
+            known = known.join(times, key, "left").select(
                 key, "_known", F.greatest("_since", "_confirmed").alias("_since")
             )
-    is_late = F.coalesce(F.col(load_ts) < F.col("_since"), F.lit(False))
+            newest = confirmed
+    # most batches begin after all that is stored: no row can be late then
+    any_late = None not in (newest, batch.earliest) and batch.earliest < newest
+    is_late = F.coalesce(F.col(load_ts) < F.col("_since"), F.lit(False)) if any_late else F.lit(False)
     changed = (
         hashed.join(known, key, "left")
         .withColumn("_late", is_late)
         .where(F.col("_known").isNull() | (F.col("row_hash") != F.col("_known")) | F.col("_late"))
         .select(*hashed.columns, "_late")
     )
-    last = history.agg(F.max(sk)).first()[0] or 0
     numbered = surrogate_key(changed, [key], sk, after=last, unique=True)  # stored
     late_rows = numbered.where("_late").drop("_late")
     opened = _open_versions(numbered.where("NOT _late").drop("_late"), F.col(load_ts), load_ts)
     late = rebuilt = None
-    if not late_rows.isEmpty():
+    if any_late and not late_rows.isEmpty():
         keys = late_rows.select(key)
         late = materialize(history.join(keys, key, "left_semi"), "late")
         past, current = (df.join(keys, key, "left_anti") for df in (past, current))

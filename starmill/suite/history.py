@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from starmill.functions.columns import change_hash
 from starmill.operators.asof import asof_join
-from starmill.operators.history import first_history, split_business_keys
+from starmill.operators.history import first_history, split_business_keys, store_history
+from starmill.sources.lake import Lake
+from starmill.sources.workdir import fresh_path
 from starmill.suite import star
 from starmill.suite.fixtures import load, sql
 from starmill.suite.registry import query
@@ -78,6 +80,21 @@ def scd2_third_batch(spark, sf):
     return _plain(star.dim_customer(spark, sf, 3))
 
 
+@query(
+    "scd2_late_batch",
+    f"""SELECT customer_id, customer_name, segment, balance, row_hash, eff_start_ts, eff_end_ts, is_current
+        FROM ({customer_versions(3)})""",
+)
+def scd2_late_batch(spark, sf):
+    """The second extract arrives last; the stored history is as if it had come in order."""
+    lake = Lake(spark, fresh_path(spark, "lake"))
+    for number in (1, 3, 2):
+        extract = load(spark, sf, f"customers_{number}")
+        store_history(lake, "gold", "dim_customer", extract, "customer_id", star.CUSTOMER_TRACKED,
+                      "customer_sk", keep_seen=True)
+    return _plain(lake.read("gold", "dim_customer")).drop("customer_sk")
+
+
 @query("dim_scd2_customer", customer_versions(3).replace("SELECT customer_sk,", "SELECT customer_sk, segment || ' ' || customer_name AS full_name,", 1))
 def dim_scd2_customer(spark, sf):
     dim = _plain(star.dim_customer(spark, sf, 3))
@@ -111,7 +128,8 @@ _ASOF = f"""
 def _asof(spark, sf, strategy):
     sales = load(spark, sf, "sales").select("order_id", "customer_id", "created_ts")
     versions = star.dim_customer(spark, sf, 3)
-    return asof_join(sales, versions, "customer_id", "created_ts", "customer_id", "customer_sk", strategy)
+    return asof_join(sales, versions, "customer_id", "created_ts", "customer_id", "customer_sk", strategy,
+                     disjoint=True)
 
 
 @query("asof_join", _ASOF)
@@ -146,7 +164,8 @@ def segment_revenue_as_of(spark, sf):
     parents = {"customers": load(spark, sf, "customers")}
     sales = Validation(load(spark, sf, "sales"), contract, parents).clean
     versions = star.dim_customer(spark, sf, 2)
-    resolved = asof_join(sales, versions, "customer_id", "created_ts", "customer_id", "customer_sk")
+    resolved = asof_join(sales, versions, "customer_id", "created_ts", "customer_id", "customer_sk",
+                         disjoint=True)
     # the revenue per version is summed first: one row per version meets the dimension
     per_version = resolved.groupBy("customer_sk").agg(
         F.count(F.lit(1)).alias("orders"), F.sum(money("total_price")).alias("revenue")

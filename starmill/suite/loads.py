@@ -30,7 +30,9 @@ def _dim_customer(lake: Lake):
 def _fact_orders(lake: Lake):
     orders = surrogate_key(lake.read("silver", "orders"), ["order_id"], "order_sk", unique=True)
     customers = lake.read("gold", "dim_customer")
-    resolved = asof_join(orders, customers, "customer_id", "order_ts", "customer_id", "customer_sk")
+    resolved = asof_join(
+        orders, customers, "customer_id", "order_ts", "customer_id", "customer_sk", disjoint=True
+    )
     return resolved.select(
         "order_sk", "order_id", "customer_sk", "status",
         date_key("order_ts").alias("date_sk"), money("price").alias("price"),

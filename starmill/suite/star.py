@@ -58,7 +58,7 @@ def fact_orders(sales: DataFrame, customers: DataFrame, channels: DataFrame) ->
     # numbered before the joins: they keep every row, and the ranges are then found on the scan
     numbered = surrogate_key(sales, ["order_id"], "order_sk", unique=True)
     resolved = asof_join(
-        numbered, customers, "customer_id", "created_ts", "customer_id", "customer_sk"
+        numbered, customers, "customer_id", "created_ts", "customer_id", "customer_sk", disjoint=True
     )
     resolved = lookup_join(resolved, channels, ["channel", "channel_group"], channels.count())
     price, cost = money("total_price"), money("total_cost")
@@ -86,7 +86,7 @@ def fact_lines(lines: DataFrame, suppliers: DataFrame, parts: DataFrame) -> Data
     numbered = surrogate_key(lines, LINE_ORDER, "line_sk")
     supplier_keys = suppliers.select("supplier_id", "supplier_sk")
     resolved = lookup_join(numbered, supplier_keys, ["supplier_id"], supplier_keys.count())
-    resolved = asof_join(resolved, parts, "part_id", "created_ts", "part_id", "part_sk")
+    resolved = asof_join(resolved, parts, "part_id", "created_ts", "part_id", "part_sk", disjoint=True)
     rate = money("price_fx_rate", 4)
     price_eur = F.round(money("price") * rate, 2)
     cost_eur = F.round(money("cost"), 2)
@@ -105,7 +105,7 @@ def fact_lines(lines: DataFrame, suppliers: DataFrame, parts: DataFrame) -> Data
 
 def fact_slots(slots: DataFrame, parts: DataFrame) -> DataFrame:
     slots = slots.withColumn("slot_ts", F.col("slot_date").cast("timestamp_ntz"))
-    resolved = asof_join(slots, parts, "part_id", "slot_ts", "part_id", "part_sk")
+    resolved = asof_join(slots, parts, "part_id", "slot_ts", "part_id", "part_sk", disjoint=True)
     used = F.col("allocation") - F.col("actual_available")
     return resolved.select(
         "part_sk",

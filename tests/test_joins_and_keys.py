@@ -178,3 +178,17 @@ def test_asof_keys_of_different_types(spark):
     for strategy in ("range", "merge"):  # text that is no number matches nothing
         text = versions.withColumn("key", F.lit("a"))
         assert rows(asof_join(df, text, "key", "ts", "key", "sk", strategy)) == [(0, 1, T0, None)]
+
+
+def test_disjoint_histories_need_no_window(spark):
+    kinds = "key int, sk long, eff_start_ts timestamp, eff_end_ts timestamp"
+    mid, end = T0 + timedelta(days=5), T0 + timedelta(days=9)
+    versions = spark.createDataFrame([(1, 1, T0, mid), (1, 2, mid, None), (2, 3, T0, end)], kinds)
+    df = spark.createDataFrame([(i, k, T0 + timedelta(days=d)) for i, (k, d) in enumerate(
+        [(1, 0), (1, 5), (1, 4), (2, 8), (2, 9), (3, 1)])], "id int, key int, ts timestamp")
+    plain = asof_join(df, versions, "key", "ts", "key", "sk", "range")
+    quick = asof_join(df, versions, "key", "ts", "key", "sk", "range", disjoint=True)
+    assert rows(quick) == rows(plain) and "Window" in plan(plain) and "Window" not in plan(quick)
+    assert asof.overlapping(versions, "key").count() == 0
+    open_twice = versions.unionAll(spark.createDataFrame([(2, 4, mid, None)], kinds))
+    assert rows(asof.overlapping(open_twice, "key"), "sk") == [(3,)]
