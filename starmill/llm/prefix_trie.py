@@ -66,7 +66,8 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         digest(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)).alias("id"),
         F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("words"),
     )
-    numbered = surrogate_key(turns, ["conv", "turn", "id"], "number")
+    # stored, as the numbering reads them three times: for a sketch, for the ranges, to sort
+    numbered = surrogate_key(materialize(turns, "turns"), ["conv", "turn", "id"], "number")
     starts = materialize(numbered.groupBy("conv").agg(F.min("number").alias("start")), "starts")
     placed = lookup_join(numbered, starts, ["conv"], starts.count())
     return placed.select("conv", (F.col("number") - F.col("start") + 1).alias("place"), "id", "words")
