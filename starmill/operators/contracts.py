@@ -2,9 +2,10 @@
 
 A contract is a plain mapping (usually YAML) with ``table`` and ``rules``; each rule has a
 ``severity`` (``hard`` or ``soft``) and a ``max_fail_rate``. Most rules are one boolean column.
-``unique`` and ``referential_integrity`` first reduce the key column to the set of *failing keys*
-(pre-aggregated, so a hot key is one row before any shuffle), store that set, and mark the rows
-that carry such a key. In clean data the set is tiny and the wide table is never shuffled.
+``unique`` and ``referential_integrity`` first reduce the key columns to the sets of *failing keys*,
+store them, and mark the rows that carry such a key. All these rules share one scan and one
+aggregate, in long form (a row per rule and key), whose map side makes a hot key one row before
+it moves. In clean data the sets are tiny and the wide table is never shuffled.
 
 NULL behaviour: ``not_null`` and ``referential_integrity`` fail on NULL (the latter unless
 ``nullable``); every other rule passes on NULL, so ``clean + quarantined = input`` always holds.
@@ -15,9 +16,10 @@ from __future__ import annotations
 import functools
 import operator
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,9 @@ class Check:
     bad_keys: DataFrame | None = None
     on: tuple[str, ...] = ()
     stale: Column | None = None
+    bad_count: int | None = None  # rows of bad_keys, if they have been counted
+    parent: tuple[DataFrame, str] | None = None  # of a rule that refers to another table
+    by_key: bool = False  # bad_keys is still to be found
 
     @property
     def of_rows(self) -> bool:
@@ -140,11 +145,51 @@ def repeated_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
-def orphan_keys(df: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Distinct non-null values of ``column`` that ``parent`` does not hold."""
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    known = parent.select(F.col(parent_column).alias("_parent")).distinct()
-    return values.join(known, values[column] == known["_parent"], "left_anti")
+def _key_entry(df: DataFrame, rule: int, on: Sequence[str], places: Mapping[str, str]) -> Column:
+    """A row's key for one rule; NULL if the key has a NULL. All rules' entries have one type."""
+    values = [
+        (F.col(c) if c in on else F.lit(None).cast(df.schema[c].dataType)).alias(k)
+        for c, k in places.items()
+    ]
+    whole = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in on])
+    return F.when(whole, F.struct(F.lit(rule).alias("rule"), *values))
+
+
+def with_failing_keys(df: DataFrame, checks: Sequence[Check]) -> list[Check]:
+    """``checks`` with the failing keys of all rules on keys, from one scan of ``df``: repeated keys
+    for uniqueness, values that the parent lacks for referential rules."""
+    wanted = [(i, c) for i, c in enumerate(checks) if c.by_key]
+    if not wanted:
+        return list(checks)
+    places = {c: f"k{n}" for n, c in enumerate(dict.fromkeys(c for _, k in wanted for c in k.on))}
+    entries = F.array_compact(F.array(*[_key_entry(df, i, c.on, places) for i, c in wanted]))
+    refers = F.col("rule").isin([i for i, c in wanted if c.parent is not None])
+    counted = (
+        df.select(F.explode(entries).alias("e")).select("e.*")
+        .groupBy("rule", *places.values()).agg(F.count(F.lit(1)).alias("n"))
+        .where((F.col("n") > 1) | refers)
+    )
+    stored = materialize(counted, "keys", ["rule"])
+    lacking = []
+    for i, c in wanted:
+        if c.parent is not None:
+            parent, name = c.parent
+            known = parent.select(F.col(name).alias("_parent")).distinct()
+            own = stored.where(F.col("rule") == i)
+            lacking.append(own.join(known, own[places[c.on[0]]] == known["_parent"], "left_anti"))
+    orphans = None
+    if lacking:
+        orphans = materialize(functools.reduce(DataFrame.unionByName, lacking), "orphans", ["rule"])
+    sizes = {}
+    for keys in (stored.where(~refers), orphans):
+        if keys is not None:
+            sizes |= {r["rule"]: r["count"] for r in keys.groupBy("rule").count().collect()}
+    found = list(checks)
+    for i, c in wanted:
+        keys = (stored if c.parent is None else orphans).where(F.col("rule") == i)
+        columns = [F.col(places[name]).alias(name) for name in c.on]
+        found[i] = replace(c, bad_keys=keys.select(*columns), bad_count=sizes.get(i, 0), by_key=False)
+    return found
 
 
 # ---------------------------------------------------------------- compiling a contract
@@ -156,16 +201,17 @@ def compile_contract(
     parents: Mapping[str, DataFrame] | None = None,
     as_of: str | None = None,
 ) -> list[Check]:
-    """Checks in report order. Rules on columns that ``df`` lacks are left out, except that a
-    referential rule whose parent table is not given is kept as *skipped*."""
+    """Checks in report order. Rules on columns that ``df`` lacks are left out; kept as *skipped* are
+    a referential rule whose parent table is not given and a condition that names an absent column."""
     rules = contract.get("rules") or {}
-    return [
+    checks = [
         check
         for kind, compiler in _COMPILERS.items()
         for check in compiler(df, _rule(rules, kind), parents or {})
     ] + list(_type_checks(df, contract.get("schema") or {})) + list(
         _freshness_check(df, _rule(rules, "freshness"), as_of)
     )
+    return with_failing_keys(df, checks)
 
 
 def _rule(rules: Mapping[str, Any], kind: str) -> Mapping[str, Any]:
@@ -183,6 +229,17 @@ def _check(rule: Mapping[str, Any], label: str, flag: str, **how: Any) -> Check:
     )
 
 
+def _resolves(df: DataFrame, expression: str) -> bool:
+    """Does the frame have all columns that the condition names?"""
+    try:
+        df.select(F.expr(expression))
+    except AnalysisException as error:
+        if (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            return False
+        raise
+    return True
+
+
 def _present(df: DataFrame, names: Iterable[str]) -> list[str]:
     return [n for n in names if n in df.columns]
 
@@ -195,16 +252,14 @@ def _compile_not_null(df, rule, parents):
 
 def _compile_unique(df, rule, parents):
     for c in _present(df, rule.get("columns", [])):
-        bad = materialize(repeated_keys(df, [c]), "dup")
-        yield _check(rule, f"unique[{c}]", f"unique_{c}", bad_keys=bad, on=(c,))
+        yield _check(rule, f"unique[{c}]", f"unique_{c}", by_key=True, on=(c,))
 
 
 def _compile_unique_composite(df, rule, parents):
     for i, key in enumerate(rule.get("column_sets", [])):
         if len(_present(df, key)) == len(key):
-            bad = materialize(repeated_keys(df, key), "dup")
             label, flag = f"unique_composite{key}", f"unique_composite_{i}"
-            yield _check(rule, label, flag, bad_keys=bad, on=tuple(key))
+            yield _check(rule, label, flag, by_key=True, on=tuple(key))
 
 
 def _compile_allowed(df, rule, parents):
@@ -234,7 +289,8 @@ def _compile_regex(df, rule, parents):
 def _compile_consistency(df, rule, parents):
     for item in rule.get("checks", []):
         name = item["name"]
-        fails = inconsistent(item["expression"])
+        known = _resolves(df, item["expression"])
+        fails = inconsistent(item["expression"]) if known else None
         yield _check(rule, f"consistency[{name}]", f"consistency_{name}", fails=fails)
 
 
@@ -248,16 +304,16 @@ def _compile_referential(df, rule, parents):
         if parent not in parents:
             yield _check(rule, label, flag)
             continue
-        bad = materialize(orphan_keys(df, c, parents[parent], item["parent_column"]), "orphan")
         null_fails = F.lit(False) if item.get("nullable", False) else F.col(c).isNull()
-        yield _check(rule, label, flag, fails=null_fails, bad_keys=bad, on=(c,))
+        known = (parents[parent], item["parent_column"])
+        yield _check(rule, label, flag, fails=null_fails, by_key=True, parent=known, on=(c,))
 
 
 def _compile_conditional(df, rule, parents):
     for item in rule.get("checks", []):
         c = item["column"]
         if c in df.columns:
-            fails = missing_when(c, item["when"])
+            fails = missing_when(c, item["when"]) if _resolves(df, item["when"]) else None
             yield _check(rule, f"not_null_conditional[{c}]", f"not_null_when_{c}", fails=fails)
 
 
@@ -314,17 +370,21 @@ def missing_columns(df: DataFrame, contract: Mapping[str, Any]) -> list[str]:
 
 def flag_rows(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """Add one non-null boolean per evaluated check, named ``check.flag``."""
-    marked = df
+    marked, joined = df, set()
     for check in checks:
-        if check.bad_keys is not None:
+        if check.bad_keys is None:
+            continue
+        count = check.bad_keys.count() if check.bad_count is None else check.bad_count
+        if count:  # without a failing key there is nothing to look up
             keys = check.bad_keys.withColumn(check.flag, F.lit(True))
-            marked = lookup_join(marked, keys, check.on, check.bad_keys.count(), measured=df)
+            marked = lookup_join(marked, keys, check.on, count, measured=df)
+            joined.add(check.flag)
     flags = []
     for check in checks:
         if not check.of_rows:
             continue
-        parts = [check.fails] if check.fails is not None else []
-        parts += [F.col(check.flag).isNotNull()] if check.bad_keys is not None else []
+        parts = [check.fails] if check.fails is not None else [F.lit(False)]
+        parts += [F.col(check.flag).isNotNull()] if check.flag in joined else []
         flags.append(F.coalesce(functools.reduce(operator.or_, parts), F.lit(False)).alias(check.flag))
     return marked.select(*df.columns, *flags)
 

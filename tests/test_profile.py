@@ -104,6 +104,22 @@ def test_name_bonus():
     assert rel.name_bonus("external_buyer_id", "buyers", "external_buyer_id") == 0.8
     assert rel.name_bonus("raw_vessel_id", "vessels", "vessel_id") == 0.3
     assert rel.name_bonus("order_id", "buyers", "buyer_id") == 0.0
+    # contained, not only the same words
+    assert rel.name_bonus("cust_id", "customers", "id") == 0.3
+    assert rel.name_bonus("build_id", "buildslots", "slot") == 0.3
+    assert rel.name_bonus("main_customers_id", "raw_customers", "id") == 0.3
+    assert rel.name_bonus("id", "customers", "id") == 0.5 + 0.3 * ("id" in "customers")
+    assert rel.name_bonus("_id", "customers", "key") == 0.0
+
+
+def test_discovery_prefers_a_table_whose_name_holds_the_stem(spark):
+    ids = spark.range(10)
+    tables = {
+        "customers": ids.selectExpr("id AS key"), "aardvarks": ids.selectExpr("id AS key"),
+        "sales": ids.selectExpr("id AS cust_id"),
+    }
+    (found,) = rel.discover_foreign_keys(tables, {"customers": ["key"], "aardvarks": ["key"]})
+    assert (found["parent_table"], found["score"], found["runner_up_score"]) == ("customers", 1.3, 1.0)
 
 
 def test_orphan_count_of_a_hot_value(spark):
