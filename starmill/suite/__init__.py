@@ -4,6 +4,7 @@ from starmill.suite import (  # noqa: F401  (importing registers the queries)
     cleansing,
     contracts,
     gold,
+    governance,
     history,
     loads,
     logs,
