@@ -4,6 +4,9 @@ Plain statistics are one aggregate over the table. Exact distinct counts are one
 per column instead of many ``count(distinct)`` in one aggregate: that would multiply every row by
 the number of columns, while a columnar file gives each branch just its column, and each value is
 pre-aggregated before it moves. Profile Parquet, not CSV (a CSV branch reads whole lines).
+
+A table that grows load by load need not be read again: ``profile_state`` of each load is stored, and
+``merged_profile`` adds the states up.
 """
 
 from __future__ import annotations
@@ -12,12 +15,14 @@ import functools
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starmill.functions.columns import blank, is_numeric
 
 VALUE_COUNT_LIMIT = 25
+SKETCH_BITS = 14  # of a distinct-count sketch: 2 ** 14 registers, about 0.8 % error
 ID_SUFFIX = "_id"
 
 
@@ -94,6 +99,95 @@ def profile_table(df: DataFrame, table: str, exact: bool = True) -> DataFrame:
     return column_statistics(df, table).join(distinct_counts(df, exact=exact), "column")
 
 
+# ---------------------------------------------------------------- mergeable states
+
+
+def profile_state(df: DataFrame, table: str) -> DataFrame:
+    """What a load contributes to a table's profile: one row per column, from one aggregate, that
+    ``merged_profile`` adds to other loads' rows. Distinct values are a sketch of fixed size;
+    numbers have count, mean, squared deviations and extremes (as text, so that they stay exact)."""
+    aggregates = [F.count(F.lit(1)).alias("_rows")]
+    for i, f in enumerate(df.schema.fields):
+        c = F.col(f.name)
+        kind = f.dataType
+        # sketches pass over an empty text, so every text gets a first character
+        whole = isinstance(kind, (T.IntegerType, T.LongType))
+        hashed = c if whole else F.concat(F.lit("="), c.cast("string"))
+        aggregates.append(F.coalesce(F.sum(blank(f).cast("long")), F.lit(0)).alias(f"_null{i}"))
+        aggregates.append(F.hll_sketch_agg(hashed, F.lit(SKETCH_BITS)).alias(f"_seen{i}"))
+        if is_numeric(kind):
+            aggregates += [
+                F.count(c).alias(f"_n{i}"),
+                F.min(c).alias(f"_min{i}"),
+                F.max(c).alias(f"_max{i}"),
+                F.avg(c).cast("double").alias(f"_avg{i}"),
+                (F.var_pop(c) * F.count(c)).alias(f"_dev{i}"),
+            ]
+    lines = []
+    for i, f in enumerate(df.schema.fields):
+        numeric = is_numeric(f.dataType)
+
+        def number(name: str, kind: str) -> Column:
+            return (F.col(f"{name}{i}") if numeric else F.lit(None)).cast(kind)
+
+        lines.append(
+            F.struct(
+                F.lit(table).alias("table"),
+                F.lit(f.name).alias("column"),
+                F.lit(i).alias("position"),
+                F.lit(f.dataType.simpleString()).alias("dtype"),
+                F.col("_rows").alias("row_count"),
+                F.col(f"_null{i}").cast("long").alias("null_count"),
+                F.col(f"_seen{i}").alias("seen"),
+                number("_n", "long").alias("n"),
+                number("_min", "string").alias("least"),
+                number("_max", "string").alias("most"),
+                number("_avg", "double").alias("mean"),
+                number("_dev", "double").alias("deviation"),
+            )
+        )
+    return df.agg(*aggregates).select(F.explode(F.array(*lines)).alias("s")).select("s.*")
+
+
+def merged_profile(states: DataFrame) -> DataFrame:
+    """The profile of all loads together, in the columns of ``profile_table`` (distinct counts are
+    estimates), from their states alone (with a column ``load``): a few rows per load. A column's
+    type is that of the largest load."""
+
+    def order(text: str) -> Column:
+        # doubles part what decimals cannot hold, decimals part what doubles cannot tell apart
+        value = F.struct(F.col(text).try_cast("double"), F.col(text).try_cast("decimal(38,6)"))
+        return F.when(F.col(text).isNotNull(), value)
+
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    squares = F.sum(F.col("deviation") + F.col("n") * F.col("mean") * F.col("mean"))
+    merged = states.groupBy("table", "column").agg(
+        F.max("position").alias("position"),
+        F.max_by("dtype", "row_count").alias("dtype"),
+        F.sum("row_count").alias("own_rows"),
+        F.sum("null_count").alias("own_nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("seen")).alias("distinct_count"),
+        F.sum("n").alias("n"),
+        F.min_by("least", order("least")).alias("min_value"),
+        F.max_by("most", order("most")).alias("max_value"),
+        mean.alias("mean"),
+        squares.alias("squares"),
+    )
+    # a load from before a column was added has it as NULL in all its rows
+    loads = states.groupBy("table", "load").agg(F.max("row_count").alias("rows"))
+    whole = loads.groupBy("table").agg(F.sum("rows").alias("row_count"))
+    nulls = F.col("own_nulls") + F.col("row_count") - F.col("own_rows")
+    spread = F.greatest(F.col("squares") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0))
+    stddev = F.when(F.col("n") > 1, F.sqrt(spread / (F.col("n") - 1)))
+    pct = F.when(F.col("row_count") > 0, F.round(100.0 * nulls / F.col("row_count"), 2)).otherwise(0.0)
+    counted = merged.groupBy("table").agg(F.count(F.lit(1)).cast("int").alias("column_count"))
+    return merged.join(whole, "table").join(counted, "table").select(
+        "table", "column", "position", "dtype", "row_count", "column_count",
+        nulls.alias("null_count"), pct.alias("null_pct"), "min_value", "max_value",
+        F.round("mean", 4).alias("avg"), F.round(stddev, 4).alias("stddev"), "distinct_count",
+    )
+
+
 def value_counts(
     df: DataFrame, columns: Sequence[str], limit: int = VALUE_COUNT_LIMIT
 ) -> DataFrame:

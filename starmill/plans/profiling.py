@@ -24,6 +24,7 @@ from starmill.sources.lake import Lake
 from starmill.sources.workdir import materialize
 
 CACHE = "profile_cache"
+STATES = "profile_states"  # a folder beside the layers
 CACHE_SCHEMA = "fingerprint string, snapshot string, report string, updated_ts timestamp"
 
 
@@ -121,3 +122,15 @@ def profile_once(
     row = lake.spark.createDataFrame([(fingerprint, snapshot, text, at)], CACHE_SCHEMA)
     upsert_table(lake, row, "gold", CACHE, ["fingerprint", "snapshot"])
     return json.loads(text)
+
+
+def profile_load(lake: Lake, df: DataFrame, table: str, load: str) -> None:
+    """Store what one load contributes to ``table``'s profile, beside the layers. A load that is
+    repeated replaces its earlier contribution."""
+    state = P.profile_state(df, table).withColumn("load", F.lit(load))
+    upsert_table(lake, state, STATES, table, ["table", "load", "column"])
+
+
+def incremental_profile(lake: Lake, table: str) -> DataFrame:
+    """The profile of all stored loads, without reading their rows."""
+    return P.merged_profile(lake.read(STATES, table))

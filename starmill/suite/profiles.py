@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from starmill.operators import profile as P
 from starmill.operators import reconcile as R
 from starmill.operators import relations as rel
+from starmill.plans.profiling import incremental_profile, profile_load
 from starmill.plans.profiling import profile_sources as profile_report
+from starmill.sources.lake import Lake
+from starmill.sources.workdir import fresh_path
 from starmill.suite.fixtures import load, sql
 from starmill.suite.registry import query
 
@@ -312,3 +315,36 @@ def contract_reconcile(spark, sf):
     }
     _, changes = R.reconcile(DRAFT, profile)
     return spark.createDataFrame(changes, "rule string, column string, action string, reason string")
+
+
+_INCREMENTAL = {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 0, "o_totalprice": 1, "late_note": 0}
+
+
+@query(
+    "profile_incremental",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS row_count, CAST(count(*) - count({v}) AS BIGINT) AS null_count,
+                   {f"CAST(min({v}) AS DOUBLE)" if n else "NULL"} AS least,
+                   {f"CAST(max({v}) AS DOUBLE)" if n else "NULL"} AS most,
+                   {f"round(avg({v}), 2)" if n else "NULL"} AS mean, TRUE AS distinct_close FROM orders"""
+        for c, n in _INCREMENTAL.items()
+        for v in [c if c != "late_note" else "CASE WHEN o_orderkey % 3 = 2 THEN o_orderpriority END"]
+    ),
+)
+def profile_incremental(spark, sf):
+    """Three loads, the last with a new column, and a repeated one; states only are merged."""
+    lake, orders = Lake(spark, fresh_path(spark, "lake")), load(spark, sf, "orders")
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
+    for k in (0, 1, 1, 2):
+        rows = orders.where(F.col("o_orderkey") % 3 == k)
+        own = rows.select(*columns, *([F.col("o_orderpriority").alias("late_note")] if k == 2 else []))
+        profile_load(lake, own, "orders", f"load-{k}")
+    note = F.when(F.col("o_orderkey") % 3 == 2, F.col("o_orderpriority")).alias("late_note")
+    exact = P.distinct_counts(orders.select(*columns, note)).withColumnRenamed("distinct_count", "exact")
+    merged = incremental_profile(lake, "orders").join(exact, "column")
+    close = F.abs(F.col("distinct_count") - F.col("exact")) <= F.col("exact") * 0.03 + 0.5
+    return merged.select(
+        "column", "row_count", "null_count", F.col("min_value").cast("double").alias("least"),
+        F.col("max_value").cast("double").alias("most"), F.round("avg", 2).alias("mean"),
+        close.alias("distinct_close"),
+    )

@@ -1,8 +1,13 @@
+import functools
+
 from conftest import plan, rows
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from starmill.operators import profile as P
 from starmill.operators import reconcile as R
 from starmill.operators import relations as rel
+from starmill.plans.profiling import incremental_profile, profile_load
 
 
 def frame(spark):
@@ -160,3 +165,34 @@ def test_reconcile_tolerates_a_null_rate_within_the_limit_and_needs_a_profile():
     draft = {"rules": {"not_null": {"columns": ["b"], "max_fail_rate": 0.03}}}
     assert R.reconcile(draft, PROFILE) == (draft, [])
     assert R.reconcile({"rules": {"unique": {"columns": ["zz"]}}}, {})[1] == []
+
+
+def test_states_of_loads_merge_to_the_profile_of_all(spark):
+    df = spark.range(6000).selectExpr(
+        "CAST(id AS INT) AS i", "id * 1000000007 AS big", "CAST(id % 700 AS STRING) AS s",
+        "CASE WHEN id % 5 = 0 THEN NULL ELSE id / 7D END AS x", "CAST(id AS DECIMAL(30, 4)) AS d",
+        "DATE'2024-01-01' + CAST(id % 90 AS INT) AS day", "'' AS empty")
+    states = functools.reduce(
+        DataFrame.unionByName,
+        [P.profile_state(df.where(f"i % 4 = {k}"), "t").withColumn("load", F.lit(k)) for k in range(4)])
+    states = states.unionByName(P.profile_state(df.limit(0), "t").withColumn("load", F.lit(9)))
+    merged = {r["column"]: r for r in P.merged_profile(states).collect()}
+    whole = {r["column"]: r for r in P.profile_table(df, "t").collect()}
+    assert set(merged) == set(whole)
+    for c, r in whole.items():
+        m = merged[c]
+        for name in ("position", "dtype", "row_count", "column_count", "null_count", "null_pct",
+                     "min_value", "max_value", "avg"):
+            assert m[name] == r[name], (c, name)
+        assert m["stddev"] == r["stddev"] or abs(m["stddev"] / r["stddev"] - 1) < 1e-6
+        assert abs(m["distinct_count"] - r["distinct_count"]) <= 0.03 * r["distinct_count"]
+
+
+def test_a_new_load_reads_no_old_rows(spark, lake, tmp_path):
+    profile_load(lake, spark.range(10), "t", "a")
+    profile_load(lake, spark.range(10, 30), "t", "b")
+    profile_load(lake, spark.range(10, 40).withColumn("new", F.lit("x")), "t", "b")  # b once more
+    found = {r["column"]: r for r in incremental_profile(lake, "t").collect()}
+    assert (found["id"]["row_count"], found["id"]["max_value"], found["id"]["distinct_count"]) == (40, "39", 40)
+    assert (found["new"]["row_count"], found["new"]["null_count"], found["new"]["distinct_count"]) == (40, 10, 1)
+    assert lake.layer_counts(("gold",)).first().tables == 0
