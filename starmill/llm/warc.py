@@ -3,19 +3,24 @@
 Writing: every row becomes one record, ``response`` or ``revisit`` (of the record with the least
 key among equal payloads of at least ``min_bytes``). A block of more than ``chunk_bytes`` is laid
 out as the format's record segments: rows of record identifier and segment number, each a record
-of its own, so that neither writer nor reader ever holds more than a segment. Spark's text writer
-writes the bytes, two line ends after each record, in gzip files.
+of its own. A segment is cut from the row's payload where it lies; the block as a whole is never
+built. Spark's text writer writes the bytes, two line ends after each record, in gzip files.
 
 Reading: lines stream through a small state machine per file, which yields the chunk table: record,
 chunk number, place and size of the chunk, its bytes if wanted, and the payload's SHA-1 up to and
 including the chunk (the digest is carried on, never computed anew). The last chunk's digest is
-that of the whole payload. A gzip file is always read by one task from its start.
+that of the whole payload. A gzip file is always read by one task from its start. What is held is
+one chunk and one line (of an archive written here, a segment at most; a foreign payload without line
+ends is one line).
 
 Defined results: a null payload is empty; a null key gives a record without a number in its
 identifier, which revisits like any other and is never revisited; rows that repeat the least key
 are all responses; a null URL leaves out that header, line ends in it are percent-encoded;
 extra columns are ignored; an empty table gives empty archives. A continuation whose first segment
-is not before it in the same file is a record of type ``continuation``.
+is not before it in the same file is a record of type ``continuation``. A record whose length is no
+number, and one that its file ends inside, is a record with an ``error`` and as much payload as there is;
+reading goes on at the next record. Such records are no pages. A damaged gzip file ends the job,
+as any failing read does, unless ``damaged`` says to read it up to there.
 """
 
 from __future__ import annotations
@@ -96,12 +101,17 @@ def write_archives(
         revisit.alias("revisit"),
         F.when(revisit, F.concat(F.lit(PAGE), F.col("owner").cast("string"))).alias("refers"),
         base32_of_hex(F.col("sha1")).alias("digest"),
-        F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))).alias("block"),
-    ).withColumn("whole", F.octet_length("block"))
+        http.alias("http"),
+        F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"),
+    ).withColumn("whole", F.octet_length("http") + F.octet_length("payload"))
     last = F.greatest(F.lit(0), F.floor((F.col("whole") - 1) / chunk_bytes)).cast("int")
     rows = rows.withColumn("last", last).select("*", F.explode(F.sequence(F.lit(0), last)).alias("n"))
     first, split = F.col("n") == 0, F.col("last") > 0
-    part = F.substring(F.col("block"), F.col("n") * chunk_bytes + 1, F.lit(chunk_bytes))
+    at = F.col("n") * chunk_bytes
+    of_http = F.substring(F.col("http"), at + 1, F.lit(chunk_bytes))
+    start = F.greatest(F.lit(0), at - F.octet_length("http"))
+    of_payload = F.substring(F.col("payload"), start + 1, F.lit(chunk_bytes) - F.octet_length(of_http))
+    part = F.concat(of_http, of_payload)
     segment = (F.col("n") + 1).cast("string")
     own = F.when(first, F.col("name")).otherwise(F.concat("name", F.lit(":segment:"), segment))
     kind = F.when(~first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")
@@ -134,13 +144,15 @@ class Reader:
     """Lines of WARC files in, chunk rows out; holds at most one chunk of payload."""
 
     FIELDS = ("file", "record", "chunk", "offset", "size", "data", "digest", "record_id", "type",
-              "refers_to", "declared")
+              "refers_to", "declared", "error")
 
     def __init__(self, chunk_bytes: int, with_data: bool):
         self.chunk_bytes, self.with_data = chunk_bytes, with_data
         self.file, self.record = None, -1
         self.origin = None  # identifier of the record whose payload may go on
         self.rows: list[tuple] = []
+        self.error = None
+        self.lost = False  # after a bad length: look for the next record
         self.to_headers()
 
     def to_headers(self) -> None:
@@ -162,15 +174,33 @@ class Reader:
         self.header(data.strip(b"\r\n"))
 
     def header(self, line: bytes) -> None:
+        if self.lost:
+            if not line.startswith(b"WARC/"):
+                return
+            self.lost = False
         if line:
             name, colon, value = line.decode("utf-8", "replace").partition(":")
             self.headers[name.strip().lower() if colon else ""] = value.strip()
         elif self.headers:
-            self.left = int(self.headers.get("content-length", 0))
+            length = self.headers.get("content-length", "0")
             self.start_block()
+            if not (length.isascii() and length.isdigit()):
+                self.fail(f"content length {length[:40]!r}")
+                self.lost = True
+                return
+            self.left = int(length)
             if not self.left:
                 self.end_of_block()
 
+    def fail(self, message: str) -> None:
+        """The present record ends here, with an error."""
+        if self.http:
+            self.held, self.http = bytearray(self.http), None
+        self.error = message
+        self.emit()
+        self.origin = None
+        self.to_headers()
+
     def start_block(self) -> None:
         goes_on = self.headers.get("warc-segment-origin-id")
         self.finished = False
@@ -186,6 +216,7 @@ class Reader:
         http = "application/http" in self.headers.get("content-type", "") and not goes_on
         self.http = b"" if http else None
         self.sha1, self.offset, self.chunk, self.held = hashlib.sha1(), 0, 0, bytearray()
+        self.error = None
 
     def take(self, data: bytes) -> None:
         if self.http is not None:  # still in the HTTP header
@@ -206,7 +237,7 @@ class Reader:
         size = len(self.held)
         self.rows.append((
             self.file, self.record, self.chunk, self.offset, size,
-            bytes(self.held) if self.with_data else None, digest, *self.about,
+            bytes(self.held) if self.with_data else None, digest, *self.about, self.error,
         ))
         self.offset += size
         self.chunk += 1
@@ -230,8 +261,12 @@ class Reader:
             self.emit()
 
     def end_of_file(self) -> None:
-        if self.left > 0:
-            raise ValueError(f"{self.file} ends inside a record")
+        if self.headers and self.left < 0 and not self.lost:
+            self.start_block()
+            self.fail("ends in the headers")
+        elif self.left > 0:
+            self.fail("ends inside the record")
+        self.lost = False
         self.finish()
         self.origin = None
         self.to_headers()
@@ -239,7 +274,7 @@ class Reader:
 
 _SCHEMA = (
     "file string, record long, chunk long, offset long, size long, data binary, digest string, "
-    "record_id string, type string, refers_to string, declared string"
+    "record_id string, type string, refers_to string, declared string, error string"
 )
 _ARROW = pa.schema([
     (name, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[kind])
@@ -250,10 +285,15 @@ BYTES_AT_ONCE = 16 << 20
 
 
 def read_chunks(
-    spark: SparkSession, path: str, chunk_bytes: int = CHUNK, with_data: bool = True
+    spark: SparkSession,
+    path: str,
+    chunk_bytes: int = CHUNK,
+    with_data: bool = True,
+    damaged: bool = False,
 ) -> DataFrame:
-    """The chunk table of all gzip archives below ``path``."""
-    lines = spark.read.option("lineSep", "\n").text(path)
+    """The chunk table of all gzip archives below ``path``; ``damaged``: files that cannot be unpacked
+    to their end count up to there."""
+    lines = spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", damaged).text(path)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +332,7 @@ def records(chunks: DataFrame) -> DataFrame:
         F.first("declared").alias("declared"),
         F.sum("size").alias("payload_bytes"),
         F.max_by("digest", "chunk").alias("payload_digest"),
+        F.max("error").alias("error"),
     )
 
 
@@ -299,6 +340,7 @@ def read_pages(spark: SparkSession, path: str, key_type: str = "long") -> DataFr
     """``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type`` and ``refers_to`` of all
     records; a revisit has the size and digest of the payload that it refers to."""
     stored = materialize(records(read_chunks(spark, path, with_data=False)), "records")
+    stored = stored.where("error IS NULL")
     declared = F.regexp_replace("declared", "^sha1:", "")
     own = stored.where("record_type = 'response'").select(
         "record_id", "payload_bytes", "payload_digest", "record_type",

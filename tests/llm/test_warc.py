@@ -2,7 +2,9 @@ import base64
 import gzip
 import hashlib
 import os
+import random
 
+import pytest
 from corpus import SF
 
 from check_oracle import compare, connect
@@ -99,6 +101,57 @@ def test_foreign_archive(spark, tmp_path):
         ("continuation", 4, digest(b"tail"))}
 
 
+def plain(kind, identifier, body, length=None):
+    head = b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <%s>\r\nContent-Length: %s\r\n\r\n"
+    return head % (kind, identifier, length or str(len(body)).encode()) + body + b"\r\n\r\n"
+
+
+def found_records(df):
+    rows = warc.records(df).collect()
+    return {(r.record_id, r.payload_bytes, r.payload_digest, r.error) for r in rows}
+
+
+@pytest.mark.parametrize("length", [b"ten", b"-5", b"", b"1e3", "٣".encode()])
+def test_a_bad_length_is_an_error_of_that_record(spark, tmp_path, length):
+    good = plain(b"resource", b"a", b"one\r\n"), plain(b"resource", b"c", b"three")
+    bad = plain(b"resource", b"b", b"two\r\n\r\nContent-Length: 7\r\n", length or b" ")
+    (tmp_path / "f.warc.gz").write_bytes(gzip.compress(good[0] + bad + good[1]))
+    found = found_records(warc.read_chunks(spark, str(tmp_path / "f.warc.gz")))
+    assert {f[:3] for f in found if f[3] is None} == {
+        ("<a>", 5, digest(b"one\r\n")), ("<c>", 5, digest(b"three"))}
+    (error,) = (f for f in found if f[3] is not None)
+    assert error[0] == "<b>" and error[3].startswith("content length")
+
+
+def test_records_that_are_cut_off(spark, tmp_path):
+    whole = plain(b"resource", b"a", b"one") + plain(b"resource", b"b", b"x" * 9000)
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(whole[:-5000]))
+    (tmp_path / "head.warc.gz").write_bytes(gzip.compress(plain(b"resource", b"h", b"")[:40]))
+    found = found_records(warc.read_chunks(spark, str(tmp_path), chunk_bytes=1000))
+    assert ("<a>", 3, digest(b"one"), None) in found
+    (cut,) = (f for f in found if f[0] == "<b>")
+    assert 3000 < cut[1] < 9000 and cut[3] == "ends inside the record"
+    assert any(f[3] == "ends in the headers" for f in found) and len(found) == 3
+
+
+def test_damaged_gzip_files(spark, tmp_path):
+    noise = bytes(random.Random(1).randbytes(300_000)).replace(b"\n", b"")
+    packed = gzip.compress(plain(b"resource", b"a", b"one") + plain(b"resource", b"b", noise))
+    (tmp_path / "f.warc.gz").write_bytes(packed[: len(packed) // 2])
+    with pytest.raises(Exception, match="(?i)unexpected end|EOF|corrupt"):
+        warc.read_chunks(spark, str(tmp_path)).collect()
+    found = found_records(warc.read_chunks(spark, str(tmp_path), damaged=True))
+    assert ("<a>", 3, digest(b"one"), None) in found or not found
+
+
+@pytest.mark.parametrize("chunk_bytes", [7, 64, 1000])
+def test_segments_shorter_than_the_http_header(spark, tmp_path, chunk_bytes):
+    path = str(tmp_path / "w")
+    warc.write_archives(spark.createDataFrame(PAGES, SCHEMA), path, chunk_bytes=chunk_bytes)
+    found = {(r.page_id, r.payload_bytes, r.payload_digest) for r in warc.read_pages(spark, path).collect()}
+    assert found == {(k, len((h or "").encode()), digest((h or "").encode())) for k, _, h in PAGES}
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
