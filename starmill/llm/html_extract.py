@@ -1,17 +1,20 @@
 """Main text of web pages by minimum-cut labelling of their blocks.
 
 A page is read once into blocks: runs of text between block-level tags, each below a path of open
-elements. A classifier gives every block a score: what its ancestors' tags, classes and roles say,
-whether the page has an article and the block lies outside it, its length, its punctuation and its
-share of link text. A positive score is the capacity from the source to the block, a negative
-one the capacity from the block to the sink. Smoothness edges join neighbours in page order, every
-block with its container, and every container with the one around it. The minimum cut labels the
-blocks: those that no longer reach the sink in the residual graph are content (where several cuts
-are minimal, the one that keeps most text).
+elements. A classifier gives every block a score, a sum of bounded terms: what the nearest of its
+ancestors' tags, classes and roles say, whether the page has an article and the block lies outside
+it (or, on a page without one, in a part that holds little of the text), its length, its
+punctuation, its share of link text, a notice of rights. A positive score is the capacity from the
+source to the block, a negative one the capacity from the block to the sink. Smoothness edges join
+neighbours in page order, every block with its container, and every container with the one around it;
+they are of the scores' size, so that a block goes with its surroundings unless it has much to say for
+itself. The minimum cut labels the blocks: those that no longer reach the sink in the residual
+graph are content (where several cuts are minimal, the one that keeps most text). Only what is never
+shown (scripts, styles, the head) is no block at all.
 
 A block whose own capacity exceeds all its smoothness edges together is on its own side in every
 minimum cut; it is fixed beforehand and its edges become capacities of its neighbours. The flow is
-computed over what is left, so a clearly marked page costs no flow at all.
+computed over what is left.
 
 Text: character references are decoded, white space inside a block (a line break included) becomes
 one space, blocks are joined in page order by one line end. Nothing else is dropped or cut.
@@ -75,22 +78,24 @@ HEADER_NAMES = {"header", "masthead", "topbar"}
 CONTENT_NAMES = set("article content entry main post story".split())
 
 # Scores, in hundredths.
-NEVER_SCORE, TAG_SCORE, NAME_SCORE, HEADER_SCORE = -3000, -1500, -1000, -900
-ARTICLE_SCORE, CONTENT_SCORE, OUTSIDE_SCORE = 500, 300, -500
-LONG_SCORE, SENTENCE_SCORE, SHORT_SCORE, LINK_SCORE, HEADING_SCORE = 150, 80, -60, -350, 100
-PARAGRAPH_SCORE = 60
-NEXT_EDGE, NEXT_IN_CONTAINER, CONTAINER_EDGE, OUTER_EDGE = 20, 50, 40, 20
-LONG_CHARS, SHORT_CHARS = 80, 25
+FURNITURE_SCORE, HEADER_SCORE, HINT_SCORE = -300, -250, -140
+ARTICLE_SCORE, CONTENT_SCORE, OUTSIDE_SCORE, MINOR_SCORE = 130, 60, -260, -160
+LONG_SCORE, SHORT_SCORE, CHAR_SCORE, SENTENCE_SCORE, OPEN_SCORE = 120, -80, 2, 60, -40
+LINK_SCORE, RIGHTS_SCORE, HEADING_SCORE, PARAGRAPH_SCORE = -100, -180, 40, 20
+NEXT_EDGE, NEXT_IN_CONTAINER, CONTAINER_EDGE, OUTER_EDGE = 20, 60, 60, 10
+MINOR_SHARE = 4  # a part with less than a fourth of the largest one's text is minor
+RIGHTS = re.compile(r"^(?:©|\(c\)\s|copyright\b)|\ball rights reserved\b", re.I)
 
 
 @dataclass
 class Element:
     name: str
     container: int  # index of the nearest container
-    against: int  # sum of evidence against content, from here and above
-    content: int  # best evidence for content, from here and above
+    against: int  # strongest evidence against content, from here and above
+    content: int  # best evidence for content since the last furniture
     article: bool
     link: bool
+    hidden: bool = False  # never shown, nor what is below
 
 
 @dataclass
@@ -98,6 +103,8 @@ class Block:
     text: str
     container: int
     score: int
+    against: int
+    content: int
     in_article: bool
 
 
@@ -107,43 +114,50 @@ class Page:
     containers: list[int] = field(default_factory=lambda: [-1])  # parent of each container
 
 
+def _named(attributes: str) -> tuple[set[str], set[str]]:
+    """Names in classes, ids and roles: what an element is (a whole name, or the last part of a
+    compound: ``site-footer``), and what compounds only mention (``share-prices``)."""
+    whole, mentioned = set(), set()
+    for groups in NAMES.findall(attributes):
+        for token in "".join(groups).lower().split():
+            parts = [p for p in SPLIT.split(token) if p]
+            whole.update(parts[-1:])
+            mentioned.update(parts[:-1])
+    return whole, mentioned
+
+
 def _entered(name: str, attributes: str, parent: Element, page: Page) -> Element:
     against, content, article = parent.against, parent.content, parent.article
-    names: set[str] = set()
+    whole: set[str] = set()
+    mentioned: set[str] = set()
     if "=" in attributes and name not in ("html", "body"):
-        for groups in NAMES.findall(attributes):
-            names.update(SPLIT.split("".join(groups).lower()))
-    if name in NEVER:
-        against += NEVER_SCORE
-    elif name in FURNITURE:
-        against += TAG_SCORE
-    elif name == "header" and not article:
-        against += HEADER_SCORE
-    if names & FURNITURE_NAMES:
-        against += NAME_SCORE
-    elif names & HEADER_NAMES and not article:
-        against += HEADER_SCORE
-    if name in ARTICLE:
-        content, article = max(content, ARTICLE_SCORE), True
-    elif names & CONTENT_NAMES:
+        whole, mentioned = _named(attributes)
+    header = (name == "header" or whole & HEADER_NAMES) and not article
+    if name in FURNITURE or whole & FURNITURE_NAMES or header:
+        against, content = min(against, HEADER_SCORE if header else FURNITURE_SCORE), 0
+    elif mentioned & FURNITURE_NAMES:
+        against = min(against, HINT_SCORE)
+    if name in ARTICLE:  # one within furniture is a teaser at most
+        content = max(content, CONTENT_SCORE if against <= HEADER_SCORE else ARTICLE_SCORE)
+        article = True
+    elif whole & CONTENT_NAMES:
         content = max(content, CONTENT_SCORE)
     container = parent.container
     if name in SCOPE:
         page.containers.append(container)
         container = len(page.containers) - 1
-    return Element(name, container, against, content, article, parent.link or name == "a")
+    hidden = parent.hidden or name in NEVER
+    return Element(name, container, against, content, article, parent.link or name == "a", hidden)
 
 
 def _score(element: Element, text: str, linked: int) -> int:
-    score = element.against + element.content
-    if len(text) >= LONG_CHARS:
-        score += LONG_SCORE
-    elif len(text) <= SHORT_CHARS:
-        score += SHORT_SCORE
-    if text[-1] in ".!?…。":
-        score += SENTENCE_SCORE
+    """What the text alone says; what its place says comes with the page."""
+    score = min(LONG_SCORE, SHORT_SCORE + CHAR_SCORE * len(text))
+    score += SENTENCE_SCORE if text[-1] in ".!?…。" else OPEN_SCORE
     if 2 * linked > len(text):
         score += LINK_SCORE
+    if RIGHTS.search(text):
+        score += RIGHTS_SCORE
     if element.name in HEADINGS:
         score += HEADING_SCORE
     elif element.name in PARAGRAPHS:
@@ -151,6 +165,45 @@ def _score(element: Element, text: str, linked: int) -> int:
     return score
 
 
+def scores_of(page: Page) -> list[int]:
+    """The blocks' scores: their text's, and one term for their place in the page."""
+    if any(b.in_article and b.against + b.content + b.score > 0 for b in page.blocks):
+        return [
+            b.score + b.content + (b.against if b.in_article else min(b.against, OUTSIDE_SCORE))
+            for b in page.blocks
+        ]
+    minor = minor_places(page)
+    return [
+        b.score + b.content + min(b.against, MINOR_SCORE if b.container in minor else 0)
+        for b in page.blocks
+    ]
+
+
+def minor_places(page: Page) -> set[int]:
+    """Containers in parts of the page that hold little text. A container with over three fourths
+    of all text is the page's frame; its blocks are never minor. A part is a largest container
+    that is no frame; it is minor against the largest part or what a frame holds directly (which
+    counts as a few of its longest blocks at most, as many short ones are no text)."""
+    held = [0] * len(page.containers)
+    for b in page.blocks:
+        held[b.container] += len(b.text)
+    direct = held[:]
+    for c in range(len(held) - 1, 0, -1):  # a container comes after the one around it
+        held[page.containers[c]] += held[c]
+    frame = [4 * h > 3 * held[0] for h in held]
+    longest = [0] * len(held)
+    for b in page.blocks:
+        longest[b.container] = max(longest[b.container], len(b.text))
+    most = max(
+        min(direct[c], MINOR_SHARE * longest[c]) if frame[c] else held[c] for c in range(len(held))
+    )
+    part = [0] * len(held)  # the mass of the part that a container lies in
+    for c, parent in enumerate(page.containers):
+        if not frame[c]:
+            part[c] = held[c] if frame[parent] else part[parent]
+    return {c for c in range(len(held)) if direct[c] and not frame[c] and MINOR_SHARE * part[c] < most}
+
+
 def parse(source: str) -> Page:
     """The blocks of a page with their scores."""
     page = Page()
@@ -162,10 +215,11 @@ def parse(source: str) -> Page:
         nonlocal linked
         if pieces:
             text = " ".join("".join(pieces).split())
-            if text:
-                page.blocks.append(
-                    Block(text, owner.container, _score(owner, text, linked), owner.article)
-                )
+            if text and not owner.hidden:
+                page.blocks.append(Block(
+                    text, owner.container, _score(owner, text, linked), owner.against,
+                    owner.content, owner.article,
+                ))
             pieces.clear()
         linked = 0
 
@@ -342,14 +396,17 @@ def label(scores: list[int], edges: dict[tuple[int, int], int], nodes: int) -> l
     return labels[: len(scores)]
 
 
-def main_text(source: str) -> str:
+def labelled(source: str) -> tuple[Page, list[int], list[bool]]:
+    """A page's blocks, their scores and whether they are content."""
     page = parse(source)
+    scores = scores_of(page)
     if not page.blocks:
-        return ""
-    scores = [b.score for b in page.blocks]
-    if any(b.in_article and b.score > 0 for b in page.blocks):
-        scores = [s + (0 if b.in_article else OUTSIDE_SCORE) for s, b in zip(scores, page.blocks)]
-    labels = label(scores, smoothness(page), len(page.blocks) + len(page.containers))
+        return page, scores, []
+    return page, scores, label(scores, smoothness(page), len(page.blocks) + len(page.containers))
+
+
+def main_text(source: str) -> str:
+    page, _, labels = labelled(source)
     return "\n".join(b.text for b, content in zip(page.blocks, labels) if content)
 
 

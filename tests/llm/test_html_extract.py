@@ -75,6 +75,40 @@ def test_page_without_article_uses_density_and_neighbours():
     assert x.main_text(page) == f"{LONG}\nShort one\n{LONG}"
 
 
+def decided(source):
+    """Blocks whose label is not the sign of their own score."""
+    page, scores, labels = x.labelled(source)
+    return [b.text for b, s, on in zip(page.blocks, scores, labels) if (s > 0) != on]
+
+
+def test_the_cut_decides_blocks_of_the_given_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    changed = [d for d in map(decided, pages) if d]
+    assert changed
+    for source in pages:
+        assert x.main_text(source) == article_of(source)
+
+
+def test_unmarked_blocks_go_with_their_surroundings():
+    """Divs only: short lines between paragraphs stay; rights, links and a reader's remark go."""
+    menu = "".join(f'<div><a href="/{i}">Topic {i}</a></div>' for i in range(6))
+    body = "".join(f"<p>{LONG}</p>" for _ in range(3)) + "<p>And then</p>" + f"<p>{LONG}</p><p>Why</p>"
+    page = f"""<div>{menu}</div><div><h2>Heading of it</h2>{body}</div>
+    <div><p>Great read, thank you all.</p></div><div>© 2024 Some Company, all rights reserved</div>"""
+    text = x.main_text(page).split("\n")
+    assert text == ["Heading of it", LONG, LONG, LONG, "And then", LONG, "Why"]
+    assert {"And then", "Why"} <= set(decided(page))
+
+
+def test_names_are_matched_whole():
+    article = f"""<article><p>{LONG}</p><div class="share-prices"><p>Prices rose by a tenth. {LONG}</p></div>
+    <div class="share"><p>Tell your friends. {LONG}</p></div><div class="site-comments"><p>{LONG}</p></div>
+    <div id="top-ad"><p>{LONG}</p></div><p>All rights reserved.</p></article>"""
+    assert x.main_text(article) == f"{LONG}\nPrices rose by a tenth. {LONG}\nAll rights reserved."
+    teaser = f"<aside><article><p>{LONG}</p></article></aside><div><p>{LONG}</p><p>{LONG} More.</p></div>"
+    assert x.main_text(teaser) == f"{LONG}\n{LONG} More."
+
+
 def test_edges(spark):
     assert x.main_text("") == x.main_text("<!-- only -->") == ""
     assert x.main_text("<article><p>a &am b &lt;x&gt; &copy 3 < 4</article>") == "a &am b <x> © 3 < 4"
