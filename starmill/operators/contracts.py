@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -414,20 +414,25 @@ def quarantined_rows(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
     )
 
 
-def tally(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """Total, rows failing anything, and rows failing each check: one aggregate, one row. For a
-    check of the whole table the count is 1 or 0; no value at all counts as failed."""
+def tally_columns(checks: Sequence[Check]) -> list[Column]:
+    """Aggregates: total, rows failing anything, and rows failing each check. For a check of the
+    whole table the count is 1 or 0; no value at all counts as failed."""
     counts = [
         F.coalesce(F.sum(F.col(c.flag).cast("long")), F.lit(0)).alias(c.flag)
         for c in _of_rows(checks)
     ] + [
         F.coalesce(c.stale, F.lit(True)).cast("long").alias(c.flag) for c in checks if c.stale is not None
     ]
-    return flagged.agg(
+    return [
         F.count(F.lit(1)).alias("_total"),
         F.coalesce(F.sum(_any_failed(checks).cast("long")), F.lit(0)).alias("_bad"),
         *counts,
-    )
+    ]
+
+
+def tally(flagged: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    """One row of ``tally_columns``: one aggregate."""
+    return flagged.agg(*tally_columns(checks))
 
 
 def _rate(check: Check) -> Column:
@@ -483,7 +488,8 @@ def freshness(df: DataFrame, column: str, max_age_days: int, as_of: str) -> Data
 class Validation:
     """A contract applied to a frame. Nothing runs until a result is asked for, apart from the
     failing-key sets that decide how rows are marked. ``stored``: flag the rows once, into a table
-    that is partitioned by whether they failed; the halves and the tally then read that."""
+    that is partitioned by whether they failed; the halves then read that, and the tally is gathered
+    while it is written."""
 
     def __init__(self, df, contract, parents=None, as_of: str | None = None, stored: bool = False):
         self.contract = contract
@@ -491,9 +497,14 @@ class Validation:
         self.checks = compile_contract(df, contract, parents, as_of)
         self.missing = missing_columns(df, contract)
         self.flagged = flag_rows(df, self.checks)
+        self._tallied: DataFrame | None = None
         if stored and any(c.bad_keys is not None for c in self.checks):
             failed = self.flagged.withColumn(FAILED, _any_failed(self.checks))
-            whole = materialize(failed, "flagged", [FAILED])
+            seen, columns = Observation(), tally_columns(self.checks)
+            whole = materialize(failed.observe(seen, *columns), "flagged", [FAILED])
+            counts = {name: int(n) for name, n in seen.get.items()}
+            kinds = ", ".join(f"`{name}` long" for name in counts)
+            self._tallied = df.sparkSession.createDataFrame([tuple(counts.values())], kinds)
             self.flagged = whole.drop(FAILED)
             self.clean = clean_rows(whole.where(~F.col(FAILED)).drop(FAILED), self.checks)
             self.quarantined = quarantined_rows(whole.where(FAILED).drop(FAILED), self.checks)
@@ -501,12 +512,15 @@ class Validation:
             self.clean = clean_rows(self.flagged, self.checks)
             self.quarantined = quarantined_rows(self.flagged, self.checks)
 
+    def tallied(self) -> DataFrame:
+        return tally(self.flagged, self.checks) if self._tallied is None else self._tallied
+
     def rule_report(self) -> DataFrame:
-        return report_rows(self.table, tally(self.flagged, self.checks), self.checks)
+        return report_rows(self.table, self.tallied(), self.checks)
 
     def gate(self) -> DataFrame:
         """One row: counts and whether promotion is blocked, with the blocking rules named."""
-        tallied = tally(self.flagged, self.checks)
+        tallied = self.tallied()
         over = [F.lit(MISSING + ", ".join(self.missing))] if self.missing else []
         for c in self.checks:
             if c.severity == "hard" and c.evaluated:
@@ -527,7 +541,7 @@ class Validation:
 
     def report(self) -> dict[str, Any]:
         """The report as a dict; one aggregate over the flagged rows."""
-        row = tally(self.flagged, self.checks).first()
+        row = self.tallied().first()
         total = row["_total"]
         results = []
         for c in self.checks:
