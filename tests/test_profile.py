@@ -196,3 +196,41 @@ def test_a_new_load_reads_no_old_rows(spark, lake, tmp_path):
     assert (found["id"]["row_count"], found["id"]["max_value"], found["id"]["distinct_count"]) == (40, "39", 40)
     assert (found["new"]["row_count"], found["new"]["null_count"], found["new"]["distinct_count"]) == (40, 10, 1)
     assert lake.layer_counts(("gold",)).first().tables == 0
+
+
+def _related(spark):
+    """A parent with three children of full, half and too little overlap, and unrelated columns."""
+    rows_ = spark.range(20_000)
+    parent = rows_.selectExpr("id AS key_id", "id * 3 AS other_id")
+    noise = [f"id * 7919 + {10**9 + k * 10**8} AS n{k}_id" for k in range(50)]
+    child = rows_.selectExpr(
+        "id % 900 AS full_id", "IF(id % 2 = 0, id, -id - 1) AS half_id",
+        "IF(id % 5 = 0, id, -id - 1) AS fifth_id", "CAST(NULL AS LONG) AS none_id", *noise)
+    return {"parent": parent, "child": child}, {"parent": ["key_id"]}
+
+
+def test_sketches_leave_unrelated_columns_out(spark, monkeypatch):
+    tables, keys = _related(spark)
+    counted, pair_counts = [], rel._pair_counts
+
+    def counting(tables, columns, *rest):
+        counted.append(columns)
+        return pair_counts(tables, columns, *rest)
+
+    monkeypatch.setattr(rel, "_pair_counts", counting)
+    quick = rel.discover_foreign_keys(tables, keys)
+    monkeypatch.setattr(rel, "SKETCH_FROM", 10_000)
+    plain = rel.discover_foreign_keys(tables, keys)
+    assert quick == plain and {f["column"] for f in quick} == {"full_id", "half_id"}
+    assert len(counted[1]) > 50 and set(counted[0]) == {
+        ("child", "full_id"), ("child", "half_id"), ("parent", "key_id")}
+
+
+def test_columns_of_unlike_sizes_are_never_left_out(spark):
+    small = spark.range(40).selectExpr("id * 100000 AS a_id")
+    large = spark.range(500_000).selectExpr("id * 10 AS key_id")
+    pair = (("small", "a_id"), ("large", "key_id"))
+    tables = {"small": small, "large": large}
+    assert rel.possible_pairs(tables, list(pair), [pair], 0.5) == [pair]
+    nothing = {"small": small.limit(0), "large": large}
+    assert rel.possible_pairs(nothing, list(pair), [pair], 0.5) == []
