@@ -161,14 +161,16 @@ def chunks(docs: DataFrame, pattern: str, limit: int) -> DataFrame:
 
 def in_buckets(df: DataFrame, by: str, label: str) -> DataFrame:
     """Write ``df`` into the shared work folder, hashed into buckets by the column ``by``, and
-    return a scan of it. A join or cogroup on that column moves only the other side. The name in
-    the catalog lasts as long as the session."""
+    return a scan of it. A join or cogroup on that column moves only the other side. The catalog
+    knows the table only until the scan is planned; its files stay."""
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.option("path", fresh_path(spark, label)).option("compression", "zstd")
     writer.bucketBy(buckets, by).saveAsTable(name)
-    return spark.table(name)
+    stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def _encoding(vocabulary: Vocabulary) -> tiktoken.Encoding:
