@@ -81,10 +81,14 @@ def asof_join(
     strategy: str | None = None,
     salt_from: int = SALT_FROM_ROWS,
     disjoint: bool = False,
+    measured: DataFrame | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """``events`` plus column ``sk`` of the version valid at ``event_ts``. ``versions`` should be
     a stored frame: it is measured first (one narrow aggregate) to choose the strategy. ``disjoint``
-    says that no two versions of a key are valid at once (``overlapping`` finds those that are)."""
+    says that no two versions of a key are valid at once (``overlapping`` finds those that are).
+    ``measured`` is a cheaper frame with the same keys, such as ``events`` before earlier joins;
+    ``distinct``: no two events are alike."""
     names = events.columns
     left, right = _aligned(events, versions, event_key, event_ts, version_key, sk)
     size = (
@@ -97,8 +101,12 @@ def asof_join(
         return _merge(left, right, names, sk)
     skew = Skew()
     if (size["rows"] or 0) >= salt_from and saltable(left, right, ["_k"]):
-        skew = measure_skew(left, ["_k"])
-    return _range(left, right, names, sk, skew, disjoint)
+        kind = (events if measured is None else measured).schema[event_key].dataType
+        keys = (events if measured is None else measured).select(
+            _as(event_key, kind, right.schema["_k"].dataType).alias("_k")
+        )
+        skew = measure_skew(keys, ["_k"])
+    return _range(left, right, names, sk, skew, disjoint, distinct)
 
 
 def overlapping(
@@ -112,14 +120,14 @@ def overlapping(
     return marked.where(late).drop("_next")
 
 
-def _range(events, versions, names, sk, skew, disjoint) -> DataFrame:
+def _range(events, versions, names, sk, skew, disjoint, distinct) -> DataFrame:
     if not disjoint:
         # few versions per key here: each ends where the next one starts, at the latest
         following = F.lead("_t").over(Window.partitionBy("_k").orderBy("_t", "_sk"))
         versions = versions.withColumn("_end", F.least("_end", following))
     on = ["_k"]
     if skew:
-        events, versions = spread(events, versions, ["_k"], skew)
+        events, versions = spread(events, versions, ["_k"], skew, distinct=distinct)
         on.append("_salt")
     right = versions.select(*[F.col(c).alias(f"_v{c}") for c in versions.columns])
     condition = [events[c] == right[f"_v{c}"] for c in on]

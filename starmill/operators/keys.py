@@ -3,6 +3,10 @@
 The rows are range-partitioned and sorted, written once, and numbered as *rows before this
 partition* + *position in it*. Only one count per partition reaches the driver. The written copy
 fixes partition and position, so a retried task cannot renumber anything.
+
+A wide frame that is used once, such as a fact, need not be stored for that: ``ranged_key`` cuts the
+order at fixed values, counts the rows between them with one narrow aggregate and numbers each range
+by a window. The cuts are literals and ties are broken by the other columns, so a retry gives the same.
 """
 
 from __future__ import annotations
@@ -11,13 +15,18 @@ import itertools
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from starmill.operators.lookup import has_abundant
 from starmill.sources.workdir import materialize
 
 _POSITION_BITS = 33  # layout of monotonically_increasing_id(): partition << 33 | position
+RANGES_PER_TASK, MAX_RANGES = 8, 2048
+SAMPLES_PER_RANGE = 16  # keys drawn to place the cuts; they steer where rows go, not their numbers
+WIDE_RANGE = 8  # a range with so many times its share of the rows is too much for one task
+SMALL_RANGE = 100_000  # rows that one task may hold in any case
 
 
 def surrogate_key(
@@ -56,3 +65,54 @@ def surrogate_key(
     position = F.col("_pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     number = F.get(offsets, part) + position + F.lit(after + 1)
     return stored.withColumn(name, number.cast("long")).drop("_pos")
+
+
+def _cuts(df: DataFrame, column: str, rows: int) -> list:
+    """Values that part the rows into ranges of about equal size, from a sample of bounded size."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(MAX_RANGES, RANGES_PER_TASK * tasks, -(-rows // SAMPLES_PER_RANGE))
+    keys = df.select(column).where(F.col(column).isNotNull())
+    share = min(1.0, ranges * SAMPLES_PER_RANGE / max(rows, 1))
+    # text is ordered by its bytes, as Spark does it
+    drawn = sorted((r[0] for r in keys.sample(share, seed=17).collect()),
+                   key=lambda v: v.encode() if isinstance(v, str) else v)
+    return list(dict.fromkeys(drawn[i * len(drawn) // ranges] for i in range(1, ranges))) if drawn else []
+
+
+def _range_of(cuts: list, column: str) -> Column:
+    """How many cuts lie at or before the row's value (binary search in a constant array)."""
+    if not cuts:
+        return F.lit(0)
+    array = F.array(*[F.lit(v) for v in cuts])
+    strides = [1 << n for n in reversed(range(len(cuts).bit_length()))]
+    found = F.aggregate(
+        F.array(*[F.lit(n) for n in strides]),
+        F.lit(0),
+        lambda at, n: at + F.when(F.get(array, at + n - 1) <= F.col(column), n).otherwise(0),
+    )
+    return F.when(F.col(column).isNull(), 0).otherwise(found)
+
+
+def ranged_key(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
+    """The numbers of ``surrogate_key`` for a stored ``df`` whose result is read once: nothing is
+    written, the rows move once. Ranges are cut by the first column, which must be a whole number or
+    text; where one of its values (or NULL) abounds the counts show it and the rows are stored."""
+    first = order_by[0]
+    if not isinstance(df.schema[first].dataType, (T.IntegralType, T.StringType)):
+        return surrogate_key(df, order_by, name)
+    rows = df.count()
+    part = _range_of(_cuts(df, first, rows), first)
+    counts = df.select(part.alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["p"]: r["n"] for r in counts.collect()}
+    width = max(sizes, default=0) + 1
+    if max(sizes.values(), default=0) > max(SMALL_RANGE, WIDE_RANGE * rows / width):
+        return surrogate_key(df, order_by, name)
+    before = [0, *itertools.accumulate(sizes.get(p, 0) for p in range(width))][:width]
+    offsets = F.from_json(F.lit(json.dumps(before)), "array<bigint>")
+    ties = [
+        f.name for f in df.schema.fields
+        if f.name not in order_by and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)
+    ]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by, *ties))
+    ranged = df.withColumn("_range", part).withColumn(name, place)
+    return ranged.withColumn(name, (F.get(offsets, F.col("_range")) + F.col(name)).cast("long")).drop("_range")

@@ -99,11 +99,12 @@ def has_abundant(df: DataFrame, value: Column) -> bool:
     return bool(_frequent(df, value, HOT_SHARE)[2])
 
 
-def with_part(df: DataFrame, parts: Column, name: str) -> DataFrame:
+def with_part(df: DataFrame, parts: Column, name: str, distinct: bool = False) -> DataFrame:
     """Number the rows 0 .. ``parts``-1. The number is a hash of the row, so a retried task gives
     the same one. Where identical rows abound a hash cannot part them: the rows are then stored
-    and numbered by their place in the files, which a retry does not change either."""
-    if has_abundant(df.where(parts > 1), row_hash(df)):
+    and numbered by their place in the files, which a retry does not change either. ``distinct``
+    says that no two rows are alike (they hold a number), so that nothing needs to be looked for."""
+    if not distinct and has_abundant(df.where(parts > 1), row_hash(df)):
         df = materialize(df, "spread")
         source = F.monotonically_increasing_id()
     else:
@@ -118,11 +119,12 @@ def repeat_per_part(df: DataFrame, parts: Column, name: str) -> DataFrame:
 
 
 def spread(
-    left: DataFrame, right: DataFrame, on: Sequence[str], skew: Skew, salt: str = "_salt"
+    left: DataFrame, right: DataFrame, on: Sequence[str], skew: Skew, salt: str = "_salt",
+    distinct: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Add ``salt`` to both sides: split hot rows on the left, repeat hot rows on the right."""
     parts = skew.parts(on)
-    return with_part(left, parts, salt), repeat_per_part(right.where(complete(on)), parts, salt)
+    return with_part(left, parts, salt, distinct), repeat_per_part(right.where(complete(on)), parts, salt)
 
 
 def saltable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> bool:
@@ -141,18 +143,19 @@ def lookup_join(
     right_rows: int,
     salt_from: int = SALT_FROM_ROWS,
     measured: DataFrame | None = None,
+    distinct: bool = False,
 ) -> DataFrame:
     """``left`` LEFT JOIN ``right`` on same-named columns, keeping ``left``'s column order.
 
     ``right`` should be a stored frame of ``right_rows`` rows, unique on ``on``. ``measured`` is a
-    cheaper frame with the same keys, such as ``left`` before earlier joins.
+    cheaper frame with the same keys, such as ``left`` before earlier joins; ``distinct``: no two rows of ``left`` are alike.
     """
     on = list(on)
     added = [c for c in right.columns if c not in on]
     if right_rows >= salt_from and saltable(left, right, on):
         skew = measure_skew(left if measured is None else measured, on)
         if skew:
-            salted_left, salted_right = spread(left, right, on, skew)
+            salted_left, salted_right = spread(left, right, on, skew, distinct=distinct)
             joined = salted_left.join(salted_right, [*on, "_salt"], "left")
             return joined.select(*left.columns, *added)
     return left.join(right, on, "left").select(*left.columns, *added)

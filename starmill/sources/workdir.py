@@ -66,5 +66,5 @@ def materialize(df: DataFrame, label: str = "t", partition_by: Sequence[str] = (
     """Write ``df`` once as Parquet in the work folder and return a scan of it."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

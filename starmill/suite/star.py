@@ -9,7 +9,7 @@ from starmill.functions.columns import date_key, money, month_key
 from starmill.operators.asof import asof_join
 from starmill.operators.dims import combination_dim, type1_dim
 from starmill.operators.history import first_history, next_history
-from starmill.operators.keys import surrogate_key
+from starmill.operators.keys import ranged_key
 from starmill.operators.lookup import lookup_join
 from starmill.sources.workdir import materialize
 from starmill.suite.fixtures import load
@@ -56,11 +56,12 @@ def dim_channel(spark, sf) -> DataFrame:
 
 def fact_orders(sales: DataFrame, customers: DataFrame, channels: DataFrame) -> DataFrame:
     # numbered before the joins: they keep every row, and the ranges are then found on the scan
-    numbered = surrogate_key(sales, ["order_id"], "order_sk", unique=True)
+    numbered = ranged_key(sales, ["order_id"], "order_sk")
     resolved = asof_join(
-        numbered, customers, "customer_id", "created_ts", "customer_id", "customer_sk", disjoint=True
+        numbered, customers, "customer_id", "created_ts", "customer_id", "customer_sk", disjoint=True,
+        measured=sales, distinct=True,
     )
-    resolved = lookup_join(resolved, channels, ["channel", "channel_group"], channels.count())
+    resolved = lookup_join(resolved, channels, ["channel", "channel_group"], channels.count(), measured=sales)
     price, cost = money("total_price"), money("total_cost")
     return resolved.select(
         "order_sk", "order_id", "customer_sk", "channel_sk",
@@ -83,10 +84,13 @@ LINE_ORDER = ["order_id", "line_number", "part_id", "created_ts", "quantity", "p
 
 
 def fact_lines(lines: DataFrame, suppliers: DataFrame, parts: DataFrame) -> DataFrame:
-    numbered = surrogate_key(lines, LINE_ORDER, "line_sk")
+    numbered = ranged_key(lines, LINE_ORDER, "line_sk")
     supplier_keys = suppliers.select("supplier_id", "supplier_sk")
-    resolved = lookup_join(numbered, supplier_keys, ["supplier_id"], supplier_keys.count())
-    resolved = asof_join(resolved, parts, "part_id", "created_ts", "part_id", "part_sk", disjoint=True)
+    known = supplier_keys.count()
+    resolved = lookup_join(numbered, supplier_keys, ["supplier_id"], known, measured=lines, distinct=True)
+    # a supplier that comes twice leaves lines that differ in its key
+    resolved = asof_join(resolved, parts, "part_id", "created_ts", "part_id", "part_sk", disjoint=True,
+                         measured=lines, distinct=True)
     rate = money("price_fx_rate", 4)
     price_eur = F.round(money("price") * rate, 2)
     cost_eur = F.round(money("cost"), 2)
@@ -103,9 +107,10 @@ def fact_lines(lines: DataFrame, suppliers: DataFrame, parts: DataFrame) -> Data
     )
 
 
-def fact_slots(slots: DataFrame, parts: DataFrame) -> DataFrame:
+def fact_slots(slots: DataFrame, parts: DataFrame, measured: DataFrame | None = None) -> DataFrame:
+    """``measured``: a frame with the slots' keys that costs less than the slots to look for hot ones."""
     slots = slots.withColumn("slot_ts", F.col("slot_date").cast("timestamp_ntz"))
-    resolved = asof_join(slots, parts, "part_id", "slot_ts", "part_id", "part_sk", disjoint=True)
+    resolved = asof_join(slots, parts, "part_id", "slot_ts", "part_id", "part_sk", disjoint=True, measured=measured)
     used = F.col("allocation") - F.col("actual_available")
     return resolved.select(
         "part_sk",
