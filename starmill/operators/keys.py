@@ -6,7 +6,8 @@ fixes partition and position, so a retried task cannot renumber anything.
 
 A wide frame that is used once, such as a fact, need not be stored for that: ``ranged_key`` cuts the
 order at fixed values, counts the rows between them with one narrow aggregate and numbers each range
-by a window. The cuts are literals and ties are broken by the other columns, so a retry gives the same.
+by a window. The cuts are literals and ties are numbered by their place in the files read, so a retry
+gives the same.
 """
 
 from __future__ import annotations
@@ -109,10 +110,7 @@ def ranged_key(df: DataFrame, order_by: Sequence[str], name: str) -> DataFrame:
         return surrogate_key(df, order_by, name)
     before = [0, *itertools.accumulate(sizes.get(p, 0) for p in range(width))][:width]
     offsets = F.from_json(F.lit(json.dumps(before)), "array<bigint>")
-    ties = [
-        f.name for f in df.schema.fields
-        if f.name not in order_by and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)
-    ]
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by, *ties))
-    ranged = df.withColumn("_range", part).withColumn(name, place)
-    return ranged.withColumn(name, (F.get(offsets, F.col("_range")) + F.col(name)).cast("long")).drop("_range")
+    placed = df.withColumn("_place", F.monotonically_increasing_id())  # ties as they lie in the files
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by, "_place"))
+    ranged = placed.withColumn("_range", part).withColumn(name, place)
+    return ranged.withColumn(name, (F.get(offsets, F.col("_range")) + F.col(name)).cast("long")).drop("_range", "_place")
