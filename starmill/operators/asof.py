@@ -106,7 +106,10 @@ def asof_join(
             _as(event_key, kind, right.schema["_k"].dataType).alias("_k")
         )
         skew = measure_skew(keys, ["_k"])
-    return _range(left, right, names, sk, skew, disjoint, distinct)
+    # a key or time that needed no cast moves once, as _k or _t
+    twins = {c: a for c, a in ((event_key, "_k"), (event_ts, "_t")) if left.schema[a].dataType == left.schema[c].dataType}
+    out = [F.col(twins[c]).alias(c) if c in twins else F.col(c) for c in names]
+    return _range(left.drop(*twins), right, out, sk, skew, disjoint, distinct)
 
 
 def overlapping(

@@ -28,6 +28,7 @@ from starmill.sources.workdir import materialize
 HOT_SHARE = 1 / 256  # a key with this share of the rows is split
 SKETCH_ITEMS = 8192  # the sketch's error is a small fraction of HOT_SHARE
 SALT_FROM_ROWS = 100_000  # a smaller lookup side is normally broadcast, by its size
+HELD_ROWS = 500_000  # rows of a key, a number and times that every task can hold, some 50 MB
 
 _UNSALTABLE = (T.FloatType, T.DoubleType)
 
@@ -136,6 +137,13 @@ def saltable(left: DataFrame, right: DataFrame, on: Sequence[str]) -> bool:
     )
 
 
+def held(df: DataFrame, rows: int) -> bool:
+    """May every task hold this side's ``rows`` rows of a few short columns? Not if the session
+    broadcasts nothing."""
+    threshold = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return rows <= HELD_ROWS and not threshold.startswith("-")
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

@@ -42,6 +42,7 @@ from starmill.sources.files import (
     list_names,
     read_text,
 )
+from starmill.sources.workdir import shuffles_dropped
 
 LAYERS = ("raw", "bronze", "silver", "quarantine", "gold", "products")
 LOAD = "_load"
@@ -235,7 +236,8 @@ class Lake:
         out = out.observe(seen, F.count(F.lit(1)).alias("rows"))
         try:
             writer = out.write.mode("errorifexists").option("compression", "zstd")
-            writer.partitionBy(*partition_by).parquet(path)
+            with shuffles_dropped(self.spark):
+                writer.partitionBy(*partition_by).parquet(path)
         except BaseException:
             delete_path(self.spark, path)
             raise

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
 _scopes: list[list[str]] = []
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_writing: list[str] = []  # the setting that the first of the present writers found, once for each of them
+_writers = threading.Lock()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -62,9 +66,26 @@ def fresh_path(spark: SparkSession, label: str = "t") -> str:
     return path
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What a write inside the block shuffles is deleted when it ends. Else the files stay until the
+    driver happens to collect its garbage, beside all that later steps shuffle."""
+    with _writers:
+        _writing.append(_writing[0] if _writing else spark.conf.get(_DROP, "false"))
+        spark.conf.set(_DROP, "true")
+    try:
+        yield
+    finally:
+        with _writers:
+            found = _writing.pop()
+            if not _writing:
+                spark.conf.set(_DROP, found)
+
+
 def materialize(df: DataFrame, label: str = "t", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once as Parquet in the work folder and return a scan of it."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
